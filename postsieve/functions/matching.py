@@ -27,6 +27,20 @@ def _literal(term: str) -> str:
     return re.sub(r"([^\w\s]|_)", r"\\\1", term).replace("\\_", "_")
 
 
+# Letters outside ASCII that equal an ASCII one when case is ignored.
+_CASE_TWINS = {"i": "ıİ", "k": "\u212a", "s": "ſ"}
+
+
+def _starts(terms: list[str]) -> str:
+    """Lookahead for the first characters of ``terms``: turns most positions away before the
+    alternation is tried. Left out where a term begins outside ASCII."""
+    heads = {t[0].lower() for t in terms}
+    if not all(h.isascii() and (h.isalnum() or h == "_") for h in heads):
+        return ""
+    chars = "".join(sorted("".join({h, h.upper()}) + _CASE_TWINS.get(h, "") for h in heads))
+    return f"(?=[{chars}])"
+
+
 def term_pattern(terms: list[str]) -> str:
     """Java pattern matching any of ``terms`` between word boundaries, ignoring case.
 
@@ -44,8 +58,8 @@ def term_pattern(terms: list[str]) -> str:
             if group:
                 before = f"(?<!{_WORD})" if first_is_word else f"(?<={_WORD})"
                 after = f"(?!{_WORD})" if last_is_word else f"(?={_WORD})"
-                branches.append(f"{before}(?:{'|'.join(_literal(t) for t in group)}){after}")
-    return "(?iu)" + "|".join(branches)
+                branches.append(f"{before}{_starts(group)}(?iu:{'|'.join(_literal(t) for t in group)}){after}")
+    return "|".join(branches)
 
 
 def has_term(c: Column | str, terms: list[str]) -> Column:
@@ -97,4 +111,5 @@ EMAIL_PATTERN = f"^[^@{V.BLANK_CLASS}]+@[^@{V.BLANK_CLASS}]+\\.[^@{V.BLANK_CLASS
 
 
 def email_shaped(c: Column | str) -> Column:
-    return as_column(c).rlike(EMAIL_PATTERN)
+    c = as_column(c)
+    return F.contains(c, F.lit("@")) & c.rlike(EMAIL_PATTERN)

@@ -31,11 +31,12 @@ def strip(c: Column | str) -> Column:
 def first_line(c: Column | str) -> Column:
     """First line of the stripped text, stripped.
 
-    Only the left end is stripped before the line is cut, so a long text is not copied to
-    its end; the result is the same.
+    The text is cut at its first line feed before the pattern for the other line ends runs, so
+    the pattern sees one line and not a whole document; the result is the same.
     """
     left = F.ltrim(as_column(c), F.lit(V.BLANK_CHARS))
-    return strip(F.regexp_extract(left, f"^[^{V.LINE_END_CLASS}]*", 0))
+    line = F.substring_index(left, "\n", 1)
+    return strip(F.regexp_extract(line, f"^[^{V.LINE_END_CLASS}]*", 0))
 
 
 def match_text(*parts: Column | str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,8 @@ from postsieve.operators import dedup, edits, report, screens, state
 from postsieve.session import fresh_dir, use_utc
 from postsieve.sources import pages as page_source
 from postsieve.sources import payloads as payload_source
-from postsieve.sources import schemas, snapshots
+from postsieve.sources import snapshots
+from postsieve.sources.scans import spread_few_splits
 from postsieve.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,14 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_cards(docs: DataFrame) -> DataFrame:
     """Documents as posting cards."""
-    return table(spark, sf_dir, "documents").select(
+    return docs.select(
         F.col("doc_id").alias("ord"), F.col("lang").alias("company"),
         text.first_line("text").alias("title"), F.col("text").alias("card"),
     )
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_cards(table(spark, sf_dir, "documents"))
+
+
 def screened_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = screens.screen_page_rows(
         cards(spark, sf_dir), href=None, include=CARD_INCLUDE, veto=CARD_VETO, places=None
@@ -79,7 +84,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.extract_links(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return page_source.extract_links(
+        spread_few_splits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    )
 
 
 # Scans and sources
@@ -132,7 +139,8 @@ def extract_links(spark, sf_dir):
 @query
 def page_postings(spark, sf_dir):
     """Captured pages from end to end: links, titles, screens, addresses."""
-    captured = table(spark, sf_dir, "pages").select(urls.host_of("url").alias("company"), "url", "html")
+    pages = spread_few_splits(table(spark, sf_dir, "pages").select("url", "html"))
+    captured = pages.select(urls.host_of("url").alias("company"), "url", "html")
     kept = screens.screen_page_rows(
         page_source.page_postings(captured), include=LINK_INCLUDE, veto=LINK_VETO, places=None,
     )
@@ -298,7 +306,8 @@ def default_screens(spark, sf_dir):
 def email_check(spark, sf_dir):
     tokens = F.split("text", f"[{matching.V.BLANK_CLASS}]+")
     shaped = F.size(F.filter(tokens, matching.email_shaped)).cast("bigint")
-    return table(spark, sf_dir, "documents").select("doc_id", shaped.alias("n_emails"))
+    docs = spread_few_splits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", shaped.alias("n_emails"))
 
 
 @query
@@ -528,10 +537,7 @@ def _card_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table as a file stream of cards."""
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    return docs.select(
-        F.col("doc_id").alias("ord"), F.col("lang").alias("company"),
-        text.first_line("text").alias("title"), F.col("text").alias("card"),
-    )
+    return as_cards(docs)
 
 
 @query

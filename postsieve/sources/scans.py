@@ -1,0 +1,15 @@
+"""Shape of a scan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_few_splits(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan with fewer splits than the session has cores.
+
+    For costly text work over a table of few, large row groups. A large table has more splits than
+    there are cores and comes back untouched, so its text is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
