@@ -20,14 +20,19 @@ def first_title(rows: DataFrame, source: str = "company", title: str = "title",
 
 
 def source_status(
-    attempts: DataFrame, source: str = "company", at: str = "checked_at", ok: str = "ok", tie: str | None = None
+    attempts: DataFrame, source: str = "company", at: str = "checked_at", ok: str = "ok"
 ) -> DataFrame:
-    """Status by the latest attempt: broken when it failed, else active. ``tie`` orders attempts
-    of one instant; without it a failed one among them counts."""
-    latest = F.struct(at, tie) if tie else F.struct(F.col(at), ~F.col(ok))
-    return attempts.groupBy(source).agg(
-        F.when(F.max_by(ok, latest), F.lit("active")).otherwise(F.lit("broken")).alias("status"),
-        F.max(at).alias("last_checked"),
+    """Status by the latest attempt: broken when it failed, else active; of attempts at one instant
+    a failed one counts.
+
+    Written with plain maxima, which aggregate by hash; picking a row by a pair would sort.
+    """
+    latest = attempts.groupBy(source).agg(
+        F.max(at).alias("last_checked"), F.max(F.when(~F.col(ok), F.col(at))).alias("_failed")
+    )
+    broken = F.coalesce(F.col("_failed") == F.col("last_checked"), F.lit(False))
+    return latest.select(
+        source, F.when(broken, F.lit("broken")).otherwise(F.lit("active")).alias("status"), "last_checked"
     )
 
 

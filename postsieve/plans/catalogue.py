@@ -416,7 +416,7 @@ def first_title(spark, sf_dir):
 
 @query
 def source_status(spark, sf_dir):
-    found = state.source_status(attempts(spark, sf_dir), "user_id", tie="event_id")
+    found = state.source_status(attempts(spark, sf_dir), "user_id")
     return found.select("user_id", "status", F.unix_micros("last_checked").alias("last_checked_us"))
 
 
@@ -428,13 +428,13 @@ def latest_check(spark, sf_dir):
 
 @query
 def responding_count(spark, sf_dir):
-    return report.responding_count(state.source_status(attempts(spark, sf_dir), "user_id", tie="event_id"))
+    return report.responding_count(state.source_status(attempts(spark, sf_dir), "user_id"))
 
 
 @query
 def source_board(spark, sf_dir):
     """Suppliers as sources; status and last check from the attempts, last title from the parts."""
-    checked = state.source_status(attempts(spark, sf_dir), "user_id", tie="event_id")
+    checked = state.source_status(attempts(spark, sf_dir), "user_id")
     titles = table(spark, sf_dir, "part").where(F.col("p_size") > 25).select(
         F.col("p_partkey").alias("s_suppkey"), F.col("p_name").alias("last_job")
     )

@@ -91,7 +91,7 @@ _LINKS = rf"""shown as (select page_id, url, regexp_replace(html,
             as text
         from anchors)"""
 
-_STATUS = """status as (select user_id, case when arg_max(event_type <> 'error', (ts, event_id)) then 'active'
+_STATUS = """status as (select user_id, case when arg_max(event_type <> 'error', (ts, event_type = 'error')) then 'active'
     else 'broken' end as status, max(ts) as last_checked from events group by 1)"""
 
 

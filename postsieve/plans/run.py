@@ -17,12 +17,12 @@ from postsieve.functions import vocabulary as V
 from postsieve.functions.urls import resolve_links
 from postsieve.operators.dedup import KEY, fallback_rows, keep_first, normal_keys, probe_new_postings
 from postsieve.operators.report import alert_digest
-from postsieve.operators.screens import screen_endpoint_rows, screen_page_rows
+from postsieve.operators.screens import endpoint_row_ok, screen_page_rows
 from postsieve.operators.stamp import stamp_new
 from postsieve.operators.state import first_title, merge_source_state
 from postsieve.sources import schemas, snapshots
 from postsieve.sources.pages import page_postings
-from postsieve.sources.payloads import endpoint_attempts, endpoint_postings
+from postsieve.sources.payloads import endpoint_rows
 
 ORDER = ["ord", "url"]
 
@@ -38,21 +38,25 @@ class Vocabulary:
         return {name: list(getattr(self, name)) for name in ("include", "veto", "places", "path_words")}
 
 
-def failed_sources(payloads: DataFrame) -> DataFrame:
+def screened_endpoint_rows(payloads: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
+    """Endpoint rows that pass the screens, and the marker rows of failed attempts."""
+    passes = F.col("ord").isNotNull() & endpoint_row_ok(**words.as_kwargs())
+    return endpoint_rows(payloads).where(~F.col("ok") | passes)
+
+
+def failed_sources(endpoint: DataFrame) -> DataFrame:
     """Sources whose endpoint answer could not be used: broken, and without page fallback."""
-    return endpoint_attempts(payloads).where(~F.col("ok")).select("company").distinct()
+    return endpoint.where(~F.col("ok")).select("company").distinct()
 
 
-def screened_postings(payloads: DataFrame, pages: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
-    """Postings (``schemas.POSTINGS``) that pass the screens: endpoint rows, and page rows of
-    the sources without any."""
-    kwargs = words.as_kwargs()
+def screened_postings(endpoint: DataFrame, pages: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
+    """Postings (``schemas.POSTINGS``) that pass the screens: ``screened_endpoint_rows``, and page rows
+    of the sources without any."""
     columns = schemas.POSTINGS.fieldNames()
-    failed = failed_sources(payloads)
-    by_endpoint = screen_endpoint_rows(endpoint_postings(payloads), **kwargs).select(columns)
-    by_page = screen_page_rows(page_postings(pages), **kwargs)
+    failed = failed_sources(endpoint)
+    usable = endpoint.where(F.col("ok")).join(failed, "company", "left_anti").select(columns)
+    by_page = screen_page_rows(page_postings(pages), **words.as_kwargs())
     by_page = resolve_links(by_page, "page_url", "href").select(columns)
-    usable = by_endpoint.join(failed, "company", "left_anti").select(columns)
     return fallback_rows(usable, by_page, "company", failed)
 
 
@@ -75,8 +79,9 @@ def scheduled_run(
     sources = snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES)
     history = snapshots.read_history(spark, f"{root}/history", without_run=run)
 
-    tracked = sources.select(F.col("name").alias("company"), "position")
-    screened = screened_postings(payloads, pages, words)
+    tracked = sources.groupBy(F.col("name").alias("company")).agg(F.min("position").alias("position"))
+    endpoint = _stored(screened_endpoint_rows(payloads, words), f"{stage}/endpoint")
+    screened = screened_postings(endpoint, pages, words)
     postings = _stored(screened.join(tracked, "company"), f"{stage}/postings")
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
 
@@ -89,11 +94,11 @@ def scheduled_run(
         digest = alert_digest(added.withColumn("recipient", F.lit(recipient)))
         digest.write.mode("overwrite").parquet(f"{root}/digests/run={run}")
 
-    broken = failed_sources(payloads).select(F.col("company").alias("name"), F.lit("broken").alias("status"))
-    statuses = sources.select("name").distinct().join(broken, "name", "left").select(
+    broken = failed_sources(endpoint).select(F.col("company").alias("name"), F.lit("broken").alias("status"))
+    statuses = tracked.select(F.col("company").alias("name")).join(broken, "name", "left").select(
         "name", F.coalesce("status", F.lit("active")).alias("status")
     )
-    firsts_of_run = first_title(postings, order="ord").withColumnRenamed("company", "name")
+    firsts_of_run = first_title(postings).withColumnRenamed("company", "name")
     merged = merge_source_state(sources, statuses, firsts_of_run, checked_at)
     snapshots.write_snapshot(merged, f"{root}/sources")
     return run

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "postsieve", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on. ``master`` is for local use only."""
     builder = (
@@ -16,6 +19,8 @@ def build_session(app: str = "postsieve", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Keys of a stream's state live on disk, not on the executors' heap.
+        .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

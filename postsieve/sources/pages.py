@@ -64,20 +64,30 @@ def visible_text(html: Column) -> Column:
     return strip(decode_references(tidy))
 
 
+def _link_fields(a: Column) -> Column:
+    """(start tag, href, text) of one cut-out link."""
+    start = F.regexp_extract(a, _START_TAG, 0)
+    href = F.concat(*[F.regexp_extract(start, _HREF, i) for i in (1, 2, 3)])
+    return F.struct(
+        start.alias("start"), decode_references(href).alias("href"),
+        visible_text(F.regexp_replace(a, _START_TAG, "")).alias("text"),
+    )
+
+
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per link: the other columns, ``ord``, ``href`` as written, visible ``text``.
 
-    Projected right behind the scan, so the HTML itself never enters a shuffle.
+    Projected right behind the scan, so the HTML itself never enters a shuffle. The fields are
+    made before the list is exploded: a later filter then reads finished columns, while on
+    projected ones Spark would repeat the whole text clean-up for every predicate.
     """
     kept = [c for c in pages.columns if c != html]
     shown = F.regexp_replace(as_column(html), _HIDDEN, "")
-    links = pages.select(*kept, F.posexplode(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(0))).alias("ord", "_a"))
-    start = F.regexp_extract("_a", _START_TAG, 0)
-    href = F.concat(*[F.regexp_extract(start, _HREF, i) for i in (1, 2, 3)])
-    body = F.regexp_replace("_a", _START_TAG, "")
-    return links.where(start != "").select(
+    links = F.transform(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(0)), _link_fields)
+    rows = pages.select(*kept, F.posexplode(links).alias("ord", "_link")).where(F.col("_link.start") != "")
+    return rows.select(
         *kept, F.col("ord").cast("bigint").alias("ord"),
-        decode_references(href).alias("href"), visible_text(body).alias("text"),
+        F.col("_link.href").alias("href"), F.col("_link.text").alias("text"),
     )
 
 

@@ -45,26 +45,31 @@ def flatten_records(
     )
 
 
-def endpoint_postings(payloads: DataFrame) -> DataFrame:
-    """(company, title, location, href, url, ord) of landed answers (``schemas.PAYLOADS``); an
-    endpoint without a site gives none, like an unreadable answer."""
+def endpoint_rows(payloads: DataFrame) -> DataFrame:
+    """(company, ok, title, location, href, url, ord) of landed answers (``schemas.PAYLOADS``).
+
+    One row per posting, and one without ``ord`` for an answer that has none. ``ok`` is false, on one
+    such row, where the attempt failed: the answer cannot be read, or its endpoint has no site. So
+    one pass over the answers gives both the postings and the state of the sources.
+    """
     fields = {TITLE_FIELD: "string", LOCATION_FIELD: "string", PATH_FIELD: "string"}
-    rows = flatten_records(payloads, "payload", LIST_FIELD, fields, dict.fromkeys(fields, ""))
+    parsed = payloads.select(
+        "company", site_base("endpoint_url").alias("_base"),
+        parse_payload(F.col("payload"), LIST_FIELD, fields).alias("_parsed"),
+    )
+    ok = ~is_unreadable(F.col("_parsed")) & F.col("_base").isNotNull()
+    records = F.when(F.col("_ok"), F.col(f"_parsed.{LIST_FIELD}"))
+    rows = parsed.withColumn("_ok", ok).select("company", "_ok", "_base", F.posexplode_outer(records).alias("ord", "_record"))
+    title, location, path = (text_or(f"_record.{f}") for f in fields)
     return rows.select(
-        "company",
-        F.col(TITLE_FIELD).alias("title"),
-        F.col(LOCATION_FIELD).alias("location"),
-        F.col(PATH_FIELD).alias("href"),
-        posting_url(site_base("endpoint_url"), PATH_FIELD).alias("url"),
-        "ord",
-    ).where(F.col("url").isNotNull())
-
-
-def endpoint_attempts(payloads: DataFrame) -> DataFrame:
-    """(company, ok): an answer that cannot be read, or an endpoint without a site, is a failed attempt."""
-    parsed = parse_payload(F.col("payload"), LIST_FIELD, {TITLE_FIELD: "string"})
-    ok = ~is_unreadable(parsed) & site_base("endpoint_url").isNotNull()
-    return payloads.select("company", ok.alias("ok"))
+        "company", F.col("_ok").alias("ok"), title.alias("title"), location.alias("location"), path.alias("href"),
+        posting_url("_base", path).alias("url"), F.col("ord").cast("bigint").alias("ord"),
+    )
+
+
+def endpoint_postings(payloads: DataFrame) -> DataFrame:
+    """The postings among ``endpoint_rows``."""
+    return endpoint_rows(payloads).where(F.col("ord").isNotNull()).drop("ok")
 
 
 def cap_per_source(rows: DataFrame, limit: int, ord_col: str = "ord") -> DataFrame:

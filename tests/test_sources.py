@@ -77,8 +77,11 @@ def test_payloads(spark):
         ("good", "", "", "", "https://t.example.com/Careers", 1),
         ("good", "", "", "", "https://t.example.com/Careers", 2),
     ]
-    ok = {r.company: r.ok for r in payloads.endpoint_attempts(df).collect()}
-    assert ok == {"good": True, "none": True, "null": False, "bad": False, "short": False}
+    marked = [(r.company, r.ok, r.ord) for r in payloads.endpoint_rows(df).orderBy("company", "ord").collect()]
+    assert marked == [
+        ("bad", False, None), ("good", True, 0), ("good", True, 1), ("good", True, 2), ("none", True, None),
+        ("null", False, None), ("short", False, None),
+    ]
     assert payloads.cap_per_source(payloads.endpoint_postings(df), 1).count() == 1
 
 
