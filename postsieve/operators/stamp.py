@@ -11,13 +11,11 @@ from postsieve.functions.labels import display_date, posting_id
 from postsieve.sources import schemas
 
 
-def stamp_new(new: DataFrame, history: DataFrame, found_at: datetime, order: list[str]) -> DataFrame:
-    """Add id, dates, the unset flag, and ``seq``: unique, above every ``seq`` of the history, and
-    rising in ``order``. It leaves gaps: partitions are numbered apart from each other."""
-    highest = history.agg(F.max("seq")).first()[0]
-    base = 0 if highest is None else highest + 1
+def stamp_new(new: DataFrame, after: int, found_at: datetime, order: list[str]) -> DataFrame:
+    """Add id, dates, the unset flag, and ``seq``: unique, above ``after``, and rising in ``order``. It
+    leaves gaps: partitions are numbered apart from each other."""
     return new.orderBy(*order).withColumns({
-        "seq": F.monotonically_increasing_id() + F.lit(base),
+        "seq": F.monotonically_increasing_id() + F.lit(after + 1),
         "id": posting_id("company", "title"),
         "found_at": F.lit(found_at),
         "date": display_date(F.lit(found_at)),

@@ -86,7 +86,8 @@ def scheduled_run(
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
 
     new = probe_new_postings(firsts, history)
-    stamped = stamp_new(new, history, checked_at, ["position", *ORDER])
+    after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
+    stamped = stamp_new(new, after, checked_at, ["position", *ORDER])
     snapshots.append_run(stamped, f"{root}/history", run)
     added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
 

@@ -14,6 +14,12 @@ def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form the optimizer knows to be empty, so that joins with it vanish from the plan."""
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).select(*nothing).where(F.lit(False))
+
+
 def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of one JSON array, with ``seq``, their place in it.
 
@@ -41,7 +47,7 @@ def scan_history_json(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if not _is_missing(error):
             raise
-        return spark.createDataFrame([], schemas.HISTORY)
+        return empty_table(spark, schemas.HISTORY)
     return df.withColumn("found_at", F.lit(None).cast("timestamp")).select(schemas.HISTORY.fieldNames())
 
 
@@ -57,7 +63,7 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     except AnalysisException as error:
         if not _is_missing(error):
             raise
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
 
 
 # A snapshot table is a folder of complete versions plus a log naming the finished ones.
@@ -74,7 +80,7 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     version = current_version(spark, root)
     if version is None:
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     return spark.read.schema(schema).parquet(f"{root}/data/version={version}")
 
 
@@ -90,21 +96,50 @@ def write_snapshot(df: DataFrame, root: str) -> int:
 
 def clear_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> int:
     """Replace the table by no rows, keeping its columns."""
-    return write_snapshot(spark.createDataFrame([], schema), root)
+    return write_snapshot(empty_table(spark, schema), root)
 
 
 # The history is a folder of runs. A run writes only its own folder, so old rows are never
-# rewritten, and a repeated run replaces its own rows instead of adding them twice.
-_RUN_FIELD = T.StructField("run", T.StringType())
+# rewritten, and a repeated run replaces its own rows instead of adding them twice. Removals are
+# kept beside the rows, by sequence number, and taken off when the history is read.
+_STORED_HISTORY = T.StructType([*schemas.HISTORY.fields, T.StructField("run", T.StringType())])
+_REMOVED = T.StructType([T.StructField("seq", T.LongType())])
+_CLEARED = T.StructType([T.StructField("up_to", T.LongType())])
+
+
+def _all_rows(spark: SparkSession, root: str, without_run: str | None) -> DataFrame:
+    df = scan_or_empty(spark, f"{root}/rows", _STORED_HISTORY)
+    return df if without_run is None else df.where(F.col("run") != without_run)
 
 
 def read_history(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
     """History rows; ``without_run`` leaves one run out (a partition filter), as a repeated run
     must not meet its own earlier rows."""
-    df = scan_or_empty(spark, root, T.StructType([*schemas.HISTORY.fields, _RUN_FIELD]))
-    return df if without_run is None else df.where(F.col("run") != without_run)
+    rows = _all_rows(spark, root, without_run)
+    cleared = scan_or_empty(spark, f"{root}/cleared", _CLEARED).agg(F.max("up_to")).first()[0]
+    if cleared is not None:
+        rows = rows.where(F.col("seq") > cleared)
+    removed = scan_or_empty(spark, f"{root}/removed", _REMOVED)
+    return rows.join(removed.distinct(), "seq", "left_anti").select(_STORED_HISTORY.fieldNames())
+
+
+def last_seq(spark: SparkSession, root: str, without_run: str | None = None) -> int:
+    """Highest sequence number ever given, to removed rows too; -1 before the first."""
+    return _all_rows(spark, root, without_run).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
 
 
 def append_run(new: DataFrame, root: str, run: str) -> None:
     """Add the rows of one run. No rows leaves a folder that reads as no rows."""
-    new.select(schemas.HISTORY.fieldNames()).write.mode("overwrite").parquet(f"{root}/run={run}")
+    new.select(schemas.HISTORY.fieldNames()).write.mode("overwrite").parquet(f"{root}/rows/run={run}")
+
+
+def remove_rows(rows: DataFrame, root: str) -> None:
+    """Remove the given history rows. They leave the dedup memory as well: a removed posting that
+    turns up again is new again."""
+    rows.select("seq").write.mode("append").parquet(f"{root}/removed")
+
+
+def clear_history(spark: SparkSession, root: str) -> None:
+    """Remove all rows there are now, by their highest sequence number."""
+    up_to = spark.createDataFrame([(last_seq(spark, root),)], _CLEARED)
+    up_to.coalesce(1).write.mode("append").parquet(f"{root}/cleared")

@@ -36,7 +36,8 @@ def new_postings_writer(
         keep_first(normal_keys(batch), KEY, order).write.mode("overwrite").parquet(staged)
         firsts = spark.read.schema(batch.schema).parquet(staged)
         history = snapshots.read_history(spark, f"{root}/history", without_run=run)
-        new = stamp_new(probe_new_postings(firsts, history), history, clock(), ["company", *order])
+        after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
+        new = stamp_new(probe_new_postings(firsts, history), after, clock(), ["company", *order])
         snapshots.append_run(new, f"{root}/history", run)
         if recipient:
             added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)

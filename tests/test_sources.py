@@ -63,6 +63,28 @@ def test_history_runs_replace_themselves(spark, tmp_path):
     assert sorted(r.title for r in snapshots.read_history(spark, root, without_run="2").collect()) == ["a", "b"]
 
 
+def test_removed_rows_leave_the_history(spark, tmp_path):
+    root = str(tmp_path / "h")
+
+    def rows(first, *titles):
+        return spark.createDataFrame([("c", t, "u", "i", "d", None, first + n, False) for n, t in enumerate(titles)], schemas.HISTORY)
+
+    def titles():
+        return sorted(r.title for r in snapshots.read_history(spark, root).collect())
+
+    snapshots.append_run(rows(0, "a", "b", "c"), root, "1")
+    history = snapshots.read_history(spark, root)
+    assert "Join" not in history._jdf.queryExecution().optimizedPlan().toString()
+    snapshots.remove_rows(history.where("title = 'b'"), root)
+    assert titles() == ["a", "c"]
+    snapshots.append_run(rows(snapshots.last_seq(spark, root) + 1, "b"), root, "2")
+    assert titles() == ["a", "b", "c"], "a removed posting may come again"
+    snapshots.clear_history(spark, root)
+    assert titles() == [] and snapshots.last_seq(spark, root) == 3
+    snapshots.append_run(rows(snapshots.last_seq(spark, root) + 1, "a"), root, "3")
+    assert titles() == ["a"]
+
+
 def test_payloads(spark):
     endpoint = "https://t.example.com/wday/cxs/t/Careers/jobs"
     good = {"jobPostings": [{"title": "A", "locationsText": "Pune", "externalPath": "/job/1"}, {"title": None}, {}]}
