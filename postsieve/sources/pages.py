@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from postsieve.functions import vocabulary as V
 from postsieve.functions.text import as_column, first_line, strip
 
-# Parts of a page that hold no visible links.
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b.*?(?:</\1\s*>|\z)"
+# Parts of a page that hold no visible links, to the end of the page where they are not closed.
+# Every pattern over a whole page begins with a plain "<", which turns most positions away.
+_HIDDEN = (
+    r"<(?:!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+    r"|(?i:(script|style|template))\b(?:[^<]++|<(?!/(?i:\1)\s*>))*+(?:</(?i:\1)\s*>|\z))"
+)
 
 # The rest of a start tag; ">" inside a quoted attribute value does not end it.
 _ATTRIBUTES = r"""(?:\s(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)?"""
@@ -22,7 +26,7 @@ _ATTRIBUTES = r"""(?:\s(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)?"""
 # A link runs to its end tag, or to the next link where the end tag is missing. A start tag the
 # page breaks off in is matched too, so that no later search repeats the way to the end of the
 # page; it is dropped afterwards.
-_LINK = rf"(?i)<a{_ATTRIBUTES}(?:>(?:[^<]++|<(?!/?a[\s>]))*+|\z)"
+_LINK = rf"<[aA]{_ATTRIBUTES}(?:>(?:[^<]++|<(?!/?[aA][\s>]))*+|\z)"
 _START_TAG = rf"(?i)^<a{_ATTRIBUTES}>"
 _HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _BLOCK_TAG = rf"(?i)</?(?:{'|'.join(V.BLOCK_ELEMENTS)})(?:[\s/][^<>]*)?>"
