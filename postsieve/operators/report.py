@@ -14,6 +14,7 @@ from postsieve.functions.labels import (
 )
 from postsieve.functions.text import filled_or, initial, placeholder, text_or
 from postsieve.functions.urls import host_of
+from postsieve.operators.dedup import normal_keys
 from postsieve.operators.positions import SLICE_WIDTH, slice_offsets, with_positions
 
 # Lines of one digest document, names of one joined list. Longer ones continue in further parts.
@@ -196,8 +197,8 @@ def responding_count(sources: DataFrame, status: str = "status") -> DataFrame:
 
 def run_summary(firsts: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
     """One row: distinct postings of a run, how many the history had, how many are new."""
-    past = history.select(*keys).distinct().withColumn("_seen", F.lit(1))
-    return firsts.select(*keys).join(past, keys, "left").agg(
+    past = normal_keys(history.select(*keys), keys).distinct().withColumn("_seen", F.lit(1))
+    return normal_keys(firsts.select(*keys), keys).join(past, keys, "left").agg(
         F.count("*").alias("in_batch"), F.count("_seen").alias("already_seen"),
         (F.count("*") - F.count("_seen")).alias("new"),
     )

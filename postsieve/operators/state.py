@@ -14,9 +14,12 @@ def count_per_source(rows: DataFrame, source: str = "company") -> DataFrame:
     return rows.groupBy(source).agg(F.count("*").alias("n_postings"))
 
 
-def first_title(rows: DataFrame, source: str = "company", title: str = "title", order: str = "ord") -> DataFrame:
+def first_title(
+    rows: DataFrame, source: str = "company", title: str = "title", order: str | list[str] = "ord"
+) -> DataFrame:
     """Title of each source's first row in extraction order."""
-    return rows.groupBy(source).agg(F.min_by(title, order).alias("last_job"))
+    by = order if isinstance(order, str) else F.struct(*order)
+    return rows.groupBy(source).agg(F.min_by(title, by).alias("last_job"))
 
 
 def source_status(

@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from postsieve.functions import labels, matching, text, urls
 from postsieve.operators import dedup, edits, report, screens, state
+from postsieve.plans.run import Vocabulary
+from postsieve.plans.run import scheduled_run as scheduled_run_once
 from postsieve.session import fresh_dir, use_utc
 from postsieve.sources import pages as page_source
 from postsieve.sources import payloads as payload_source
-from postsieve.sources import snapshots
+from postsieve.sources import schemas, snapshots
 from postsieve.sources.scans import spread_few_splits
 from postsieve.streaming import incremental
 
@@ -310,9 +312,8 @@ def email_check(spark, sf_dir):
     return docs.select("doc_id", shaped.alias("n_emails"))
 
 
-@query
-def validate_sources(spark, sf_dir):
-    candidates = table(spark, sf_dir, "supplier").select(
+def _candidates(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("ord"),
         F.when(F.col("s_acctbal") < 0, F.lit(" \t")).otherwise(
             F.concat(F.lit(" Source "), F.col("s_nationkey"))
@@ -321,10 +322,24 @@ def validate_sources(spark, sf_dir):
             F.concat(F.lit("https://example.com/"), F.col("s_suppkey"))
         ).alias("url"),
     )
-    tracked = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == 0).select(
+
+
+def _tracked(spark, sf_dir):
+    return table(spark, sf_dir, "nation").where(F.col("n_regionkey") == 0).select(
         F.concat(F.lit("SOURCE "), F.col("n_nationkey")).alias("name")
     )
-    return edits.validate_sources(candidates, tracked)
+
+
+@query
+def validate_sources(spark, sf_dir):
+    return edits.validate_sources(_candidates(spark, sf_dir), _tracked(spark, sf_dir))
+
+
+@query
+def add_sources(spark, sf_dir):
+    """The sources table rows of the accepted candidates."""
+    checked = edits.validate_sources(_candidates(spark, sf_dir), _tracked(spark, sf_dir))
+    return edits.accepted_sources(checked).select("position", "id", "name", "url", "locked", "status")
 
 
 # Joins
@@ -530,6 +545,59 @@ def append_history(spark, sf_dir):
     return dedup.append_rows(history, new).select("company", "title", "ord", "notified")
 
 
+# The whole run
+
+
+def _run_once(spark: SparkSession, sf_dir: str) -> str:
+    """A scheduled run over parts as endpoint answers and captured pages; returns its folder.
+
+    Brands are the sources. A page belongs to the brand numbered by the length of its address, so
+    some pages belong to brands with endpoint rows, one to a brand whose answers are unreadable, and
+    some to sources without an endpoint.
+    """
+    payloads = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("company"),
+        F.lit("https://t.example.com/api/t/Careers/jobs").alias("endpoint_url"),
+        F.when(F.col("p_brand") == "Brand#20", F.lit("<html>")).otherwise(
+            F.to_json(F.struct(F.array(F.struct(
+                F.col("p_name").alias("title"), F.col("p_type").alias("locationsText"),
+                F.concat(F.lit("/job/"), "p_partkey").alias("externalPath"),
+            )).alias("jobPostings")))
+        ).alias("payload"),
+    )
+    pages = spread_few_splits(table(spark, sf_dir, "pages").select("url", "html")).select(
+        F.concat(F.lit("Brand#"), F.length("url") - 15).alias("company"), "url", "html"
+    )
+    names = payloads.select("company").union(pages.select("company")).distinct()
+    sources = names.select(
+        F.length("company").cast("bigint").alias("position"), labels.source_id("company").alias("id"),
+        F.col("company").alias("name"), F.lit("https://t.example.com").alias("url"), F.lit(True).alias("locked"),
+        F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("last_job"),
+        F.lit(None).cast("timestamp").alias("last_checked"),
+    )
+    root = fresh_dir(spark, "run")
+    snapshots.write_snapshot(sources, f"{root}/sources")
+    words = Vocabulary(
+        include=[*PART_INCLUDE, *LINK_INCLUDE], veto=PART_VETO, places=[*PART_PLACES, *LINK_INCLUDE]
+    )
+    scheduled_run_once(spark, root, payloads, pages, NOW, "user@example.com", words)
+    return root
+
+
+@query
+def scheduled_run(spark, sf_dir):
+    """The history after a whole run."""
+    history = snapshots.read_history(spark, f"{_run_once(spark, sf_dir)}/history")
+    return history.select("company", "title", "url", "id", "date", "notified")
+
+
+@query
+def scheduled_run_state(spark, sf_dir):
+    """The sources after a whole run."""
+    sources = snapshots.read_snapshot(spark, f"{_run_once(spark, sf_dir)}/sources", schemas.SOURCES)
+    return sources.select("name", "status", "last_job", F.unix_micros("last_checked").alias("last_checked_us"))
+
+
 # Streams
 
 

@@ -122,6 +122,16 @@ _DEFAULT_TITLE = """case when p_size < 5 then 'Associate ' when p_size < 10 then
 _DEFAULT_PLACE = """case p_type when 'PROMO' then 'Navi Mumbai' when 'SMALL' then 'PUNE, IN' when 'LARGE' then 'Indiana'
     when 'ECONOMY' then '' else 'Delhi/Noida' end"""
 
+_CANDIDATES = """with c as (select s_suppkey as ord,
+        case when s_acctbal < 0 then '' else 'Source ' || s_nationkey end as name,
+        case when s_acctbal > 9000 then 'ftp://x' else 'https://example.com/' || s_suppkey end as url from supplier),
+    r as (select *, case when name = '' then 'name required'
+        when url not like 'http%' then 'url must start with http' end as refused from c),
+    o as (select *, row_number() over (partition by lower(name), refused is null order by ord) as nth from r),
+    checked as (select ord, name, url, case when refused is not null then refused
+        when nth > 1 or lower(name) in (select 'source ' || n_nationkey from nation where n_regionkey = 0)
+        then 'already tracked' end as reason from o)"""
+
 
 def _endpoint_screen(include: list[str], veto: list[str], places: list[str]) -> str:
     text = "(title || ' ' || location)"
@@ -129,6 +139,19 @@ def _endpoint_screen(include: list[str], veto: list[str], places: list[str]) ->
     return f"not {_headline('title')} and {_level(text, include, veto)} and {_has_term(place, places)}"
 
 
+_RUN_INCLUDE = [*C.PART_INCLUDE, *C.LINK_INCLUDE]
+_RUN = f"""{_LINKS}, answers as (select p_brand as company, p_name as title, p_type as location, 0::bigint as ord,
+        'https://t.example.com/Careers/job/' || p_partkey as url from part where p_brand <> 'Brand#20'),
+    by_endpoint as (select company, title, url, ord from answers
+        where {_endpoint_screen(_RUN_INCLUDE, C.PART_VETO, [*C.PART_PLACES, *C.LINK_INCLUDE])}),
+    page_rows as (select 'Brand#' || (length(url) - 15) as company, {_first_line('text')} as title,
+        regexp_extract(url, '^[^:]*://[^/?#]*') || href as url, ord::bigint as ord, href, text from links),
+    by_page as (select company, title, url, ord from page_rows where title <> '' and not {_headline('title')}
+        and not {_path_word('href', V.ARTICLE_PATH_WORDS)} and {_level('text', _RUN_INCLUDE, C.PART_VETO)}
+        and {_has_term('text', [*C.PART_PLACES, *C.LINK_INCLUDE])} and company <> 'Brand#20'
+        and company not in (select company from by_endpoint)),
+    postings as (select * from by_endpoint union all select * from by_page)"""
+
 ORACLES: dict[str, str] = {
     "scan_sources": "select s_suppkey as id, s_name as name, s_nationkey as nation from supplier",
     "flatten_payload": """select event_id, 0::bigint as ord,
@@ -191,15 +214,9 @@ ORACLES: dict[str, str] = {
             unnest(regexp_split_to_array(text, '[{V.BLANK_CLASS}]+')) as token from documents)
         select doc_id, count(*) filter (where regexp_matches(token, '{EMAIL_PATTERN}')) as n_emails
         from tokens group by 1""",
-    "validate_sources": """with c as (select s_suppkey as ord,
-            case when s_acctbal < 0 then '' else 'Source ' || s_nationkey end as name,
-            case when s_acctbal > 9000 then 'ftp://x' else 'https://example.com/' || s_suppkey end as url from supplier),
-        r as (select *, case when name = '' then 'name required'
-            when url not like 'http%' then 'url must start with http' end as refused from c),
-        o as (select *, row_number() over (partition by lower(name), refused is null order by ord) as nth from r)
-        select ord, name, url, case when refused is not null then refused
-            when nth > 1 or lower(name) in (select 'source ' || n_nationkey from nation where n_regionkey = 0)
-            then 'already tracked' end as reason from o""",
+    "validate_sources": f"{_CANDIDATES} select ord, name, url, reason from checked",
+    "add_sources": f"""{_CANDIDATES} select ord as position, 'c' || substr(sha256(lower(name)), 1, 16) as id, name, url,
+        false as locked, 'unknown' as status from checked where reason is null""",
     "new_postings": f"with {_NEW} select company, title, ord from fresh",
     "probe_new_postings": f"with {_NEW} select company, title, ord from fresh",
     "endpoint_lookup": """select s_suppkey, n_name as endpoint from supplier
@@ -260,6 +277,17 @@ ORACLES: dict[str, str] = {
         select o_custkey, total, (start + 1) || '–' || least(start + 10, total) || ' of ' || total as label from s""",
     "append_history": f"""with {_NEW} select company, title, ord, notified from past
         union all select company, title, ord, null from fresh""",
+    "scheduled_run": f"""with {_RUN}, nth as (select *,
+            row_number() over (partition by company, title order by ord, url) as n from postings)
+        select company, title, url, replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id,
+            'Jan 15, 12:00' as date, false as notified from nth where n = 1""",
+    "scheduled_run_state": f"""with {_RUN}, names as (select p_brand as name from part
+            union select 'Brand#' || (length(url) - 15) from pages),
+        firsts as (select company, arg_min(title, (ord, url)) as last_job from postings group by 1)
+        select name, case when name = 'Brand#20' and exists (select 1 from part where p_brand = 'Brand#20')
+            then 'broken' else 'active' end as status, coalesce(last_job, '') as last_job,
+            epoch_us(timestamp '{_NOW}') as last_checked_us
+        from names left join firsts on company = name""",
     "stream_new_postings": f"""with {_NEW} select company, title, '/doc/' || ord as url,
         replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id from fresh""",
     "stream_dedup": f"with {_CARDS} select distinct company, title from cards",

@@ -49,15 +49,19 @@ def failed_sources(endpoint: DataFrame) -> DataFrame:
     return endpoint.where(~F.col("ok")).select("company").distinct()
 
 
+def screened_page_rows(pages: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
+    """Postings (``schemas.POSTINGS``) of captured pages that pass the screens, addresses resolved."""
+    kept = screen_page_rows(page_postings(pages), **words.as_kwargs())
+    return resolve_links(kept, "page_url", "href").select(schemas.POSTINGS.fieldNames())
+
+
 def screened_postings(endpoint: DataFrame, pages: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
     """Postings (``schemas.POSTINGS``) that pass the screens: ``screened_endpoint_rows``, and page rows
     of the sources without any."""
     columns = schemas.POSTINGS.fieldNames()
     failed = failed_sources(endpoint)
     usable = endpoint.where(F.col("ok")).join(failed, "company", "left_anti").select(columns)
-    by_page = screen_page_rows(page_postings(pages), **words.as_kwargs())
-    by_page = resolve_links(by_page, "page_url", "href").select(columns)
-    return fallback_rows(usable, by_page, "company", failed)
+    return fallback_rows(usable, screened_page_rows(pages, words), "company", failed)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -99,7 +103,7 @@ def scheduled_run(
     statuses = tracked.select(F.col("company").alias("name")).join(broken, "name", "left").select(
         "name", F.coalesce("status", F.lit("active")).alias("status")
     )
-    firsts_of_run = first_title(postings).withColumnRenamed("company", "name")
+    firsts_of_run = first_title(postings, order=ORDER).withColumnRenamed("company", "name")
     merged = merge_source_state(sources, statuses, firsts_of_run, checked_at)
     snapshots.write_snapshot(merged, f"{root}/sources")
     return run

@@ -11,14 +11,28 @@ import hashlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postsieve.operators.dedup import KEY, keep_first, normal_keys, probe_new_postings
 from postsieve.operators.report import alert_digest
 from postsieve.operators.stamp import stamp_new
-from postsieve.sources import snapshots
+from postsieve.plans.run import Vocabulary, screened_endpoint_rows, screened_page_rows
+from postsieve.sources import schemas, snapshots
+
+
+def landed_pages(spark: SparkSession, folder: str, words: Vocabulary = Vocabulary(), **options: str) -> DataFrame:
+    """Stream of the postings in captured pages as they land in a folder. ``options`` go to the file
+    source, such as ``maxFilesPerTrigger``."""
+    stream = spark.readStream.schema(schemas.PAGES).options(**options).parquet(folder)
+    return screened_page_rows(stream, words)
+
+
+def landed_payloads(spark: SparkSession, folder: str, words: Vocabulary = Vocabulary(), **options: str) -> DataFrame:
+    """Stream of the postings in endpoint answers as they land in a folder."""
+    stream = spark.readStream.schema(schemas.PAYLOADS).options(**options).parquet(folder)
+    return screened_endpoint_rows(stream, words).where(F.col("ok")).select(schemas.POSTINGS.fieldNames())
 
 
 def new_postings_writer(

@@ -155,6 +155,11 @@ def test_new_sources(spark):
     assert added.select("id").distinct().count() == 2
 
 
+def test_first_title_needs_no_unique_order(spark):
+    rows_ = spark.createDataFrame([("a", "z", "u2", 0), ("a", "y", "u1", 0), ("a", "x", "u0", 1)], schemas.POSTINGS)
+    assert rows(state.first_title(rows_, order=["ord", "url"])) == [("a", "y")]
+
+
 def test_status_and_merge(spark):
     attempts = spark.createDataFrame(
         [("a", NOW, True), ("a", datetime(2026, 8, 22, 18, tzinfo=timezone.utc), False), ("b", NOW, True), ("c", NOW, True), ("c", NOW, False)],

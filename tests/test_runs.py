@@ -102,6 +102,22 @@ def test_stream_equals_batch_and_adds_only_unseen(spark, tmp_path):
     assert digests.agg(F.sum("total")).first()[0] == history.count()
 
 
+def test_streams_of_landed_pages_and_answers(spark, tmp_path):
+    base = "https://page.example.com/jobs/"
+    pages = [("Page", base, link("Junior A", "view/1") + link("Director", "view/2")), ("Page", base, link("Junior A", "view/3"))]
+    answers = [("Api", ENDPOINT, payload("Trainee B", "Chief")), ("Api", ENDPOINT, "<html>")]
+    for name, schema, rows in (("pages", schemas.PAGES, pages), ("answers", schemas.PAYLOADS, answers)):
+        for row in rows:
+            spark.createDataFrame([row], schema).write.mode("append").parquet(f"{tmp_path}/{name}")
+    one = {"maxFilesPerTrigger": "1"}
+    for name, read in (("pages", incremental.landed_pages), ("answers", incremental.landed_payloads)):
+        stream = read(spark, f"{tmp_path}/{name}", **one)
+        incremental.start_new_postings(stream, str(tmp_path), f"{tmp_path}/checkpoint-{name}").awaitTermination()
+    found = {(r.company, r.title): r.url for r in snapshots.read_history(spark, f"{tmp_path}/history").collect()}
+    assert found[("Api", "Trainee B")] == "https://t.example.com/Careers/job/0"
+    assert found.pop(("Page", "Junior A")) in (f"{base}view/1", f"{base}view/3") and len(found) == 1
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     write = incremental.new_postings_writer(str(tmp_path), "s", "user@example.com", clock=lambda: FIRST)
     for number, batch in enumerate(FILES[:2]):
