@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,6 @@ from pyspark.sql import types as T
 from postsieve.sources import schemas
 
 
-def _is_missing(error: AnalysisException) -> bool:
-    return error.getCondition() == "PATH_NOT_FOUND"
-
-
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows, in a form the optimizer knows to be empty, so that joins with it vanish from the plan."""
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
@@ -30,40 +28,53 @@ def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
+def _unless_missing(read: Callable[[], DataFrame], otherwise: Callable[[], DataFrame]) -> DataFrame:
+    """``read()``, or ``otherwise()`` where the path does not exist; any other fault is raised."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return otherwise()
+
+
 def scan_sources_json(spark: SparkSession, path: str) -> DataFrame:
-    """The tracked sources; "" in the two optional fields becomes NULL."""
-    df = scan_json_array(spark, path, schemas.SOURCES_JSON)
-    return df.withColumns({
-        "position": F.col("seq"),
-        "last_job": F.nullif("last_job", F.lit("")),
-        "last_checked": F.to_timestamp(F.nullif("last_checked", F.lit(""))),
-    }).select(schemas.SOURCES.fieldNames())
+    """The tracked sources; "" in the two optional fields, and an instant that is none, become NULL.
+    Missing file: no rows."""
+
+    def read() -> DataFrame:
+        return scan_json_array(spark, path, schemas.SOURCES_JSON).withColumns({
+            "position": F.col("seq"),
+            "last_job": F.nullif("last_job", F.lit("")),
+            "last_checked": F.try_to_timestamp(F.nullif("last_checked", F.lit(""))),
+        }).select(schemas.SOURCES.fieldNames())
+
+    return _unless_missing(read, lambda: empty_table(spark, schemas.SOURCES))
 
 
 def scan_history_json(spark: SparkSession, path: str) -> DataFrame:
     """The stored history; its dates carry no year, so ``found_at`` stays NULL. Missing file: no rows."""
-    try:
+
+    def read() -> DataFrame:
         df = scan_json_array(spark, path, schemas.HISTORY_JSON)
-    except AnalysisException as error:
-        if not _is_missing(error):
-            raise
-        return empty_table(spark, schemas.HISTORY)
-    return df.withColumn("found_at", F.lit(None).cast("timestamp")).select(schemas.HISTORY.fieldNames())
+        return df.withColumn("found_at", F.lit(None).cast("timestamp")).select(schemas.HISTORY.fieldNames())
+
+    return _unless_missing(read, lambda: empty_table(spark, schemas.HISTORY))
 
 
 def scan_settings_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SETTINGS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """The settings, one row. Missing file: no recipient."""
+
+    def read() -> DataFrame:
+        return spark.read.schema(schemas.SETTINGS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+    return _unless_missing(read, lambda: spark.range(1).select(F.lit("").alias("recipient_email")))
 
 
 def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet table, empty when it was never written. Any other fault is raised:
-    a damaged history read as empty would report every posting again."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if not _is_missing(error):
-            raise
-        return empty_table(spark, schema)
+    """A Parquet table, empty when it was never written. A damaged history read as empty would
+    report every posting again, so any other fault is raised."""
+    return _unless_missing(lambda: spark.read.schema(schema).parquet(path), lambda: empty_table(spark, schema))
 
 
 # A snapshot table is a folder of complete versions plus a log naming the finished ones.

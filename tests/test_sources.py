@@ -12,11 +12,12 @@ def test_json_snapshots(spark, tmp_path):
     sources = [
         {"id": "a", "name": "Acme", "url": "https://a", "locked": True, "status": "active", "last_job": "", "last_checked": "2026-08-22T15:22:19.905809+00:00"},
         {"id": "b", "name": "Bell", "url": "https://b", "status": "unknown", "last_job": "X", "last_checked": ""},
+        {"id": "c", "name": "Cole", "url": "https://c", "last_checked": "yesterday"},
     ]
     (tmp_path / "sources.json").write_text(json.dumps(sources, indent=2))
     rows = snapshots.scan_sources_json(spark, str(tmp_path / "sources.json")).orderBy("position").collect()
     assert [(r.name, r.locked, r.last_job, r.last_checked is None) for r in rows] == [
-        ("Acme", True, None, False), ("Bell", None, "X", True),
+        ("Acme", True, None, False), ("Bell", None, "X", True), ("Cole", None, None, True),
     ]
     (tmp_path / "history.json").write_text(json.dumps([{"title": "t", "url": "u", "company": "c", "date": "Jul 15, 13:45", "id": "c_t", "notified": True}] * 2))
     history = snapshots.scan_history_json(spark, str(tmp_path / "history.json"))
@@ -30,6 +31,8 @@ def test_missing_is_empty_but_damaged_fails(spark, tmp_path):
     missing = snapshots.scan_history_json(spark, str(tmp_path / "none.json"))
     assert missing.count() == 0 and missing.schema == schemas.HISTORY
     assert snapshots.read_history(spark, str(tmp_path / "none")).count() == 0
+    assert snapshots.scan_sources_json(spark, str(tmp_path / "none.json")).count() == 0
+    assert snapshots.scan_settings_json(spark, str(tmp_path / "none.json")).collect() == [("",)]
     (tmp_path / "bad.json").write_text('[{"title": "t", ')
     with pytest.raises(Exception):
         snapshots.scan_history_json(spark, str(tmp_path / "bad.json")).collect()
