@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,8 @@ def ranked(df: DataFrame, key: str, order: list[str], buckets: int, rank: str =
         .withColumn(rank, F.col("_first") + F.col("_r") - 1)
         .drop("_h", "_b", "_n", "_r", "_first")
     )
+
+
+def reach_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it. On a cluster, ship it with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import lines, quality
+from postsieve.llm import lines, mixing, packing, quality, tokens
+from postsieve.llm.common import reach_package
 from postsieve.llm.oracles import LINE_DEDUP, QUALITY_RULES
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_documents(spark, sf_dir))
+
+
+def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_token_ids": op3_token_ids,
     "op5_quality_rules": op5_quality_rules,
+    "op7_source_mix": op7_source_mix,
+    "op9_best_fit_pack": op9_best_fit_pack,
     "op10_line_dedup": op10_line_dedup,
 }
 
