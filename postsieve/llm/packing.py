@@ -165,7 +165,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = 2048, length_col: s
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, spaces_dropped: bool = False,
-                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """Each document's token ids, the end id last, in pieces of at most ``capacity``: the first piece takes what is left over.
 
     Columns: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with ``keep_ids``, ``ids`` (little-endian
@@ -177,7 +177,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(vocabulary, spaces_dropped)
+        known = encoder(vocabulary, spaces_dropped, ranks)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):

@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import lines, mixing, packing, quality, tokens
+from postsieve.llm import jaccard, lines, mixing, packing, quality, tokens, vectors
 from postsieve.llm.common import reach_package
-from postsieve.llm.oracles import LINE_DEDUP, QUALITY_RULES
+from postsieve.llm.oracles import JACCARD_JOIN, LINE_DEDUP, NEAR_VECTORS, QUALITY_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_report(_documents(spark, sf_dir))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,12 +31,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +49,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_token_ids": op3_token_ids,
     "op5_quality_rules": op5_quality_rules,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_best_fit_pack": op9_best_fit_pack,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": JACCARD_JOIN,
     "op5_quality_rules": QUALITY_RULES,
+    "op6_embedding_near_dedup": NEAR_VECTORS,
     "op10_line_dedup": LINE_DEDUP,
 }

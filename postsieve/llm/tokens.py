@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,61 +18,135 @@ from postsieve.session import fresh_dir
 
 #: A space between two characters that no tokenizer here counts as white space: a safe place to cut.
 _INNER_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
+#: Letters that no normal form changes, with marks behind them; every byte-level tokenizer splits the two.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
 _SPACE_RUN = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]")
 
 
 class ChunkEncoder:
     """Encodes texts by pieces that are encoded alike wherever they stand, and keeps the ids of pieces met before.
 
-    ``spaces_dropped`` is for a tokenizer that drops white space: text is cut at blanks and line feeds. Otherwise it is cut
+    ``spaces_dropped`` is for a tokenizer that drops white space and case: text is cut at blanks and line feeds. Otherwise it is cut
     before a single blank between two words; tokens of a byte-level vocabulary never span that place.
-    At most ``keep`` pieces are kept in memory.
+    A new piece that is only Latin words with line feeds between and marks behind them is split into those, for
+    which the library's model is asked directly; its full pipeline takes every other piece. Pieces not met again for a while are
+    forgotten: at most twice ``keep`` are held.
     """
 
-    def __init__(self, path: str, spaces_dropped: bool, keep: int = 400_000):
+    def __init__(self, path: str, spaces_dropped: bool, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Byte-level vocabularies write printable bytes as themselves, the n-th other byte as character 256 + n.
+        hidden = [x for x in range(256) if x <= 32 or 127 <= x <= 160 or x == 173]
+        self.signs = {x: chr(256 + n) for n, x in enumerate(hidden)}
         self.spaces_dropped = spaces_dropped
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.spaces_dropped:
             return text.replace("\n", " ").split(" ")
         if _SPACE_RUN.search(text):
             return _INNER_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _INNER_SPACE.split(text)
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        elif word[0] in " \n":
+            word = self.signs[ord(word[0])] + word[1:]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > self.keep:
+                self.parts = {}
+            ids = self.parts[part] = self._word(part)
+        return ids
+
+    def _plain(self, piece: str) -> bytes | None:
+        """Ids of a piece of plain words, None for any other."""
+        if self.spaces_dropped:
+            piece = piece.lower()
+        if piece.isascii() and piece[1 if piece[:1] == " " else 0 :].isalpha():
+            return self._word(piece)
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            found = _PLAIN.fullmatch(line)
+            if not found or i and line[0] == " ":
+                return None
+            if i:
+                out.append(self._part("\n"))
+            out.extend(self._part(x) for x in found.groups() if x)
+        return b"".join(out)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(x) for x in texts]
-        new = {p for x in cut for p in x if p not in self.known}
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = {p for x in cut for p in x}
-        fresh = list(new)
-        for piece, ids in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[piece] = np.array(ids.ids, dtype="<u4").tobytes()
-        known = self.known
+        if len(self.known) > self.keep:
+            self.known, self.older = {}, self.known
+        known, older, full = self.known, self.older, []
+        for piece in set().union(*cut) - known.keys():
+            ids = older.get(piece)
+            if ids is None:
+                ids = self._plain(piece)
+            if ids is None:
+                full.append(piece)
+            else:
+                known[piece] = ids
+        for piece, ids in zip(full, self.tokenizer.encode_batch_fast(full, add_special_tokens=False)):
+            known[piece] = array("I", ids.ids).tobytes()
         for x in cut:
-            yield b"".join([known[p] for p in x])
+            yield b"".join(map(known.__getitem__, x))
+
+
+class RankEncoder:
+    """Ids of a byte-level vocabulary through its rank table, for texts on which both libraries split words alike.
+
+    Those are texts of characters below U+0250 other than rare control characters, without anything like a special token and without very
+    long words. Every other text goes through the tokenizers library itself.
+    """
+
+    _COMMON = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f]*")
+    _ODD = re.compile(r"<\||[^ \n]{2000}")
+
+    def __init__(self, path: str, ranks: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for text in texts:
+            if self._COMMON.fullmatch(text) and not self._ODD.search(text):
+                yield self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            else:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple, ChunkEncoder | RankEncoder] = {}
 
 
-def encoder(path: str, spaces_dropped: bool) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary; it lives as long as the worker."""
-    key = (path, spaces_dropped)
+def encoder(path: str, spaces_dropped: bool, ranks: tuple[str, str] | None = None) -> ChunkEncoder | RankEncoder:
+    """The worker's encoder for a vocabulary; it lives as long as the worker. ``ranks``: path of the same vocabulary's ranks, and word pattern."""
+    key = (path, spaces_dropped, ranks)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, spaces_dropped)
+        _ENCODERS[key] = RankEncoder(path, *ranks) if ranks else ChunkEncoder(path, spaces_dropped)
     return _ENCODERS[key]
 
 
-def slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most about ``most`` characters (one text at least), so that long texts don't pile up in memory."""
     begin = total = 0
     for i, x in enumerate(texts):
