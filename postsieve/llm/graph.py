@@ -34,20 +34,25 @@ class Forest:
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per id in ``links``: ``id`` and ``component``, the smallest id that its links reach. Nulls link nothing.
 
-    Each round takes the smallest label among the neighbours, then the label of the label, so long chains
-    shorten fast. Every round is a stored table: nothing is gathered on the driver but a count, and the links of an id that very many
+    Each round takes the smallest id among the neighbours, then that of that one, and goes on with the graph of what was joined, so both
+    chains and dense groups shrink fast. Every round is a stored table: the driver only asks whether links are left, and the links of an id that very many
     others link to are joined from stored sides, which lets Spark split them over tasks.
     """
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    both = stored(spark, pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    edges = stored(spark, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    whole = None
     while True:
-        seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("low"))
-        moved = labels.join(seen.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")
-        )
-        moved = stored(spark, moved, "labels")
-        if moved.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        over = moved.select(F.col("id").alias("via"), F.col("label").alias("further"))
-        labels = stored(spark, moved.join(over, moved["label"] == over["via"]).select("id", F.col("further").alias("label")), "labels")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stored(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+        over = low.select(F.col("id").alias("via"), F.col("label").alias("further"))
+        labels = stored(spark, low.join(over, low["label"] == over["via"]).select("id", F.col("further").alias("label")), "labels")
+        if whole is None:
+            whole = labels.withColumnRenamed("label", "component")
+        else:
+            moved = labels.select(F.col("id").alias("was"), "label")
+            whole = stored(spark, whole.join(moved, whole["component"] == moved["was"], "left").select("id", F.coalesce("label", "component").alias("component")), "components")
+        of_a, of_b = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+        joined = edges.join(of_a, "a").join(of_b, "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        edges = stored(spark, joined.distinct(), "links")
+        if edges.isEmpty():
+            return whole

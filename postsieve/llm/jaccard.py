@@ -169,7 +169,10 @@ _MANY = 2_000_000
 
 
 def _keys_of(parts: Parts, width: int):
-    """Per task: a row for each document (kind 0), for each key met one row with the smallest id (1), and the task's own links to it (2)."""
+    """Per task: a row for each document (kind 0); its documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
+
+    A group that many documents are in so sends the same few pairs of ids for all its keys.
+    """
 
     def batch(kind: int, key, ids, n, other) -> pa.RecordBatch:
         key = np.ascontiguousarray(key).view(np.int64)
@@ -179,15 +182,20 @@ def _keys_of(parts: Parts, width: int):
     def met(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         if not keys:
             return
-        owner, every = np.repeat(np.array(ids, dtype=np.int64), [len(k) for k in keys]), np.concatenate(keys)
+        names, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+        owner, every = np.repeat(at, [len(k) for k in keys]), np.concatenate(keys)
         order = np.lexsort((owner, every))
         owner, every = owner[order], every[order]
         first = np.concatenate(([True], every[1:] != every[:-1]))
         lowest = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
-        links = np.unique(np.stack([owner, lowest])[:, owner != lowest], axis=1)
-        yield batch(1, every[first], owner[first], 0, 0)
-        if links.shape[1]:
-            yield batch(2, _mixed(links[0].view(np.uint64)), links[0], 0, links[1])
+        forest = Forest(len(names))
+        for i, j in np.unique(np.stack([owner, lowest])[:, owner != lowest], axis=1).T.tolist():
+            forest.union(i, j)
+        root = names[forest.roots()]
+        yield batch(1, every[first], root[owner[first]], 0, 0)
+        own = np.flatnonzero(root != names)
+        if len(own):
+            yield batch(2, _mixed(names[own].view(np.uint64)), names[own], 0, root[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -246,11 +254,13 @@ def _search(num: int, den: int, width: int):
 
 def _searched(rows: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """Links that the search finds in each ``block`` of ``rows`` (block, id, label, text)."""
-    dealt = rows.select("block", "id", "label", "text").repartition("block").sortWithinPartitions("block")
+    # The number is given, since blocks of few bytes may still take long: they are not to be put together by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("block", "id", "label", "text").repartition(tasks, "block").sortWithinPartitions("block")
     return dealt.mapInArrow(_search(num, den, width), "a long, b long")
 
 
-def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 512,
+def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest id that its links reach).
 
@@ -267,7 +277,7 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den), width), ROWS)
     lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
-    met = rows.withColumn("low", lowest).filter("kind <> 1 OR id > low").drop("low2")
+    met = rows.withColumn("low", lowest).filter("kind <> 1 OR id > low")
     met = stored(spark, met, "keys-met")
     about = met.filter("kind = 0").select("id", "n", F.col("key").alias("print"), "other")
     first = stored(spark, about.filter("n > 0").groupBy("n", "print", "other").agg(F.min("id").alias("rep")), "sets")
@@ -281,7 +291,8 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     sized = stored(spark, ranked(reps, "grp", ["id"], 64, "rank"), "groups")
     several = sized.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
     chosen = stored(spark, sized.join(stored(spark, several, "group-sizes"), "grp"), "chosen")
-    texts = chosen.join(named, "id").select("id", "grp", "size", "text", F.xxhash64("grp", F.floor(F.col("rank") / block_rows)).alias("block"))
+    # Merged at every size: the plan does not change where the chosen ids outgrow a broadcast.
+    texts = chosen.join(named.hint("merge"), "id").select("id", "grp", "size", "text", F.xxhash64("grp", F.floor(F.col("rank") / block_rows)).alias("block"))
     texts = stored(spark, texts, "texts")
     links = stored(spark, _searched(texts.withColumn("label", F.col("id")), num, den, width), "links")
     if not chosen.filter(F.col("size") > block_rows).isEmpty():
