@@ -90,7 +90,12 @@ class Gru:
         inside.reshape(-1)[: words] = count
         self.p["wb"] = np.log(inside).astype(f)
         self.p["cb"] = np.log(np.concatenate([inside.sum(1), 10.0 ** vocabulary.tail_norm])).astype(f)
-        self.squares = {k: np.full(v.shape, 1e-8, f) for k, v in self.p.items()}
+        # Log probabilities of tokens by the corpus frequencies alone.
+        alone = np.concatenate([count, 10.0 ** vocabulary.tail_norm])
+        self.alone = np.log(alone / alone.sum())
+        self.trust = 0.8
+        # Output weights start with larger sums of squares: words that are rare must not be pushed down before they are met.
+        self.squares = {k: np.full(v.shape, 1e-5 if k in ("c", "cb", "w", "wb") else 1e-8, f) for k, v in self.p.items()}
 
     def steps(self, tokens: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
         """States before each token for lanes of tokens (time x lane); ``fresh`` marks first tokens of documents. Also what the way back needs."""
@@ -212,8 +217,13 @@ def _learn_all(gru: Gru, docs: list[np.ndarray], lanes: int, window: int, share:
         state = gru.last
 
 
-def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
-    """Natural log probability of each document's tokens by class and place, without the share inside tail classes."""
+def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window: int = 32, trust: float | None = None) -> np.ndarray:
+    """Natural log probability of each document's tokens by class and place, without the share inside tail classes.
+
+    Each token's probability is ``trust`` (default: the network's own) times the network's plus the rest times the corpus frequency, which
+    bounds what a network of little data can lose.
+    """
+    trust = gru.trust if trust is None else trust
     tokens, owner, fresh = lanes_of(docs, lanes)
     state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros(len(docs))
     for t in range(0, len(tokens), window):
@@ -222,6 +232,7 @@ def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window:
         state = gru.last
         real = owner[part].reshape(-1) >= 0
         got = gru.log_probability(states.reshape(-1, gru.size)[real], tokens[part].reshape(-1)[real])
+        got = np.logaddexp(got + np.log(trust), gru.alone[tokens[part].reshape(-1)[real]] + np.log(1 - trust))
         out += np.bincount(owner[part].reshape(-1)[real], weights=got, minlength=len(docs))
     return out
 
@@ -272,7 +283,7 @@ def vocabulary_of(counts: DataFrame, documents: int, head: int, tails: int, in_c
 def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int, share: float, warm_rows: int, rate: float, lanes: int) -> Gru:
     """Weights from all of ``spark_docs`` (one text column): each task goes on from common weights over its documents, then weights are averaged.
 
-    The common weights come from a first pass over ``warm_rows`` documents chosen by hash; it only spares the tasks a cold start. Averages weigh tasks by
+    The common weights come from a first pass over ``warm_rows`` documents chosen by hash; it only spares the tasks a cold start; half as many more choose how far the network is trusted. Averages weigh tasks by
     their documents and are taken on the cluster, a slice of the weights at a time; the driver gets one set of weights.
     """
     spark = spark_docs.sparkSession
@@ -282,11 +293,11 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
     def numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
         return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int64) for x in texts]
 
-    warm = [r[0] for r in spark_docs.orderBy(F.xxhash64("text"), "text").limit(warm_rows).collect()]
+    first = [r[0] for r in spark_docs.orderBy(F.xxhash64("text"), "text").limit(warm_rows + warm_rows // 2).collect()]
+    warm, check = first[: max(1, len(first) * 2 // 3)], first[max(1, len(first) * 2 // 3) :]
     if not warm:
         return gru
-    for _ in range(2):
-        _learn_all(gru, numbered(warm, named), 32, window, 1.0, rate, np.random.default_rng(5))
+    _learn_all(gru, numbered(warm, named), 32, window, 1.0, rate, np.random.default_rng(5))
     start = spark.sparkContext.broadcast((gru, vocabulary))
     slice_size = 4096
 
@@ -316,11 +327,14 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
     flat = np.concatenate([r["w"] for r in sorted(parts, key=lambda r: r["at"])]).astype(np.float32)
     for k in sorted(gru.p):
         gru.p[k], flat = flat[: gru.p[k].size].reshape(gru.p[k].shape), flat[gru.p[k].size :]
+    if check:
+        ids = numbered(check, named)
+        gru.trust = max((0.01, 0.1, 0.25, 0.5, 0.65, 0.8, 0.95), key=lambda t: score_documents(gru, ids, trust=t).sum())
     return gru
 
 
 def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64, size: int = 16, window: int = 16, share: float = 0.25,
-          warm_rows: int = 200, rate: float = 0.05, lanes: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+          warm_rows: int = 200, rate: float = 0.03, lanes: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text).
 
     Ids whose CRC-32 leaves 1 when divided by 5 are held out. Counts of all words of all other documents give the base score, the classes, and each word's share inside its

@@ -1,0 +1,219 @@
+"""Jaccard join, vector dedup, components, toxicity, secret scan and language model: brute force, edge cases, held-out accuracy."""
+
+from __future__ import annotations
+
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from postsieve.llm import graph, jaccard, language_model, secret_scan, toxicity, vectors
+from postsieve.llm import queries as llm
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def _groups(links, ids):
+    label = {i: i for i in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    got = {r["id"]: r["component"] for r in graph.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+    assert graph.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _near_copies(seed: int):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for base in range(8):
+        text = [r.choice(words) for _ in range(r.randint(3, 120))]
+        for _ in range(8):
+            copy = list(text)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            if r.random() < 0.3:
+                copy += [r.choice(words)] * r.randint(1, 6)
+            rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("width,num,den,blocks", [(3, 9, 10, 256), (5, 4, 5, 256), (3, 9, 10, 3), (2, 4, 5, 5)])
+def test_jaccard_join_by_brute_force(spark, width, num, den, blocks):
+    rows = _near_copies(width + blocks)
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
+    links = [(a, b) for a in sets for b in sets if a < b and Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= Fraction(num, den)]
+    label = _groups(links, list(sets))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked_groups(frame, width, num, den, blocks).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_keys_of_linked_sets_meet():
+    r = np.random.default_rng(1)
+    for num, den in ((9, 10), (4, 5)):
+        parts = jaccard.Parts(num, den)
+        for n in [1, 2, 4, 5, 8, 9, 13, 20, 40, 77, 150, 400]:
+            for _ in range(20):
+                x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+                cut = int(r.integers(0, n - -(-num * n // den) + 1))
+                y = x[cut:]
+                assert np.intersect1d(parts.keys(x), parts.keys(y)).size
+                assert len(parts.keys(x)) <= 8 * n + 8
+
+
+def test_jaccard_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (6, "one two"), (None, "one two"), (9, "a b c " * 30_000), (8, "a b c " * 30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS kind", "3 AS component_id")
+    got = sorted((tuple(r) for r in jaccard.linked_groups(frame, 3, 9, 10).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (6, 1, 6), (8, 3, 8), (9, 3, 8), (None, None, None)], key=str)
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(frame, width=3).collect()) == sorted(map(str, [1, 2, 3, 4, 6, 6, None, 8]))
+    assert jaccard.linked_groups(frame.filter("false")).count() == 0
+
+
+def _vectors(seed: int):
+    r = np.random.default_rng(seed)
+    out = []
+    for base in range(60):
+        v = r.normal(size=24)
+        for _ in range(int(r.integers(1, 6))):
+            out.append((len(out), (v + r.normal(size=24) * r.choice([0.0, 0.05, 0.12, 0.2])).astype(np.float32).tolist(), int(base % 3)))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [2048, 7])
+def test_vectors_by_brute_force(spark, block_rows):
+    rows = _vectors(4)
+    m = np.array([v for _, v, _ in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    labels = np.array([x[2] for x in rows])
+    near = (m @ m.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame, lists=8, probes=8, block_rows=block_rows).collect()}
+    label = _groups(list(zip(*np.nonzero(near))), range(len(rows)))
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (int(near[i].sum()), label[i], label[i] == i) for i in range(len(rows))}
+
+
+def test_vector_recall_with_few_probes(spark):
+    rows = _vectors(9)
+    m = np.array([v for _, v, _ in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    labels = np.array([x[2] for x in rows])
+    want = int(((m @ m.T >= 0.98) & (labels[:, None] == labels[None, :])).sum()) - len(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sum(r["n_links"] for r in vectors.near_vectors(frame, lists=8, probes=2).collect())
+    assert 0.9 * want <= got <= want
+
+
+def test_vector_edge_cases(spark):
+    nan = float("nan")
+    rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [None, 1.0], 1), (5, [1.0, 1.0], None), (6, [1.0, 1.0], 1), (7, [2.0, 2.0], 1),
+            (8, [1.0, 1.0], 2), (None, [1.0, 1.0], 1), (9, [], 1), (6, [1.0, 1.0], 1), (10, [1.0, 1.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS rep", "2 AS v")
+    got = sorted((tuple(r) for r in vectors.near_vectors(frame).collect()), key=str)
+    alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 8, 9, 10)] + [(None, 0, None, True)]
+    assert got == sorted([*alone, (6, 1, 6, True), (6, 1, 6, True), (7, 1, 6, False)], key=str)
+    assert vectors.near_vectors(frame.filter("false")).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = llm.op4_toxicity(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").toPandas()
+    score, toxic = got["score"].to_numpy(), got["toxic"].to_numpy() == 1
+    assert ((score >= 0) & (score <= 1)).all() and got["held_out"].any()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == held["toxic"]).mean() >= 0.9
+    assert np.mean(score[toxic][:, None] > score[~toxic][None, :]) > 0.9
+
+
+def test_toxicity_edge_cases(spark):
+    docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "same text", "xx"), (3, "same text", "yy"), (None, "same text", "en"), (4, "w " * 100_000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (3, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
+    for found in (labels, labels.filter("toxic = 0"), labels.filter("false")):
+        rows = toxicity.toxicity(docs, found).collect()
+        assert len(rows) == 6 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+        assert len({r["score"] for r in rows if r["doc_id"] in (3, None)}) == 1
+    assert toxicity.toxicity(docs.filter("false"), labels).count() == 0
+
+
+def test_secret_scan_finds_assigned_keys(spark):
+    found = llm.op2_secret_scan(spark, SMALL)
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    planted = documents.filter("text RLIKE '(?:^|[ \\n])token = \"[0-9a-f]{40}\"'").select("doc_id")
+    hit = found.filter("secret").select("doc_id").distinct()
+    assert planted.count() > 5 and planted.join(hit, "doc_id", "left_anti").count() <= 1
+    assert hit.join(planted, "doc_id", "left_anti").count() <= 0.02 * documents.count()
+
+
+def test_secret_scan_with_given_findings(spark):
+    docs = spark.createDataFrame([(1, 'api_key = "a1b2c3d4e5f6a7b8c9d0"', "app"), (2, "an extraordinarilylongword here", None), (3, None, "x"), (4, "", "x")], "doc_id long, text string, source string")
+    some = secret_scan.candidates(docs)
+    findings = some.selectExpr("*", "CASE WHEN doc_id = 1 THEN 1 ELSE 0 END AS label")
+    many = findings
+    for _ in range(4):
+        many = many.unionByName(many)
+    got = {r["doc_id"]: r["secret"] for r in secret_scan.scan(docs, many).collect()}
+    assert got == {1: True, 2: False}
+    assert secret_scan.scan(docs, findings.filter("label = 0")).filter("secret").count() == 0
+    assert secret_scan.scan(docs.filter("false")).count() == 0
+
+
+def test_language_model_counts_and_held_out(spark):
+    got = llm.op8_lm_score(spark, SMALL).toPandas()
+    texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
+    import zlib
+
+    counts: dict = {}
+    for i, text in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in [*language_model.tokens_of(text), None]:
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for r in got.itertuples():
+        own = [*language_model.tokens_of(texts[r.doc_id]), None]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
+        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in own))
+    held = got[got["held_out"]]
+    assert held["score"].sum() > held["base_score"].sum()
+
+
+def test_language_model_probabilities_sum_to_one():
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c"], 5, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(5), 1.0, 17)
+    gru = language_model.Gru(vocabulary, 4)
+    every = np.arange(vocabulary.words + vocabulary.tails)
+    states = np.tile(np.random.default_rng(0).normal(size=(1, 4)).astype(np.float32), (len(every), 1))
+    assert np.exp(gru.log_probability(states, every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_gradient():
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c"], 2, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(2), 1.0, 17)
+    gru = language_model.Gru(vocabulary, 3)
+    docs = [np.array([1, 2, 4, 3, 0]), np.array([2, 5, 0])]
+    before = language_model.score_documents(gru, docs).sum()
+    tokens, owner, fresh = language_model.lanes_of(docs, 2)
+    for _ in range(30):
+        gru.learn(tokens, fresh, owner >= 0, np.zeros((2, 3), np.float32), 0.05)
+    assert language_model.score_documents(gru, docs).sum() > before + 1
+
+
+def test_language_model_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "word " * 50_000), (4, "café 日本"), (4, "café 日本"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS tail")
+    got = language_model.score(docs).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 3, 50_001] and all(np.isfinite(r["score"]) for r in got)
+    assert language_model.score(docs.filter("false")).count() == 0
