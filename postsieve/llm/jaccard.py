@@ -88,7 +88,7 @@ class Parts:
     def _band_keys(self, found: np.ndarray, band: int) -> np.ndarray:
         largest = self.limits[band + 1] - 1
         differ = 2 * largest * (self.den - self.num) // (self.den + self.num)
-        spare = 0 if not differ else 1 + differ // (10 if self.num * 10 < self.den * 9 else 40)
+        spare = 0 if not differ else 1 + differ // (5 if self.num * 10 < self.den * 9 else 40)
         parts = differ + 1 + spare
         out = []
         for seed in range(self.SEEDS):
