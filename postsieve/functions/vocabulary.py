@@ -6,6 +6,9 @@ for other words.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 # The word lists that decide which postings are kept.
 INCLUDE_TERMS = [
     "graduate", "entry level", "entry-level", "associate", "0-1 year",
@@ -27,16 +30,10 @@ PLACE_TERMS = [
 # Path words of pages that are articles, not postings.
 ARTICLE_PATH_WORDS = ["blog", "news", "stories", "insights", "article"]
 
-# Endpoint configuration (source id, kind, address).
-ENDPOINTS = [
-    ("sanofi", "workday", "https://sanofi.wd3.myworkdayjobs.com/wday/cxs/sanofi/SanofiCareers/jobs"),
-]
-
-# Sizes used by the paged view, the row id, the short title and the endpoint request.
+# Sizes used by the paged view, the row id and the short title.
 PAGE_SIZE = 10
 ID_TITLE_CHARS = 40
 SHORT_TITLE_CHARS = 50
-ENDPOINT_ROWS = 20
 
 # Display formats and labels.
 DISPLAY_DATE_FORMAT = "MMM d, HH:mm"
@@ -63,17 +60,14 @@ BLANK_CHARS = "".join(
 # A word character: any letter, any number, underscore.
 WORD_CLASS = r"\p{L}\p{N}_"
 
-# The named HTML references decoded in link text and addresses ("&amp;" is decoded last).
-HTML_REFERENCES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&hellip;", "…"), ("&bull;", "•"), ("&middot;", "·"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&amp;", "&"),
-]
+# The named HTML references, as the standard library lists them; "&amp;" is decoded apart, last.
+HTML_REFERENCES_JSON = json.dumps({
+    name[:-1]: char for name, char in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")
+})
 
 # HTML elements that begin and end a line of visible text.
 BLOCK_ELEMENTS = [
-    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption",
-    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li",
-    "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul",
+    "address", "article", "aside", "blockquote", "br", "caption", "dd", "details", "dialog", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
+    "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tr", "ul",
 ]

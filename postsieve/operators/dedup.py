@@ -80,12 +80,12 @@ def fallback_rows(
 ) -> DataFrame:
     """All ``preferred`` rows, and ``other`` rows of the sources that have none and did not fail.
 
-    The right side of the anti-join is one row per source.
+    The right side is not made distinct: an anti-join needs no unique keys, and without an aggregate before it a hot source can be split.
     """
     covered = preferred.select(source)
     if failed is not None:
         covered = covered.unionByName(failed.select(source))
-    return preferred.unionByName(other.join(covered.distinct(), source, "left_anti"))
+    return preferred.unionByName(other.join(covered, source, "left_anti"))
 
 
 def append_rows(history: DataFrame, new: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ def delete_by_key(table: DataFrame, ids: DataFrame, keys: list[str] | str) -> Da
     """Rows whose key is not listed. Postings are removed by company and title: the display id
     is shared by long titles."""
     keys = [keys] if isinstance(keys, str) else keys
-    return table.join(ids.select(*keys).distinct(), keys, "left_anti")
+    return table.join(ids.select(*keys), keys, "left_anti")
 
 
 def select_by_key(table: DataFrame, ids: DataFrame, keys: list[str] | str) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else keys
-    return table.join(ids.select(*keys).distinct(), keys, "left_semi")
+    return table.join(ids.select(*keys), keys, "left_semi")
 
 
 def validate_sources(candidates: DataFrame, tracked: DataFrame, order: str = "ord") -> DataFrame:

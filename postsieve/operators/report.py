@@ -98,7 +98,7 @@ def alert_digest(
 def pending_alerts(history: DataFrame, sent: DataFrame | None = None, key: str = "seq") -> DataFrame:
     """Rows not yet notified: neither flagged in the history nor listed in ``sent``."""
     open_rows = history.where(~F.coalesce(F.col("notified"), F.lit(False)))
-    return open_rows if sent is None else open_rows.join(sent.select(key).distinct(), key, "left_anti")
+    return open_rows if sent is None else open_rows.join(sent.select(key), key, "left_anti")
 
 
 def mark_notified(history: DataFrame, sent: DataFrame, key: str = "seq") -> DataFrame:

@@ -23,7 +23,6 @@ from postsieve.session import fresh_dir, use_utc
 from postsieve.sources import pages as page_source
 from postsieve.sources import payloads as payload_source
 from postsieve.sources import schemas, snapshots
-from postsieve.sources.scans import spread_few_splits
 from postsieve.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +86,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.extract_links(
-        spread_few_splits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+        table(spark, sf_dir, "pages").select("page_id", "url", "html")
     )
 
 
@@ -141,7 +140,7 @@ def extract_links(spark, sf_dir):
 @query
 def page_postings(spark, sf_dir):
     """Captured pages from end to end: links, titles, screens, addresses."""
-    pages = spread_few_splits(table(spark, sf_dir, "pages").select("url", "html"))
+    pages = table(spark, sf_dir, "pages").select("url", "html")
     captured = pages.select(urls.host_of("url").alias("company"), "url", "html")
     kept = screens.screen_page_rows(
         page_source.page_postings(captured), include=LINK_INCLUDE, veto=LINK_VETO, places=None,
@@ -308,7 +307,7 @@ def default_screens(spark, sf_dir):
 def email_check(spark, sf_dir):
     tokens = F.split("text", f"[{matching.V.BLANK_CLASS}]+")
     shaped = F.size(F.filter(tokens, matching.email_shaped)).cast("bigint")
-    docs = spread_few_splits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", shaped.alias("n_emails"))
 
 
@@ -565,7 +564,7 @@ def _run_once(spark: SparkSession, sf_dir: str) -> str:
             )).alias("jobPostings")))
         ).alias("payload"),
     )
-    pages = spread_few_splits(table(spark, sf_dir, "pages").select("url", "html")).select(
+    pages = table(spark, sf_dir, "pages").select("url", "html").select(
         F.concat(F.lit("Brand#"), F.length("url") - 15).alias("company"), "url", "html"
     )
     names = payloads.select("company").union(pages.select("company")).distinct()

@@ -13,6 +13,15 @@ _BLANKS = " || ".join(f"chr({ord(c)})" for c in V.BLANK_CHARS)
 _NOT_WORD = f"[^{V.WORD_CLASS}]"
 
 
+# The named HTML references that the given pages may hold; "&amp;" is decoded last.
+REFERENCES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&hellip;", "…"), ("&bull;", "•"), ("&middot;", "·"), ("&copy;", "©"),
+    ("&reg;", "®"), ("&trade;", "™"), ("&amp;", "&"),
+]
+
+
 def _strip(e: str) -> str:
     return f"trim({e}, {_BLANKS})"
 
@@ -53,7 +62,7 @@ def _host(e: str) -> str:
 
 
 def _decoded(e: str) -> str:
-    for reference, char in V.HTML_REFERENCES:
+    for reference, char in REFERENCES:
         e = f"replace({e}, '{reference}', chr({ord(char)}))"
     return e
 

@@ -7,6 +7,8 @@ go over a hostile page again and again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from postsieve.functions.text import as_column, first_line, strip
 # Every pattern over a whole page begins with a plain "<", which turns most positions away.
 _HIDDEN = (
     r"<(?:!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
-    r"|(?i:(script|style|template))\b(?:[^<]++|<(?!/(?i:\1)\s*>))*+(?:</(?i:\1)\s*>|\z))"
+    r"|(?i:(script|style|template|svg))\b(?:[^<]++|<(?!/(?i:\1)\s*>))*+(?:</(?i:\1)\s*>|\z))"
 )
 
 # The rest of a start tag; ">" inside a quoted attribute value does not end it.
@@ -30,41 +32,51 @@ _LINK = rf"<[aA]{_ATTRIBUTES}(?:>(?:[^<]++|<(?!/?[aA][\s>]))*+|\z)"
 _START_TAG = rf"(?i)^<a{_ATTRIBUTES}>"
 _HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _BLOCK_TAG = rf"(?i)</?(?:{'|'.join(V.BLOCK_ELEMENTS)})(?:[\s/][^<>]*)?>"
+_CELL_END = r"(?i)</t[dh]\s*>"
 _ANY_TAG = r"</?[A-Za-z][^<>]*>"
 
 
+def _char_of(digits: Column, base: int) -> Column:
+    """Character of a reference's digits, however many; U+FFFD for zero, surrogates and what is out of range."""
+    short = F.regexp_replace(digits, "^0+", "")
+    number = F.when((short != "") & (F.length(short) <= 7), F.conv(short, base, 10).cast("bigint"))
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
 def decode_references(c: Column) -> Column:
-    """Decode named and numbered character references; the numbered ones only where there are any."""
-    *named, ampersand = V.HTML_REFERENCES
-    for reference, char in named:
-        c = F.replace(c, F.lit(reference), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,6});"), F.lit(1)))
-    hex_codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9A-Fa-f]{1,5});"), F.lit(1)))
-
-    def char_of(hex_code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
-
-    decimal = F.aggregate(
-        codes, c,
-        lambda text, n: F.replace(
-            text, F.concat(F.lit("&#"), n, F.lit(";")), char_of(F.hex(n.cast("bigint")))
-        ),
-    )
-    both = F.aggregate(
-        hex_codes, decimal,
-        lambda text, n: F.regexp_replace(text, F.concat(F.lit("&#[xX]"), n, F.lit(";")), char_of(n)),
-    )
-    c = F.when(F.contains(c, F.lit("&#")), both).otherwise(c)
-    return F.replace(c, F.lit(ampersand[0]), F.lit(ampersand[1]))
+    """Decode named and numbered character references, each only where there are any.
+
+    Every replacement is literal: a decoded "$" or backslash stands for itself.
+    """
+    ampersand = F.lit("&")
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]{1,31});"), F.lit(1)))
+    known = F.from_json(F.lit(V.HTML_REFERENCES_JSON), "map<string,string>")
+
+    def all_of(text: Column, found: Column, before: list[str], char: Callable[[Column], Column]) -> Column:
+        def one(done: Column, key: Column) -> Column:
+            for start in before:
+                done = F.replace(done, F.concat(F.lit(start), key, F.lit(";")), char(key))
+            return done
+
+        return F.aggregate(found, text, one)
+
+    decoded = all_of(c, names, ["&"], lambda n: F.coalesce(F.try_element_at(known, n), F.concat(ampersand, n, F.lit(";"))))
+    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]+);"), F.lit(1)))
+    hex_codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9A-Fa-f]+);"), F.lit(1)))
+    decimal = all_of(decoded, codes, ["&#"], lambda n: _char_of(n, 10))
+    both = all_of(decimal, hex_codes, ["&#x", "&#X"], lambda n: _char_of(n, 16))
+    last = F.replace(F.replace(both, F.lit("&amp;"), ampersand), F.lit("&AMP;"), ampersand)
+    return F.when(F.contains(c, ampersand), last).otherwise(c)
 
 
 def visible_text(html: Column) -> Column:
     """Text of an HTML fragment as a reader sees it: source line breaks are blanks, block
-    elements are line breaks, other tags vanish, references are decoded."""
+    elements are line breaks, table cells end with a tab, other tags vanish, references are decoded."""
     flat = F.regexp_replace(html, r"[\t\n\f\r ]+", " ")
-    lined = F.regexp_replace(flat, _BLOCK_TAG, "\n")
+    lined = F.regexp_replace(F.regexp_replace(flat, _CELL_END, "\t"), _BLOCK_TAG, "\n")
     bare = F.regexp_replace(F.regexp_replace(lined, _ANY_TAG, ""), " {2,}", " ")
-    tidy = F.regexp_replace(bare, r" ?\n[ \n]*", "\n")
+    tidy = F.regexp_replace(bare, r"[ \t]*+\n[ \t\n]*", "\n")
     return strip(decode_references(tidy))
 
 

@@ -131,7 +131,7 @@ def read_history(spark: SparkSession, root: str, without_run: str | None = None)
     if cleared is not None:
         rows = rows.where(F.col("seq") > cleared)
     removed = scan_or_empty(spark, f"{root}/removed", _REMOVED)
-    return rows.join(removed.distinct(), "seq", "left_anti").select(_STORED_HISTORY.fieldNames())
+    return rows.join(removed, "seq", "left_anti").select(_STORED_HISTORY.fieldNames())
 
 
 def last_seq(spark: SparkSession, root: str, without_run: str | None = None) -> int:

