@@ -107,13 +107,14 @@ class Parts:
         return np.concatenate(out)
 
 
-def divide_skip(sets: list[np.ndarray], same: list[int], num: int, den: int, mu: float = 0.01) -> list[int]:
+def divide_skip(sets: list[np.ndarray], same: list[int], num: int, den: int, mu: float = 0.5) -> list[int]:
     """Trees of the sets that links join: for each set the lowest number in its tree.
 
     ``same`` gives trees known before; links inside a tree are not looked for. Sets ask in order of size. A set x needs T = num / den of
     |x| shingles in common with a smaller one. Its L longest lists are put aside; the short ones are merged, which leaves
     the sets that stand in T - L of them, and only those are looked up in the long lists by binary search. Among candidates of
-    one tree the best goes first, and a hit ends the search in that tree.
+    one tree the best goes first, and a hit ends the search in that tree. ``mu`` weighs a look-up against a merged posting: the larger it is,
+    the fewer lists are put aside. Merging runs over arrays and a look-up is a call, so it is larger than for lists in memory pages.
     """
     forest = Forest(len(sets))
     for i, j in enumerate(same):
@@ -270,8 +271,8 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
 
     What grows: keys, about a sixth of the words, go through one shuffle, at most one row for each key and task, so a key that very many documents have is no
     hot group. Only documents that share a key move their text. A group of more than ``block_rows`` sets is
-    searched in blocks: first each block, then the trees' first members against each other until that joins no more, last all pairs of blocks that still hold
-    different trees. That is every pair which may link; copies and sets of one tree are never compared again.
+    searched in blocks: first each block, then the trees' first members against each other as long as that more than halves them, last all pairs of blocks that still
+    hold different trees. That is every pair which may link; copies and sets of one tree are never compared again.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -315,14 +316,14 @@ def _across_blocks(texts: DataFrame, links: DataFrame, num: int, den: int, width
         thin = texts.select("id", "grp").distinct()
         return stored(spark, thin.join(trees, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("label")), "trees")
 
-    while True:
+    while True:  # Each round has less than half the heads of the one before; what it leaves open, the pairs of blocks decide.
         now = labelled(links)
         heads = ranked(now.filter("id = label"), "grp", ["id"], 64, "rank")
         heads = stored(spark, heads.withColumn("block", F.xxhash64("grp", F.floor(F.col("rank") / block_rows))).select("id", "label", "block"), "heads")
         more = stored(spark, _searched(heads.join(texts.select("id", "text"), "id"), num, den, width), "links")
-        if more.isEmpty():
+        links = links.unionByName(more)
+        if more.count() * 2 <= heads.count():
             break
-        links = stored(spark, links.unionByName(more), "links")
 
     # Blocks of one large tree, or of many small trees; then every pair of blocks of a group that can hold two trees.
     trees = now.groupBy("grp", "label").agg(F.count("*").alias("rows"))
