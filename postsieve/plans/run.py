@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postsieve.functions import vocabulary as V
 from postsieve.functions.urls import resolve_links
 from postsieve.operators.dedup import KEY, fallback_rows, keep_first, normal_keys, probe_new_postings
-from postsieve.operators.report import alert_digest
+from postsieve.operators.report import DIGEST_LINES, alert_digest
 from postsieve.operators.screens import endpoint_row_ok, screen_page_rows
 from postsieve.operators.stamp import stamp_new
 from postsieve.operators.state import first_title, merge_source_state
@@ -73,10 +73,12 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
 def scheduled_run(
     spark: SparkSession, root: str, payloads: DataFrame, pages: DataFrame,
     checked_at: datetime, recipient: str = "", words: Vocabulary = Vocabulary(),
+    lines_per_document: int = DIGEST_LINES,
 ) -> str:
     """Run once and store the results below ``root``; returns the name of the run.
 
-    Tables: ``sources`` (snapshot), ``history`` (runs), ``digests`` (runs), ``stage`` (runs).
+    Tables: ``sources`` (snapshot), ``history`` (runs), ``digests`` (runs), ``stage`` (runs). A digest of
+    more than ``lines_per_document`` lines goes on in further documents.
     """
     run = f"{checked_at:%Y%m%dT%H%M%S%f}"
     stage = f"{root}/stage/run={run}"
@@ -96,7 +98,7 @@ def scheduled_run(
     added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
 
     if recipient:
-        digest = alert_digest(added.withColumn("recipient", F.lit(recipient)))
+        digest = alert_digest(added.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
         digest.write.mode("overwrite").parquet(f"{root}/digests/run={run}")
 
     broken = failed_sources(endpoint).select(F.col("company").alias("name"), F.lit("broken").alias("status"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postsieve.operators.dedup import KEY, keep_first, normal_keys, probe_new_postings
-from postsieve.operators.report import alert_digest
+from postsieve.operators.report import DIGEST_LINES, alert_digest
 from postsieve.operators.stamp import stamp_new
 from postsieve.plans.run import Vocabulary, screened_endpoint_rows, screened_page_rows
 from postsieve.sources import schemas, snapshots
@@ -37,10 +37,10 @@ def landed_payloads(spark: SparkSession, folder: str, words: Vocabulary = Vocabu
 
 def new_postings_writer(
     root: str, name: str, recipient: str = "", order: list[str] | None = None,
-    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES,
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: store the new postings of a batch, and its digest when there
-    is a recipient. ``name`` tells the streams that write to one history apart."""
+    is a recipient, ``lines_per_document`` lines to a document. ``name`` tells the streams that write to one history apart."""
     order = order or ["ord", "url"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -55,7 +55,7 @@ def new_postings_writer(
         snapshots.append_run(new, f"{root}/history", run)
         if recipient:
             added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
-            digest = alert_digest(added.withColumn("recipient", F.lit(recipient)))
+            digest = alert_digest(added.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
             digest.write.mode("overwrite").parquet(f"{root}/digests/run={run}")
 
     return write
@@ -63,7 +63,7 @@ def new_postings_writer(
 
 def start_new_postings(
     stream: DataFrame, root: str, checkpoint: str, recipient: str = "",
-    order: list[str] | None = None, every: str | None = None,
+    order: list[str] | None = None, every: str | None = None, lines_per_document: int = DIGEST_LINES,
 ) -> StreamingQuery:
     """Start the stream of postings (company, title, url, ord). Without ``every`` it processes what
     has landed and stops; ``every="3 hours"`` keeps it running at that pace.
@@ -73,7 +73,7 @@ def start_new_postings(
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        stream.writeStream.foreachBatch(new_postings_writer(root, name, recipient, order))
+        stream.writeStream.foreachBatch(new_postings_writer(root, name, recipient, order, lines_per_document=lines_per_document))
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
