@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import words
+from postsieve.llm.common import stored, words
 
 #: What a candidate may look like, and words that speak for or against a secret beside it.
 CANDIDATE = "^[\"'`(\\[{<]*([A-Za-z0-9_+/=~.-]{16,})[\"'`)\\]}>,;:.!?#*$%&|]*$"
@@ -58,7 +58,7 @@ def with_features(found: DataFrame, known_runs: list[str]) -> DataFrame:
     share = lambda pattern: F.regexp_count(x, F.lit(pattern)) / n
     near = F.concat_ws(" ", "before2", "before")
     runs = _runs(F.lower(x))
-    known = F.array(*[F.lit(r) for r in known_runs]) if known_runs else F.array().cast("array<string>")
+    known = F.array_distinct(F.filter(runs, lambda r: r.isin(known_runs)))
     columns = {
         "f_length": n.cast("double"),
         "f_digits": share("[0-9]"),
@@ -67,7 +67,7 @@ def with_features(found: DataFrame, known_runs: list[str]) -> DataFrame:
         "f_distinct": F.size(F.array_distinct(F.split(x, ""))) / n,
         "f_transitions": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"),
         "f_vowel_pairs": share("(?i)(?<=[b-df-hj-np-tv-z])(?=[aeiou])"),
-        "f_dictionary": F.size(F.array_intersect(runs, known)) / F.greatest(F.size(F.array_distinct(runs)), F.lit(1)),
+        "f_dictionary": F.size(known) / F.greatest(F.size(F.array_distinct(runs)), F.lit(1)),
         "f_path": F.coalesce(F.col("path"), F.lit("")).rlike(DOCS_PATH).cast("double"),
         "f_named": near.rlike(NAMED).cast("double"),
         "f_dummy": (near.rlike(DUMMY) | F.col("after").rlike(DUMMY) | x.rlike(DUMMY)).cast("double"),
@@ -110,11 +110,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample_rows: int =
 
     ``findings`` are labelled candidates: columns of ``candidates`` and ``label``. Without them ``labelled`` makes at most ``sample_rows``. If only one
     class is there, every candidate's score is that class. An empty table gives an empty table. Secrets themselves are not put
-    out, only their hash. Nulls: a null path has no path feature, null labels are left out.
+    out, only their hash, but candidates with their features are written once to the shared folder, so that neither labelling nor a pass of the training
+    reads the texts again. Nulls: a null path has no path feature, null labels are left out.
     """
     known = dictionary(docs, text_col=text_col)
-    found = with_features(candidates(docs, id_col, text_col, path_col), known)
+    spark = docs.sparkSession
+    found = stored(spark, with_features(candidates(docs, id_col, text_col, path_col), known), "candidates")
     marked = with_features(findings.filter("label IS NOT NULL"), known).select(*FEATURES, "label") if findings is not None else labelled(found, sample_rows)
+    marked = stored(spark, marked, "findings")
     model = train(marked)
     if model is None:
         only = marked.agg(F.max("label").alias("m")).first()["m"]
