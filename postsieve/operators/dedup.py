@@ -6,6 +6,8 @@ of all rows is folded inside the map tasks and reaches the shuffle once per task
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +62,22 @@ def key_bytes(firsts: DataFrame, keys: list[str] = KEY) -> int:
 
 
 def probe_new_postings(
-    firsts: DataFrame, history: DataFrame, keys: list[str] = KEY, limit: int = PROBE_LIMIT
+    firsts: DataFrame, history: DataFrame, keys: list[str] = KEY, limit: int = PROBE_LIMIT,
+    live: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """As ``new_postings`` for a large history and a stored, already folded batch.
 
     An anti-join can only broadcast its right side, here the history, so it shuffles the
     whole history. While the batch keys measure no more than ``limit`` they are sent to the
     history instead, and only the history keys that match travel. A larger batch takes the
-    shuffled anti-join.
+    shuffled anti-join. ``live`` takes rows off that are in ``history`` but do not count, such as removed ones; it
+    sees only rows with a key of the batch.
     """
-    past = normal_keys(history.select(*keys), keys)
+    past = normal_keys(history, keys)
     if key_bytes(firsts, keys) <= limit:
         past = past.join(F.broadcast(firsts.select(*keys)), keys, "left_semi")
-    return firsts.join(past.distinct(), keys, "left_anti")
+    past = live(past) if live else past
+    return firsts.join(past.select(*keys).distinct(), keys, "left_anti")
 
 
 def fallback_rows(

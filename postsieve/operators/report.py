@@ -196,9 +196,9 @@ def responding_count(sources: DataFrame, status: str = "status") -> DataFrame:
 
 
 def run_summary(firsts: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: distinct postings of a run, how many the history had, how many are new."""
+    """One row: distinct postings of a run, how many the history had, how many are new. A NULL key counts as ""."""
     past = normal_keys(history.select(*keys), keys).distinct().withColumn("_seen", F.lit(1))
-    return normal_keys(firsts.select(*keys), keys).join(past, keys, "left").agg(
+    return normal_keys(firsts.select(*keys), keys).distinct().join(past, keys, "left").agg(
         F.count("*").alias("in_batch"), F.count("_seen").alias("already_seen"),
         (F.count("*") - F.count("_seen")).alias("new"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions.labels import instant
@@ -17,9 +17,14 @@ def count_per_source(rows: DataFrame, source: str = "company") -> DataFrame:
 def first_title(
     rows: DataFrame, source: str = "company", title: str = "title", order: str | list[str] = "ord"
 ) -> DataFrame:
-    """Title of each source's first row in extraction order."""
-    by = order if isinstance(order, str) else F.struct(*order)
-    return rows.groupBy(source).agg(F.min_by(title, by).alias("last_job"))
+    """Title of each source's first row in extraction order.
+
+    The group limit of a row number runs before the shuffle too; ``min_by`` over text would sort all rows of a task.
+    """
+    order = [order] if isinstance(order, str) else order
+    in_source = Window.partitionBy(source).orderBy(*[F.asc_nulls_last(c) for c in order])
+    first = rows.select(source, title, *order).withColumn("_nth", F.row_number().over(in_source)).where(F.col("_nth") == 1)
+    return first.select(source, F.col(title).alias("last_job"))
 
 
 def source_status(

@@ -148,6 +148,19 @@ def page_postings(spark, sf_dir):
     return urls.resolve_links(kept, "page_url", "href").select("company", "title", "url", "ord")
 
 
+@query
+def link_text(spark, sf_dir):
+    """Links made from parts, with references in every spelling and texts in table cells."""
+    spellings = ["&#x24;", "&#36;", "&#X5c;", "&#0000092;", "&eacute;", "&#00000233;", "&uuml;", "&#xD800;"]
+    spelling = F.element_at(F.array(*[F.lit(s) for s in spellings]), F.col("p_size") % 8 + 1)
+    html = F.concat(
+        F.lit('<a href="/p/'), "p_partkey", F.lit('?a=1&amp;b=2"><table><tr><td>'), spelling, F.lit(" "), "p_name",
+        F.lit("</td><td>"), "p_type", F.lit("</td></tr></table><svg><title>icon</title></svg></a>"),
+    )
+    made = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    return page_source.extract_links(made).select("p_partkey", "href", "text")
+
+
 @query
 def cap_per_source(spark, sf_dir):
     capped = payload_source.cap_per_source(page_links(spark, sf_dir), 3)
@@ -510,8 +523,7 @@ def joined_names(spark, sf_dir):
 
 @query
 def run_summary(spark, sf_dir):
-    firsts = dedup.keep_first(screened_cards(spark, sf_dir))
-    return report.run_summary(firsts, card_history(spark, sf_dir), dedup.KEY)
+    return report.run_summary(screened_cards(spark, sf_dir), card_history(spark, sf_dir), dedup.KEY)
 
 
 @query
@@ -544,6 +556,40 @@ def append_history(spark, sf_dir):
     return dedup.append_rows(history, new).select("company", "title", "ord", "notified")
 
 
+def _as_history(rows: DataFrame) -> DataFrame:
+    """Cards (company, title, ord, notified) as history rows numbered by ``ord``."""
+    return rows.select(
+        "company", "title", F.lit("").alias("url"), F.lit(None).cast("string").alias("id"),
+        F.lit(None).cast("string").alias("date"), F.lit(None).cast("timestamp").alias("found_at"),
+        F.col("ord").alias("seq"), "notified",
+    )
+
+
+def _history_of(spark: SparkSession, root: str) -> DataFrame:
+    return snapshots.read_history(spark, root).select("company", "title", "seq", "run")
+
+
+@query
+def remove_history(spark, sf_dir):
+    """Two runs that gave the same numbers; the notified rows of the first are removed."""
+    root = fresh_dir(spark, "removals")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), root, "first")
+    everything = cards(spark, sf_dir).withColumn("notified", F.lit(False))
+    snapshots.append_run(_as_history(everything), root, "second")
+    snapshots.remove_rows(snapshots.read_history(spark, root).where("run = 'first' AND notified"), root)
+    return _history_of(spark, root)
+
+
+@query
+def clear_history(spark, sf_dir):
+    """A history that is cleared and then gets a run with numbers used before."""
+    root = fresh_dir(spark, "cleared")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), root, "first")
+    snapshots.clear_history(spark, root)
+    snapshots.append_run(_as_history(screened_cards(spark, sf_dir).withColumn("notified", F.lit(False))), root, "second")
+    return _history_of(spark, root)
+
+
 # The whole run
 
 
@@ -597,6 +643,13 @@ def scheduled_run_state(spark, sf_dir):
     return sources.select("name", "status", "last_job", F.unix_micros("last_checked").alias("last_checked_us"))
 
 
+@query
+def scheduled_run_digest(spark, sf_dir):
+    """The digest documents that a whole run stored."""
+    digests = spark.read.parquet(f"{_run_once(spark, sf_dir)}/digests")
+    return digests.select("recipient", "part", "parts", "total", "subject", "body")
+
+
 # Streams
 
 
@@ -611,12 +664,7 @@ def _card_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_new_postings(spark, sf_dir):
     """Flagship as a stream: the history is stored first, the stream appends what it lacks."""
     root = fresh_dir(spark, "stream-new")
-    seeded = card_history(spark, sf_dir).select(
-        "company", "title", F.lit("").alias("url"), F.lit(None).cast("string").alias("id"),
-        F.lit(None).cast("string").alias("date"), F.lit(None).cast("timestamp").alias("found_at"),
-        F.col("ord").alias("seq"), "notified",
-    )
-    snapshots.append_run(seeded, f"{root}/history", "seed")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), f"{root}/history", "seed")
     stream = screens.screen_page_rows(
         _card_stream(spark, sf_dir), href=None, include=CARD_INCLUDE, veto=CARD_VETO, places=None
     ).select("company", "title", F.concat(F.lit("/doc/"), "ord").alias("url"), "ord")

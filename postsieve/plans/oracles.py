@@ -6,11 +6,18 @@ DuckDB's patterns know no lookaround, so word boundaries are written as neighbou
 from __future__ import annotations
 
 from postsieve.functions import vocabulary as V
-from postsieve.functions.matching import EMAIL_PATTERN, path_pattern
 from postsieve.plans import catalogue as C
 
-_BLANKS = " || ".join(f"chr({ord(c)})" for c in V.BLANK_CHARS)
-_NOT_WORD = f"[^{V.WORD_CLASS}]"
+# Written apart from the package's own classes, so that a fault there shows: blanks, line ends, word characters.
+_BLANK_RANGES = [
+    (9, 13), (28, 32), (133, 133), (160, 160), (5760, 5760), (8192, 8202), (8232, 8233), (8239, 8239), (8287, 8287), (12288, 12288),
+]
+_BLANKS = " || ".join(f"chr({code})" for first, last in _BLANK_RANGES for code in range(first, last + 1))
+_BLANK_CLASS = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in _BLANK_RANGES)
+_LINE_END_CLASS = r"\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
+_WORD = r"\p{L}\p{N}_"
+_NOT_WORD = f"[^{_WORD}]"
+_EMAIL = rf"^[^@{_BLANK_CLASS}]+@[^@{_BLANK_CLASS}]+\.[^@{_BLANK_CLASS}]+"
 
 
 # The named HTML references that the given pages may hold; "&amp;" is decoded last.
@@ -27,7 +34,7 @@ def _strip(e: str) -> str:
 
 
 def _first_line(e: str) -> str:
-    return _strip(f"regexp_extract(ltrim({e}, {_BLANKS}), '^[^{V.LINE_END_CLASS}]*')")
+    return _strip(f"regexp_extract(ltrim({e}, {_BLANKS}), '^[^{_LINE_END_CLASS}]*')")
 
 
 def _has_term(e: str, terms: list[str]) -> str:
@@ -40,7 +47,7 @@ def _has_term(e: str, terms: list[str]) -> str:
     if closed:
         branches.append(f"(?:^|{_NOT_WORD})(?:{alternatives(closed)})(?:$|{_NOT_WORD})")
     if open_ended:
-        branches.append(f"(?:^|{_NOT_WORD})(?:{alternatives(open_ended)})[{V.WORD_CLASS}]")
+        branches.append(f"(?:^|{_NOT_WORD})(?:{alternatives(open_ended)})[{_WORD}]")
     return f"regexp_matches({e}, '(?i){'|'.join(branches)}')"
 
 
@@ -49,12 +56,12 @@ def _level(e: str, include: list[str], veto: list[str]) -> str:
 
 
 def _headline(e: str) -> str:
-    blank, name = f"[{V.BLANK_CLASS}]", f"[{V.WORD_CLASS}''’.-]+"
+    blank, name = f"[{_BLANK_CLASS}]", f"[{_WORD}''’.-]+"
     return f"regexp_matches({e}, '(?i)^{blank}*meet(?:$|{_NOT_WORD})|^{blank}*{name}{blank}+{name}{blank}*:{blank}')"
 
 
 def _path_word(e: str, words: list[str]) -> str:
-    return f"regexp_matches({e}, '{path_pattern(words)}')"
+    return f"regexp_matches(lower({e}), '/({'|'.join(words)})s?/')"
 
 
 def _host(e: str) -> str:
@@ -220,8 +227,8 @@ ORACLES: dict[str, str] = {
         select p_partkey, title, location from t where not {_path_word('href', V.ARTICLE_PATH_WORDS)}
             and {_endpoint_screen(V.INCLUDE_TERMS, V.VETO_TERMS, V.PLACE_TERMS)}""",
     "email_check": f"""with tokens as (select doc_id,
-            unnest(regexp_split_to_array(text, '[{V.BLANK_CLASS}]+')) as token from documents)
-        select doc_id, count(*) filter (where regexp_matches(token, '{EMAIL_PATTERN}')) as n_emails
+            unnest(regexp_split_to_array(text, '[{_BLANK_CLASS}]+')) as token from documents)
+        select doc_id, count(*) filter (where regexp_matches(token, '{_EMAIL}')) as n_emails
         from tokens group by 1""",
     "validate_sources": f"{_CANDIDATES} select ord, name, url, reason from checked",
     "add_sources": f"""{_CANDIDATES} select ord as position, 'c' || substr(sha256(lower(name)), 1, 16) as id, name, url,
@@ -300,4 +307,16 @@ ORACLES: dict[str, str] = {
     "stream_new_postings": f"""with {_NEW} select company, title, '/doc/' || ord as url,
         replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id from fresh""",
     "stream_dedup": f"with {_CARDS} select distinct company, title from cards",
+    "link_text": f"""select p_partkey, '/p/' || p_partkey || '?a=1&b=2' as href, case p_size % 8 when 0 then '$' when 1 then '$'
+            when 2 then chr(92) when 3 then chr(92) when 4 then chr(233) when 5 then chr(233) when 6 then chr(252)
+            else chr(65533) end || ' ' || p_name || chr(9) || p_type as text from part""",
+    "remove_history": f"""with {_FIRSTS} select company, title, ord as seq, 'first' as run from past where notified is not true
+        union all select company, title, ord, 'second' from cards""",
+    "clear_history": f"with {_BATCH} select company, title, ord as seq, 'second' as run from batch",
+    "scheduled_run_digest": _digest(
+        f"""with {_RUN}, nth as (select *, row_number() over (partition by company, title order by ord, url) as n from postings)
+        select 'user@example.com' as recipient, row_number() over (order by length(company), ord, url) as seq,
+            title, company, url, 'Jan 15, 12:00' as date from nth where n = 1""",
+        1000, "recipient, part, parts, total, subject, body",
+    ),
 }

@@ -83,15 +83,16 @@ def scheduled_run(
     run = f"{checked_at:%Y%m%dT%H%M%S%f}"
     stage = f"{root}/stage/run={run}"
     sources = snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES)
-    history = snapshots.read_history(spark, f"{root}/history", without_run=run)
+    history = snapshots.history_rows(spark, f"{root}/history", without_run=run)
 
     tracked = sources.groupBy(F.col("name").alias("company")).agg(F.min("position").alias("position"))
+    tracked = _stored(tracked, f"{stage}/tracked")  # Joined as a table, so that a hot source can be split.
     endpoint = _stored(screened_endpoint_rows(payloads, words), f"{stage}/endpoint")
     screened = screened_postings(endpoint, pages, words)
     postings = _stored(screened.join(tracked, "company"), f"{stage}/postings")
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
 
-    new = probe_new_postings(firsts, history)
+    new = probe_new_postings(firsts, history, live=lambda rows: snapshots.without_removed(rows, f"{root}/history"))
     after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
     stamped = stamp_new(new, after, checked_at, ["position", *ORDER])
     snapshots.append_run(stamped, f"{root}/history", run)

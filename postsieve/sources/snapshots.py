@@ -112,10 +112,11 @@ def clear_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> int:
 
 # The history is a folder of runs. A run writes only its own folder, so old rows are never
 # rewritten, and a repeated run replaces its own rows instead of adding them twice. Removals are
-# kept beside the rows, by sequence number, and taken off when the history is read.
+# kept beside the rows and taken off when the history is read. A row is known by its run and its
+# sequence number: writers that begin together may give the same numbers, but no two write one run.
 _STORED_HISTORY = T.StructType([*schemas.HISTORY.fields, T.StructField("run", T.StringType())])
-_REMOVED = T.StructType([T.StructField("seq", T.LongType())])
-_CLEARED = T.StructType([T.StructField("up_to", T.LongType())])
+_REMOVED = T.StructType([T.StructField("run", T.StringType()), T.StructField("seq", T.LongType())])
+_CLEARED = T.StructType([T.StructField("run", T.StringType())])
 
 
 def _all_rows(spark: SparkSession, root: str, without_run: str | None) -> DataFrame:
@@ -123,15 +124,25 @@ def _all_rows(spark: SparkSession, root: str, without_run: str | None) -> DataFr
     return df if without_run is None else df.where(F.col("run") != without_run)
 
 
+def history_rows(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
+    """All rows of the runs that were not cleared, removed ones among them; ``without_run`` leaves one run
+    out (a partition filter), as a repeated run must not meet its own earlier rows."""
+    cleared = scan_or_empty(spark, f"{root}/cleared", _CLEARED)
+    return _all_rows(spark, root, without_run).join(cleared, "run", "left_anti").select(_STORED_HISTORY.fieldNames())
+
+
+def without_removed(rows: DataFrame, root: str) -> DataFrame:
+    """``rows`` (with run and seq) less the removed ones. Take them off a selection where there is one: then the
+    selection is joined with the removals, and not the whole history."""
+    spark = rows.sparkSession
+    cleared = scan_or_empty(spark, f"{root}/cleared", _CLEARED)
+    removed = scan_or_empty(spark, f"{root}/removed", _REMOVED).join(cleared, "run", "left_anti")
+    return rows.join(removed, ["run", "seq"], "left_anti").select(rows.columns)
+
+
 def read_history(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
-    """History rows; ``without_run`` leaves one run out (a partition filter), as a repeated run
-    must not meet its own earlier rows."""
-    rows = _all_rows(spark, root, without_run)
-    cleared = scan_or_empty(spark, f"{root}/cleared", _CLEARED).agg(F.max("up_to")).first()[0]
-    if cleared is not None:
-        rows = rows.where(F.col("seq") > cleared)
-    removed = scan_or_empty(spark, f"{root}/removed", _REMOVED)
-    return rows.join(removed, "seq", "left_anti").select(_STORED_HISTORY.fieldNames())
+    """The history rows there are now, without cleared and removed ones."""
+    return without_removed(history_rows(spark, root, without_run), root)
 
 
 def last_seq(spark: SparkSession, root: str, without_run: str | None = None) -> int:
@@ -145,12 +156,12 @@ def append_run(new: DataFrame, root: str, run: str) -> None:
 
 
 def remove_rows(rows: DataFrame, root: str) -> None:
-    """Remove the given history rows. They leave the dedup memory as well: a removed posting that
+    """Remove the given history rows (with run and seq). They leave the dedup memory as well: a removed posting that
     turns up again is new again."""
-    rows.select("seq").write.mode("append").parquet(f"{root}/removed")
+    rows.select(_REMOVED.fieldNames()).write.mode("append").parquet(f"{root}/removed")
 
 
 def clear_history(spark: SparkSession, root: str) -> None:
-    """Remove all rows there are now, by their highest sequence number."""
-    up_to = spark.createDataFrame([(last_seq(spark, root),)], _CLEARED)
-    up_to.coalesce(1).write.mode("append").parquet(f"{root}/cleared")
+    """Remove all rows there are now, by the names of their runs; a repeat of such a run stays removed."""
+    runs = history_rows(spark, root).select("run").distinct()
+    runs.coalesce(1).write.mode("append").parquet(f"{root}/cleared")

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postsieve.operators.dedup import KEY, keep_first, normal_keys, probe_new_postings
@@ -35,6 +36,22 @@ def landed_payloads(spark: SparkSession, folder: str, words: Vocabulary = Vocabu
     return screened_endpoint_rows(stream, words).where(F.col("ok")).select(schemas.POSTINGS.fieldNames())
 
 
+_STARTED = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("after", T.LongType())])
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _started(spark: SparkSession, root: str, run: str, clock: Callable[[], datetime]) -> tuple[datetime, int]:
+    """Instant of a batch and the number its rows come after, written at its first attempt and read by later ones."""
+    path = f"{root}/started/run={run}"
+    kept = snapshots.scan_or_empty(spark, path, _STARTED).first()
+    if kept is None:
+        after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
+        start = spark.createDataFrame([((clock() - _EPOCH) // timedelta(microseconds=1), after)], _STARTED)
+        start.coalesce(1).write.mode("overwrite").parquet(path)
+        kept = spark.read.schema(_STARTED).parquet(path).first()
+    return _EPOCH + timedelta(microseconds=kept["at_us"]), kept["after"]
+
+
 def new_postings_writer(
     root: str, name: str, recipient: str = "", order: list[str] | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES,
@@ -49,10 +66,12 @@ def new_postings_writer(
         staged = f"{root}/stage/run={run}"
         keep_first(normal_keys(batch), KEY, order).write.mode("overwrite").parquet(staged)
         firsts = spark.read.schema(batch.schema).parquet(staged)
-        history = snapshots.read_history(spark, f"{root}/history", without_run=run)
-        after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
-        new = stamp_new(probe_new_postings(firsts, history), after, clock(), ["company", *order])
-        snapshots.append_run(new, f"{root}/history", run)
+        past = f"{root}/history"
+        history = snapshots.history_rows(spark, past, without_run=run)
+        at, after = _started(spark, root, run, clock)
+        fresh = probe_new_postings(firsts, history, live=lambda rows: snapshots.without_removed(rows, past))
+        new = stamp_new(fresh, after, at, ["company", *order])
+        snapshots.append_run(new, past, run)
         if recipient:
             added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
             digest = alert_digest(added.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)

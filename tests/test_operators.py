@@ -157,7 +157,10 @@ def test_new_sources(spark):
 
 def test_first_title_needs_no_unique_order(spark):
     rows_ = spark.createDataFrame([("a", "z", "u2", 0), ("a", "y", "u1", 0), ("a", "x", "u0", 1)], schemas.POSTINGS)
-    assert rows(state.first_title(rows_, order=["ord", "url"])) == [("a", "y")]
+    firsts = state.first_title(rows_, order=["ord", "url"])
+    assert rows(firsts) == [("a", "y")]
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
 
 
 def test_status_and_merge(spark):
@@ -252,6 +255,8 @@ def test_summary(spark):
     firsts = spark.createDataFrame([("A", "t", 0), ("B", "t", 1)], POST)
     history = spark.createDataFrame([("A", "t", 0), ("A", "t", 5)], POST)
     assert rows(report.run_summary(firsts, history, dedup.KEY)) == [(2, 1, 1)]
+    untitled = spark.createDataFrame([("A", None, 0), ("A", "", 1)], POST)
+    assert rows(report.run_summary(untitled, history, dedup.KEY)) == [(1, 0, 1)]
 
 
 def test_stamp(spark):

@@ -128,6 +128,30 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/digests").agg(F.sum("total")).first()[0] == len(before)
 
 
+def test_replay_under_a_moving_clock_is_the_same(spark, tmp_path):
+    times = iter([FIRST, SECOND])
+    write = incremental.new_postings_writer(str(tmp_path), "s", clock=lambda: next(times))
+    write(spark.createDataFrame(FILES[0], schemas.POSTINGS), 0)
+    before = sorted(map(tuple, snapshots.read_history(spark, f"{tmp_path}/history").collect()))
+    write(spark.createDataFrame(FILES[0], schemas.POSTINGS), 0)
+    assert sorted(map(tuple, snapshots.read_history(spark, f"{tmp_path}/history").collect())) == before
+    assert {r[5].replace(tzinfo=None) for r in before} == {before[0][5].replace(tzinfo=None)}
+
+
+def test_writers_that_begin_together_keep_their_rows_apart(spark, tmp_path):
+    past = f"{tmp_path}/history"
+    for run_name, company in (("one", "A"), ("two", "B")):
+        rows = spark.createDataFrame([(company, t, "u", "i", "d", None, i, False) for i, t in enumerate("xy")], schemas.HISTORY)
+        snapshots.append_run(rows, past, run_name)
+    history = snapshots.read_history(spark, past)
+    snapshots.remove_rows(history.where("company = 'A' AND seq = 0"), past)
+    left = {(r.company, r.title) for r in snapshots.read_history(spark, past).collect()}
+    assert left == {("A", "y"), ("B", "x"), ("B", "y")}
+    write = incremental.new_postings_writer(str(tmp_path), "s", clock=lambda: FIRST)
+    write(spark.createDataFrame([("A", "x", "u", 0), ("A", "y", "u", 1)], schemas.POSTINGS), 0)
+    assert {r.title for r in snapshots.read_history(spark, past).where("run = 's-0'").collect()} == {"x"}, "removed: new again"
+
+
 def test_stream_keys(spark, tmp_path):
     land(spark, f"{tmp_path}/in", FILES)
     stream = spark.readStream.schema(schemas.POSTINGS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
