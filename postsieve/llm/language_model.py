@@ -186,7 +186,7 @@ class Gru:
 
 
 def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents one after another in at most ``most`` lanes: tokens (time x lane), number of each token's document (-1: filling), first tokens."""
+    """Documents one after another in at most ``most`` lanes, longest lane first: tokens (time x lane), number of each token's document (-1: filling), first tokens."""
     n = min(most, max(1, len(docs)))
     lanes: list[list[int]] = [[] for _ in range(n)]
     loads = np.zeros(n, dtype=np.int64)
@@ -196,7 +196,7 @@ def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
         loads[lane] += len(docs[i])
     time = int(loads.max(initial=0))
     tokens, owner, fresh = np.zeros((time, n), np.int64), np.full((time, n), -1), np.zeros((time, n), bool)
-    for lane, own in enumerate(lanes):
+    for lane, own in enumerate(lanes[i] for i in np.argsort(-loads, kind="stable")):
         t = 0
         for i in own:
             tokens[t : t + len(docs[i]), lane], owner[t : t + len(docs[i]), lane], fresh[t, lane] = docs[i], i, True
@@ -204,16 +204,19 @@ def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
     return tokens, owner, fresh
 
 
-def _learn_all(gru: Gru, docs: list[np.ndarray], lanes: int, window: int, share: float, rate: float, random: np.random.Generator) -> None:
-    """One pass over whole documents, the state carried from window to window; a ``share`` of the windows, drawn at random, moves the weights."""
+def windows(tokens: np.ndarray, owner: np.ndarray, fresh: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of ``window`` steps over the lanes that still have tokens: the first ones, as lanes go from long to short."""
+    for t in range(0, len(tokens), window):
+        live = int((owner[t] >= 0).sum())
+        yield tokens[t : t + window, :live], owner[t : t + window, :live], fresh[t : t + window, :live]
+
+
+def _learn_all(gru: Gru, docs: list[np.ndarray], lanes: int, window: int, rate: float) -> None:
+    """One pass over whole documents, the state carried from window to window; every window moves the weights."""
     tokens, owner, fresh = lanes_of(docs, lanes)
     state = np.zeros((tokens.shape[1], gru.size), np.float32)
-    for t in range(0, len(tokens), window):
-        part = slice(t, t + window)
-        if random.random() < share:
-            gru.learn(tokens[part], fresh[part], owner[part] >= 0, state, rate)
-        else:
-            gru.steps(tokens[part], fresh[part], state)
+    for part, own, first in windows(tokens, owner, fresh, window):
+        gru.learn(part, first, own >= 0, state[: part.shape[1]], rate)
         state = gru.last
 
 
@@ -226,14 +229,13 @@ def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window:
     trust = gru.trust if trust is None else trust
     tokens, owner, fresh = lanes_of(docs, lanes)
     state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros(len(docs))
-    for t in range(0, len(tokens), window):
-        part = slice(t, t + window)
-        states, _ = gru.steps(tokens[part], fresh[part], state)
+    for part, own, first in windows(tokens, owner, fresh, window):
+        states, _ = gru.steps(part, first, state[: part.shape[1]])
         state = gru.last
-        real = owner[part].reshape(-1) >= 0
-        got = gru.log_probability(states.reshape(-1, gru.size)[real], tokens[part].reshape(-1)[real])
-        got = np.logaddexp(got + np.log(trust), gru.alone[tokens[part].reshape(-1)[real]] + np.log(1 - trust))
-        out += np.bincount(owner[part].reshape(-1)[real], weights=got, minlength=len(docs))
+        real = own.reshape(-1) >= 0
+        got = gru.log_probability(states.reshape(-1, gru.size)[real], part.reshape(-1)[real])
+        got = np.logaddexp(got + np.log(trust), gru.alone[part.reshape(-1)[real]] + np.log(1 - trust))
+        out += np.bincount(own.reshape(-1)[real], weights=got, minlength=len(docs))
     return out
 
 
@@ -280,7 +282,7 @@ def vocabulary_of(counts: DataFrame, documents: int, head: int, tails: int, in_c
         float(np.log10(total + 0.5 * (distinct + 1))), int(total))
 
 
-def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int, share: float, warm_rows: int, rate: float, lanes: int) -> Gru:
+def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int, warm_rows: int, rate: float, lanes: int) -> Gru:
     """Weights from all of ``spark_docs`` (one text column): each task goes on from common weights over its documents, then weights are averaged.
 
     The common weights come from a first pass over ``warm_rows`` documents chosen by hash; it only spares the tasks a cold start; half as many more choose how far the network is trusted. Averages weigh tasks by
@@ -297,19 +299,19 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
     warm, check = first[: max(1, len(first) * 2 // 3)], first[max(1, len(first) * 2 // 3) :]
     if not warm:
         return gru
-    _learn_all(gru, numbered(warm, named), 32, window, 1.0, rate, np.random.default_rng(5))
+    _learn_all(gru, numbered(warm, named), 32, window, rate)
     start = spark.sparkContext.broadcast((gru, vocabulary))
     slice_size = 4096
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         model, known = start.value
-        own, numbers, random, seen = Gru.__new__(Gru), _Numbers(known), np.random.default_rng(9), 0
+        own, numbers, seen = Gru.__new__(Gru), _Numbers(known), 0
         own.__dict__.update(model.__dict__)
         own.p, own.squares = ({k: v.copy() for k, v in d.items()} for d in (model.p, model.squares))
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in slices(texts, 4_000_000):
-                _learn_all(own, numbered(texts[i:j], numbers), lanes, window, share, rate, random)
+                _learn_all(own, numbered(texts[i:j], numbers), lanes, window, rate)
                 seen += j - i
         if seen:
             flat = np.concatenate([own.p[k].reshape(-1) for k in sorted(own.p)])
@@ -333,13 +335,13 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
     return gru
 
 
-def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64, size: int = 16, window: int = 16, share: float = 0.25,
+def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64, size: int = 16, window: int = 16,
           warm_rows: int = 200, rate: float = 0.03, lanes: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text).
 
     Ids whose CRC-32 leaves 1 when divided by 5 are held out. Counts of all words of all other documents give the base score, the classes, and each word's share inside its
-    tail class; the network's weights come from the same documents: it reads them all, and a ``share`` of their
-    windows, drawn at random, moves the weights. The state runs on from window to window, over any length of text.
+    tail class; the network's weights come from the same documents, and every window of them moves the weights. The state runs on from window to window, over any length of text.
+    The network tells ``head`` words apart, whatever the size of the corpus; all others it sees as ``tails`` classes by their last three bytes.
     Probabilities sum to one over the known words and one unknown word for each tail class.
 
     Null text is empty: one token, the end. A null id is hashed as empty text. Repeated rows and equal ids each come out and each count. Without
@@ -351,7 +353,7 @@ def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64
     learning = rows.filter("NOT held_out").select("text")
     counts = stored(spark, word_counts(learning), "word-counts")
     vocabulary = vocabulary_of(counts, learning.count(), head, tails, in_class)
-    gru = train(learning, vocabulary, size, window, share, warm_rows, rate, lanes)
+    gru = train(learning, vocabulary, size, window, warm_rows, rate, lanes)
     given = spark.sparkContext.broadcast((gru, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -211,6 +211,25 @@ def test_language_model_gradient():
     assert language_model.score_documents(gru, docs).sum() > before + 1
 
 
+def test_language_model_learns_from_every_token_in_live_lanes(monkeypatch):
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c"], 2, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(2), 1.0, 17)
+    gru, r = language_model.Gru(vocabulary, 3), np.random.default_rng(2)
+    docs = [r.integers(0, 6, n) for n in [400, *r.integers(1, 30, 40).tolist()]]
+    learned, read, one = [], [], language_model.Gru.learn
+
+    def learn(self, tokens, fresh, real, state, rate):
+        learned.extend(tokens[real].tolist())
+        read.append(tokens.size)
+        one(self, tokens, fresh, real, state, rate)
+
+    monkeypatch.setattr(language_model.Gru, "learn", learn)
+    language_model._learn_all(gru, docs, lanes=16, window=8, rate=0.03)
+    assert sorted(learned) == sorted(np.concatenate(docs).tolist())
+    assert sum(read) <= len(learned) + 16 * 8
+    apart = [language_model.score_documents(gru, [d])[0] for d in docs]
+    assert language_model.score_documents(gru, docs, lanes=5, window=8) == pytest.approx(apart, rel=1e-4)
+
+
 def test_language_model_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "word " * 50_000), (4, "café 日本"), (4, "café 日本"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS tail")
