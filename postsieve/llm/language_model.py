@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import LOWER, UPPER, id_remainder, stored
@@ -19,6 +19,9 @@ from postsieve.llm.tokens import slices
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _COUNT_LIMIT = 400_000
 _LN10 = np.log(10.0)
+#: One in so many hashes of training texts is spare; shares that the network can be given of a token's probability.
+SPARE = 32
+TRUSTS = (0.01, 0.1, 0.25, 0.5, 0.65, 0.8, 0.95)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -177,9 +180,9 @@ class Gru:
             self.squares[name] += g * g
             p[name] += rate * g / np.sqrt(self.squares[name])
         # Rows of the input table: their summed gradients.
-        seen, at = np.unique(tokens.reshape(-1), return_inverse=True)
-        g = np.zeros((len(seen), 3 * k), np.float32)
-        np.add.at(g, at.reshape(-1), d_given.reshape(-1, 3 * k) / n)
+        order = np.argsort(tokens.reshape(-1), kind="stable")
+        seen, at = np.unique(tokens.reshape(-1)[order], return_index=True)
+        g = np.add.reduceat(d_given.reshape(-1, 3 * k)[order], at, axis=0) / n
         self.squares["x"][seen] += g * g
         p["x"][seen] += rate * g / np.sqrt(self.squares["x"][seen])
         self.last = after
@@ -226,16 +229,21 @@ def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window:
     Each token's probability is ``trust`` (default: the network's own) times the network's plus the rest times the corpus frequency, which
     bounds what a network of little data can lose.
     """
-    trust = gru.trust if trust is None else trust
+    return _mixed(gru, docs, [gru.trust if trust is None else trust], lanes, window)[0]
+
+
+def _mixed(gru: Gru, docs: list[np.ndarray], trusts: Sequence[float], lanes: int = 512, window: int = 32) -> np.ndarray:
+    """``score_documents`` for several values of ``trust`` (value x document) from one reading of the documents."""
     tokens, owner, fresh = lanes_of(docs, lanes)
-    state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros(len(docs))
+    state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros((len(trusts), len(docs)))
     for part, own, first in windows(tokens, owner, fresh, window):
         states, _ = gru.steps(part, first, state[: part.shape[1]])
         state = gru.last
         real = own.reshape(-1) >= 0
         got = gru.log_probability(states.reshape(-1, gru.size)[real], part.reshape(-1)[real])
-        got = np.logaddexp(got + np.log(trust), gru.alone[part.reshape(-1)[real]] + np.log(1 - trust))
-        out += np.bincount(own.reshape(-1)[real], weights=got, minlength=len(docs))
+        alone, at = gru.alone[part.reshape(-1)[real]], own.reshape(-1)[real]
+        for k, trust in enumerate(trusts):
+            out[k] += np.bincount(at, weights=np.logaddexp(got + np.log(trust), alone + np.log(1 - trust)), minlength=len(docs))
     return out
 
 
@@ -282,56 +290,89 @@ def vocabulary_of(counts: DataFrame, documents: int, head: int, tails: int, in_c
         float(np.log10(total + 0.5 * (distinct + 1))), int(total))
 
 
+def spare(text: Column) -> Column:
+    """Whether a training text is kept for the choice of the network's share; all copies of a text are, or none."""
+    return F.pmod(F.xxhash64(text), F.lit(SPARE)) == 0
+
+
+def _numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
+    return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int64) for x in texts]
+
+
+def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
+    """The one of ``TRUSTS`` that makes all of ``texts`` (one text column) most likely; the network's present one if there are none."""
+    given = texts.sparkSession.sparkContext.broadcast((gru, vocabulary))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = given.value
+        numbers, sums, seen = _Numbers(known), np.zeros(len(TRUSTS)), False
+        for batch in batches:
+            some = batch.column(0).to_pylist()
+            for i, j in slices(some, 6_000_000):
+                sums += _mixed(model, _numbered(some[i:j], numbers), TRUSTS).sum(1)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(TRUSTS)), pa.array(sums)], names=["trust", "log"])
+
+    rows = texts.mapInArrow(weigh, "trust double, log double").groupBy("trust").agg(F.sum("log").alias("log")).collect()
+    return max(rows, key=lambda r: r["log"])["trust"] if rows else gru.trust
+
+
 def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int, warm_rows: int, rate: float, lanes: int) -> Gru:
     """Weights from all of ``spark_docs`` (one text column): each task goes on from common weights over its documents, then weights are averaged.
 
-    The common weights come from a first pass over ``warm_rows`` documents chosen by hash; it only spares the tasks a cold start; half as many more choose how far the network is trusted. Averages weigh tasks by
-    their documents and are taken on the cluster, a slice of the weights at a time; the driver gets one set of weights.
+    The common weights come from a first pass over ``warm_rows`` distinct texts chosen by hash; it only spares the tasks a cold start. Texts that are ``spare``
+    (one in ``SPARE``, so their number grows with the input) are not learned from at first: all of them, each once, choose how far the network is trusted. Then
+    tasks go on over them too, from the averaged weights. Averages weigh tasks by their documents and are taken on the cluster, a slice of the weights at a
+    time; the driver gets one set of weights.
     """
     spark = spark_docs.sparkSession
     gru = Gru(vocabulary, size)
-    named = _Numbers(vocabulary)
-
-    def numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
-        return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int64) for x in texts]
-
-    first = [r[0] for r in spark_docs.orderBy(F.xxhash64("text"), "text").limit(warm_rows + warm_rows // 2).collect()]
-    warm, check = first[: max(1, len(first) * 2 // 3)], first[max(1, len(first) * 2 // 3) :]
-    if not warm:
-        return gru
-    _learn_all(gru, numbered(warm, named), 32, window, rate)
-    start = spark.sparkContext.broadcast((gru, vocabulary))
+    mine, checks = spark_docs.filter(~spare(F.col("text"))), spark_docs.filter(spare(F.col("text")))
+    firsts = mine.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(warm_rows).agg(F.max("h")).first()[0]
+    if firsts is not None:
+        warm = sorted(r[0] for r in mine.filter(F.xxhash64("text") <= firsts).distinct().collect())
+        _learn_all(gru, _numbered(warm, _Numbers(vocabulary)), 32, window, rate)
     slice_size = 4096
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        model, known = start.value
-        own, numbers, seen = Gru.__new__(Gru), _Numbers(known), 0
-        own.__dict__.update(model.__dict__)
-        own.p, own.squares = ({k: v.copy() for k, v in d.items()} for d in (model.p, model.squares))
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(texts, 4_000_000):
-                _learn_all(own, numbered(texts[i:j], numbers), lanes, window, rate)
-                seen += j - i
-        if seen:
-            flat = np.concatenate([own.p[k].reshape(-1) for k in sorted(own.p)])
-            cuts = range(0, len(flat), slice_size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(range(len(cuts))), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([flat[c : c + slice_size] for c in cuts], pa.list_(pa.float32()))],
-                names=["at", "rows", "w"])
+    def moved(texts: DataFrame, label: str) -> DataFrame:
+        """Weights in slices after each task's texts, from the present ones."""
+        start = spark.sparkContext.broadcast((gru, vocabulary))
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, known = start.value
+            own, numbers, seen = Gru.__new__(Gru), _Numbers(known), 0
+            own.__dict__.update(model.__dict__)
+            own.p, own.squares = ({k: v.copy() for k, v in d.items()} for d in (model.p, model.squares))
+            for batch in batches:
+                some = batch.column(0).to_pylist()
+                for i, j in slices(some, 4_000_000):
+                    _learn_all(own, _numbered(some[i:j], numbers), lanes, window, rate)
+                    seen += j - i
+            if seen:
+                flat = np.concatenate([own.p[k].reshape(-1) for k in sorted(own.p)])
+                cuts = range(0, len(flat), slice_size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(range(len(cuts))), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([flat[c : c + slice_size] for c in cuts], pa.list_(pa.float32()))],
+                    names=["at", "rows", "w"])
+
+        return stored(spark, texts.mapInArrow(learn, "at int, rows double, w array<float>"), label)
 
     def average(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         mean = np.average(np.stack(group["w"].to_list()), axis=0, weights=group["rows"])
         return pd.DataFrame({"at": [key[0]], "w": [mean]})
 
-    learned = stored(spark, spark_docs.mapInArrow(learn, "at int, rows double, w array<float>"), "weights")
-    parts = learned.groupBy("at").applyInPandas(average, "at int, w array<float>").collect()
-    flat = np.concatenate([r["w"] for r in sorted(parts, key=lambda r: r["at"])]).astype(np.float32)
-    for k in sorted(gru.p):
-        gru.p[k], flat = flat[: gru.p[k].size].reshape(gru.p[k].shape), flat[gru.p[k].size :]
-    if check:
-        ids = numbered(check, named)
-        gru.trust = max((0.01, 0.1, 0.25, 0.5, 0.65, 0.8, 0.95), key=lambda t: score_documents(gru, ids, trust=t).sum())
+    def take(weights: DataFrame) -> None:
+        parts = weights.groupBy("at").applyInPandas(average, "at int, w array<float>").collect()
+        if parts:
+            flat = np.concatenate([r["w"] for r in sorted(parts, key=lambda r: r["at"])]).astype(np.float32)
+            for k in sorted(gru.p):
+                gru.p[k], flat = flat[: gru.p[k].size].reshape(gru.p[k].shape), flat[gru.p[k].size :]
+
+    learned = moved(mine, "weights")
+    take(learned)
+    gru.trust = choose_trust(gru, vocabulary, checks.distinct())
+    take(learned.unionByName(moved(checks, "spare-weights")))
     return gru
 
 

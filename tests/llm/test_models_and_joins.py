@@ -230,6 +230,35 @@ def test_language_model_learns_from_every_token_in_live_lanes(monkeypatch):
     assert language_model.score_documents(gru, docs, lanes=5, window=8) == pytest.approx(apart, rel=1e-4)
 
 
+def test_language_model_share_is_chosen_on_all_spare_texts(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 40))) for _ in range(600)] + ["a b c d e f g h " * 40] * 400
+    frame = spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+    spare = {x for (x,) in frame.filter(language_model.spare(frame["text"])).collect()}
+    got, warm, choose, one = [], [], language_model.choose_trust, language_model._learn_all
+
+    def kept(gru, vocabulary, checks):
+        got.extend(x for (x,) in checks.collect())
+        return choose(gru, vocabulary, checks)
+
+    def driver_only(gru, docs, lanes, window, rate):
+        warm.extend(tuple(d.tolist()) for d in docs)
+        one(gru, docs, lanes, window, rate)
+
+    monkeypatch.setattr(language_model, "choose_trust", kept)
+    monkeypatch.setattr(language_model, "_learn_all", driver_only)
+    counts = language_model.word_counts(frame)
+    vocabulary = language_model.vocabulary_of(counts, len(texts), 8, 2, 4)
+    gru = language_model.train(frame, vocabulary, 4, 8, 50, 0.03, 16)
+    assert sorted(got) == sorted(spare) and 3 < len(spare) < 60
+    assert len(warm) == 50 == len(set(warm))
+    ids = language_model._numbered(sorted(spare), language_model._Numbers(vocabulary))
+    assert not set(warm) & {tuple(x.tolist()) for x in ids}
+    assert gru.trust in language_model.TRUSTS and language_model.choose_trust(gru, vocabulary, frame.filter("false")) == gru.trust
+    sums = language_model._mixed(gru, ids, language_model.TRUSTS).sum(1)
+    assert language_model.choose_trust(gru, vocabulary, spark.createDataFrame([(x,) for x in spare], "text string")) == language_model.TRUSTS[int(sums.argmax())]
+
+
 def test_language_model_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "word " * 50_000), (4, "café 日本"), (4, "café 日本"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS tail")
