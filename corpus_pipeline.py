@@ -32,10 +32,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document's token ids stands in sequences of 2048."""
+    """Where each piece of each document's token ids stands in sequences of 2048, which follow the order the documents come in."""
     reach_package(spark)
     ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks, in_order=True)
 
 
 STAGES = [

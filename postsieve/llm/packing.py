@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsieve.llm.common import ranked, stored
+from postsieve.llm.common import in_file_order, ranked, row_places, stored
 from postsieve.llm.tokens import encoder, slices
 
 
@@ -113,6 +113,17 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out + [(dict(c), n) for c, n in same.items()]
 
 
+def spread(configs: list[tuple[dict[int, int], int]], stretches: int = 64) -> list[tuple[dict[int, int], int]]:
+    """The same sequences in ``stretches`` rounds, each with its part of every configuration, so that items of all lengths are used up evenly."""
+    out = []
+    for k in range(stretches):
+        for i, (config, times) in enumerate(configs):
+            shift = int(i * 0.6180339887 % 1 * stretches)
+            if n := (times * (k + 1) + shift) // stretches - (times * k + shift) // stretches:
+                out.append((config, n))
+    return out
+
+
 class Places:
     """Sequence and offset of the n-th item of each size, from a plan."""
 
@@ -137,17 +148,21 @@ class Places:
         return base[at] + turn, offset[at] + copy * size
 
 
-def pack(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", buckets: int = 64, positions: int | None = None) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``: no sequence is longer than ``capacity``, and none has a gap.
 
     ``order`` names columns that tell items apart. Lengths must be from 1 to ``capacity``; an item with any other or a null
     length gets nulls. Equal items each get their own place. ``items`` is read twice, so pass a stored table. The driver sees the histogram
     (at most ``capacity`` counts) and holds the plan, whose size depends on ``capacity`` alone; items of one length are numbered
     in hash buckets, so a length that most items have is spread over tasks.
+
+    With ``positions``, items have a ``_position`` below it, which is left out of the result: items of each length are taken in that order and sequences are
+    numbered along it (``spread``), so a run of sequences holds about what a run of positions does.
     """
     fits = F.col(length_col).between(1, capacity)
     counted = items.filter(fits).groupBy(F.col(length_col).alias("l")).agg(F.count("*").alias("n")).collect()
-    places = Places(plan({int(r["l"]): int(r["n"]) for r in counted}, capacity))
+    planned = plan({int(r["l"]): int(r["n"]) for r in counted}, capacity)
+    places = Places(planned if positions is None else spread(planned))
 
     @F.pandas_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -157,46 +172,54 @@ def pack(items: DataFrame, order: list[str], capacity: int = 2048, length_col: s
             sequence[at], offset[at] = places.of(int(size), ranks[at])
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    names = [f"`{c}`" for c in items.columns if c not in ("sequence_id", "offset")]
-    placed = ranked(items.filter(fits), length_col, order, buckets, "_rank").withColumn("_at", place(F.col(length_col), F.col("_rank")))
+    names = [f"`{c}`" for c in items.columns if c not in ("sequence_id", "offset", "_position")]
+    placed = ranked(items.filter(fits), length_col, order, buckets, "_rank", positions).withColumn("_at", place(F.col(length_col), F.col("_rank")))
     null = F.lit(None).cast("long")
     other = items.filter(F.coalesce(~fits, F.lit(True))).select(*names, null.alias("sequence_id"), null.alias("offset"))
     return placed.select(*names, F.col("_at.sequence_id"), F.col("_at.offset")).unionByName(other)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, spaces_dropped: bool = False,
-                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None, keep_places: bool = False) -> DataFrame:
     """Each document's token ids, the end id last, in pieces of at most ``capacity``: the first piece takes what is left over.
 
     Columns: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with ``keep_ids``, ``ids`` (little-endian
-    unsigned 32-bit integers). Null text is empty, so a document has one piece at least. Rows with equal ids are separate.
+    unsigned 32-bit integers), with ``keep_places`` also ``_file`` and ``_index`` (``row_places``). Null text is empty, so a document has one piece at least. Rows with equal ids are separate.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.binary())] * keep_ids
+    fields += [("_file", pa.string()), ("_index", pa.int64())] * keep_places
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary, spaces_dropped, ranks)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = list(zip(*(c.to_pylist() for c in batch.columns[2:]))) or [()] * len(ids)
             for i, j in slices(texts):
                 out: list[tuple] = []
-                for doc, coded in zip(ids[i:j], known.encode([x or "" for x in texts[i:j]])):
+                for doc, place, coded in zip(ids[i:j], at[i:j], known.encode([x or "" for x in texts[i:j]])):
                     coded += end
                     size = len(coded) // 4
                     head = size % capacity or capacity
                     bounds = [0, *range(head, size + 1, capacity)]
                     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                         part = coded[4 * a : 4 * b]
-                        out.append((doc, k, a, b - a, zlib.crc32(part), *[part] * keep_ids))
+                        out.append((doc, k, a, b - a, zlib.crc32(part), *[part] * keep_ids, *place))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(cut, ddl)
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", _file string, _index long" * keep_places
+    more = row_places(docs) if keep_places else []
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), *more).mapInArrow(cut, ddl)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, **options) -> DataFrame:
-    """The pieces of ``token_pieces`` with their places from ``pack``. Pieces are stored, so texts are encoded once."""
-    pieces = stored(docs.sparkSession, token_pieces(docs, vocabulary, end_id, capacity, **options), "pieces")
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, in_order: bool = False, **options) -> DataFrame:
+    """The pieces of ``token_pieces`` with their places from ``pack``. Pieces are stored, so texts are encoded once.
+
+    With ``in_order`` sequences follow the order of ``docs`` in their files; without, a fixed shuffle.
+    """
+    pieces, positions = stored(docs.sparkSession, token_pieces(docs, vocabulary, end_id, capacity, keep_places=in_order, **options), "pieces"), None
+    if in_order:
+        pieces, positions = in_file_order(pieces)
+    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity, positions=positions)

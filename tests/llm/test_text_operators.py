@@ -198,3 +198,33 @@ def test_pipeline_stages_keep_what_they_should(odd, empty, spark):
             out = stage(spark, frame, "")
             assert out.columns == frame.columns or name == "best_fit_pack"
             out.count()
+
+
+def test_pipeline_sequences_follow_the_weights(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{i:04d} " + "the river and " * (40, 90, 150, 210)[i // 2 % 4], "en", "ab"[i % 2], 0) for i in range(800)]
+    source = {x[0]: x[3] for x in rows}
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    shares, seen = [], []
+    for weights in ({"=a": 4.0, "=b": 1.0}, {"=a": 1.0, "=b": 4.0}):
+        monkeypatch.setattr(mixing, "sqrt_weights", lambda rows: weights)
+        out = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        last = max(x[-2] for x in out)
+        early = [source[x[0]] for x in out if x[-2] <= last // 3]
+        shares.append(early.count("a") / len(early))
+        seen.append(sorted(out))
+        ends = {}
+        for x in sorted(out, key=lambda x: x[-2:]):
+            assert x[-1] == ends.get(x[-2], 0)
+            ends[x[-2]] = x[-1] + x[3]
+        assert max(ends.values()) <= 2048 and sorted(ends) == list(range(last + 1))
+    assert [x[:5] for x in seen[0]] == [x[:5] for x in seen[1]] and seen[0] != seen[1]
+    assert shares[0] > 0.7 and shares[1] < 0.3
+
+
+def test_spread_keeps_the_plan():
+    configs = [({5: 2}, 1000), ({7: 1}, 1), ({3: 1, 4: 2}, 70), ({9: 1}, 3)]
+    rounds = packing.spread(configs)
+    for config, times in configs:
+        assert sum(n for c, n in rounds if c == config) == times
+    assert max(n for c, n in rounds if c == {5: 2}) <= 16
