@@ -11,32 +11,78 @@ from pyspark.sql import functions as F
 from postsieve.llm.common import stored, words
 
 #: What a candidate may look like, and words that speak for or against a secret beside it.
-CANDIDATE = "^[\"'`(\\[{<]*([A-Za-z0-9_+/=~.-]{16,})[\"'`)\\]}>,;:.!?#*$%&|]*$"
-NAMED = "(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer)"
+NAMES = "token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer"
+NAMED = f"(?i)({NAMES})"
+#: A run of key characters, which padding may end.
+RUN = "[A-Za-z0-9_+/~.-]{16,}={0,2}"
+#: A value in quotes up to the closing one, or without quotes up to a mark that ends it.
+VALUE = r"""(?:\\?["'`])?((?<=["'`])[^"'`\\\s]+|[^\s"'`\\,;&(){}\[\]<>]+)"""
+#: Inside a word: a name for a secret, its value; scheme://user:password@host.
+PAIR = r"(?i)([\w.-]{0,40}(?:" + NAMES + r""")[\w.-]{0,40})\\?["'`]?\]?(?:=>|:=|==|=|:(?!//))""" + VALUE
+URL = r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]{0,80}:([^\s/]{1,200})@"
+#: A word that the words before it assign.
+WHOLE = r"^[(\[{<]*" + VALUE
+PEM = "-----BEGIN$"
 DUMMY = "(?i)(example|sample|dummy|test|placeholder|changeme|xxxx|your|fake)"
 DOCS_PATH = "(?i)(test|example|sample|fixture|mock|doc|readme)"
 
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_transitions", "f_vowel_pairs", "f_dictionary",
-    "f_path", "f_named", "f_dummy", "f_assigned", "f_quoted", "f_dotted",
+    "f_path", "f_named", "f_dummy", "f_assigned", "f_quoted", "f_dotted", "f_marks",
 ]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row for each candidate: doc_id, word_at (its place among the words), candidate, the two words before, the one after, path.
+    """One row for each candidate: doc_id, word_at (its place among the words), candidate, its name in the same word, whether it is assigned and quoted, the two words before, the one after, path.
 
-    A candidate is a word of 16 or more key characters, quotes and marks around it apart. Null and empty texts have none; repeated
-    rows and candidates each count. Words that cannot be candidates never leave the scan.
+    Candidates are: values of any length that the same word or the words before assign to a name for a secret; passwords in addresses; what follows
+    ``Bearer`` (8 characters or more); private key blocks, whose words are no candidates of their own; and, apart from these, runs of 16 or more key characters.
+    Null and empty texts have none; repeated rows and candidates each count. Words that cannot hold candidates never leave the scan.
     """
     path = F.col(f"`{path_col}`").cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("w"), path.alias("path"))
-    places = F.array_compact(F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike(CANDIDATE), i)))
     near = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
-    found = F.transform(places, lambda i: F.struct(
-        i.cast("long").alias("word_at"), F.get("w", i).alias("raw"),
-        near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after")))
-    rows = base.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.*")
-    return rows.withColumn("candidate", F.regexp_extract("raw", CANDIDATE, 1))
+    one = lambda value, name, assigned, quoted: F.struct(value.alias("candidate"), name.alias("name"), assigned.alias("assigned"), quoted.alias("quoted"))
+    no, yes, empty = F.lit(False), F.lit(True), F.lit("")
+    cut = lambda v: F.regexp_replace(v, "[.,:;?]+$", "")
+
+    def inside(x: Column, i: Column) -> Column:
+        """The candidates of a word that is not part of a key block."""
+        after_name = (near(i, -1).rlike("[=:]>?$") & (near(i, -1).rlike(NAMED) | (near(i, -1).rlike("^[=:]+>?$") & near(i, -2).rlike(NAMED))))
+        bearer = near(i, -1).rlike("(?i)bearer$") & (F.length(x) >= 8)
+        urls = F.transform(F.regexp_extract_all(x, F.lit(URL), 1), lambda v: one(v, F.lit("password"), yes, no))
+        rest = F.regexp_replace(x, URL, " ")
+        pairs = F.transform(F.arrays_zip(F.regexp_extract_all(rest, F.lit(PAIR), 1).alias("n"), F.regexp_extract_all(rest, F.lit(PAIR), 2).alias("v")),
+                            lambda p: one(cut(p["v"]), p["n"], yes, rest.rlike("[=:]>?\\\\?[\"'`]")))
+        rest = F.regexp_replace(rest, PAIR, " ")
+        quoted = x.rlike("^[(\\[{<]*[\"'`]")
+        whole = F.array(one(F.when(quoted, F.regexp_extract(x, WHOLE, 1)).otherwise(cut(F.regexp_extract(x, WHOLE, 1))), empty, yes, quoted))
+        runs = F.transform(F.regexp_extract_all(rest, F.lit(RUN), 0), lambda v: one(F.regexp_replace(v, "[.]+$", ""), empty, no, quoted))
+        runs = F.filter(runs, lambda c: F.length(c["candidate"]) >= 16)
+        named = F.filter(F.concat(urls, pairs), lambda c: c["candidate"] != "")
+        return (F.when((after_name | bearer) & (F.size(named) == 0), F.filter(whole, lambda c: c["candidate"] != ""))
+                .when((F.length(x) >= 16) | x.rlike("[=:]"), F.concat(named, runs)))
+
+    def block(i: Column) -> Column:
+        """Where the key block that begins at word ``i`` ends; null if none does."""
+        begins = F.exists(F.slice("w", i + 2, 5), lambda x: x.rlike("KEY-----"))
+        end = F.array_position(F.transform(F.slice("w", i + 2, F.size("w")), lambda x: x.contains("-----END")), yes)
+        return F.when(begins & (end > 0), (i + end).cast("int"))
+
+    starts = F.array_compact(F.transform("w", lambda x, i: F.when(x.rlike(PEM), i)))
+    base = base.withColumn("blocks", F.filter(F.transform(starts, lambda i: F.struct(i.alias("a"), block(i).alias("z"))), lambda p: p["z"].isNotNull()))
+    may = lambda x, i: (F.length(x) >= 16) | x.rlike("[=:]") | near(i, -1).rlike("(?i)[=:]>?$|bearer$")
+    out_of = lambda i: (F.size("blocks") == 0) | ~F.exists("blocks", lambda p: (p["a"] <= i) & (i <= p["z"]))
+    places = F.array_compact(F.transform("w", lambda x, i: F.when(may(x, i) & out_of(i), i)))
+    keys = F.transform("blocks", lambda p: F.struct(
+        p["a"].alias("i"), F.array(one(F.array_join(F.slice("w", p["a"] + 1, p["z"] - p["a"] + 1), "\n"), F.lit("private key"), yes, no)).alias("c")))
+    found = F.concat(F.transform(places, lambda i: F.struct(i.alias("i"), inside(F.get("w", i), i).alias("c"))), keys)
+    found = F.filter(found, lambda f: F.size(f["c"]) > 0)
+    found = F.transform(found, lambda f: F.struct(
+        f["i"].cast("long").alias("word_at"), f["c"].alias("c"), F.get("w", f["i"]).alias("raw"),
+        near(f["i"], -1).alias("before"), near(f["i"], -2).alias("before2"), near(f["i"], 1).alias("after")))
+    rows = base.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*")
+    return rows.withColumn("c", F.explode("c")).select("doc_id", "path", "word_at", "raw", "before", "before2", "after", "c.*")
 
 
 def dictionary(docs: DataFrame, size: int = 3000, text_col: str = "text") -> list[str]:
@@ -56,7 +102,10 @@ def with_features(found: DataFrame, known_runs: list[str]) -> DataFrame:
     x = F.col("candidate")
     n = F.length(x)
     share = lambda pattern: F.regexp_count(x, F.lit(pattern)) / n
-    near = F.concat_ws(" ", "before2", "before")
+    for name, value in (("name", F.lit("")), ("assigned", F.lit(False)), ("quoted", F.col("raw").rlike("^[\"'`]"))):
+        if name not in found.columns:  # findings from elsewhere
+            found = found.withColumn(name, value)
+    near = F.concat_ws(" ", "before2", "before", "name")
     runs = _runs(F.lower(x))
     known = F.array_distinct(F.filter(runs, lambda r: r.isin(known_runs)))
     columns = {
@@ -71,9 +120,10 @@ def with_features(found: DataFrame, known_runs: list[str]) -> DataFrame:
         "f_path": F.coalesce(F.col("path"), F.lit("")).rlike(DOCS_PATH).cast("double"),
         "f_named": near.rlike(NAMED).cast("double"),
         "f_dummy": (near.rlike(DUMMY) | F.col("after").rlike(DUMMY) | x.rlike(DUMMY)).cast("double"),
-        "f_assigned": F.col("before").rlike("[=:]$").cast("double"),
-        "f_quoted": F.col("raw").rlike("^[\"'`]").cast("double"),
+        "f_assigned": (F.col("assigned") | F.col("before").rlike("[=:]$")).cast("double"),
+        "f_quoted": F.col("quoted").cast("double"),
         "f_dotted": F.col("candidate").contains(".").cast("double"),
+        "f_marks": share("[^A-Za-z0-9_+/=~.\\s-]"),
     }
     return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in columns.items()})
 
@@ -94,13 +144,13 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11)
 def labelled(found: DataFrame, sample_rows: int) -> DataFrame:
     """Labelled findings for tables without any: at most ``sample_rows`` candidates, half of each label, chosen by hash.
 
-    A secret is a candidate of hexadecimal or mixed letters and digits that is assigned to a name for a secret, with nothing that speaks of a
+    A secret is a candidate of hexadecimal, mixed letters and digits, or with other marks that is assigned to a name for a secret, with nothing that speaks of a
     dummy; a false positive is one of letters only, or a number, or one without such a name before it.
     """
-    random = ((F.col("f_digits") > 0.1) & (F.col("f_digits") < 0.95) & (F.col("f_dotted") == 0))
+    random = (((F.col("f_digits") > 0.1) & (F.col("f_digits") < 0.95) & (F.col("f_dotted") == 0)) | (F.col("f_marks") > 0) | F.col("candidate").startswith("-----BEGIN"))
     secret = random & (F.col("f_named") > 0) & (F.col("f_assigned") > 0) & (F.col("f_dummy") == 0)
-    marked = found.withColumn("label", secret.cast("int")).withColumn("h", F.xxhash64("doc_id", "word_at"))
-    some = [marked.filter(F.col("label") == v).orderBy("h", "doc_id", "word_at").limit(sample_rows // 2) for v in (0, 1)]
+    marked = found.withColumn("label", secret.cast("int")).withColumn("h", F.xxhash64("doc_id", "word_at", "candidate"))
+    some = [marked.filter(F.col("label") == v).orderBy("h", "doc_id", "word_at", "candidate").limit(sample_rows // 2) for v in (0, 1)]
     return some[0].unionByName(some[1]).select(*FEATURES, "label")
 
 
