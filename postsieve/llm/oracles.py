@@ -101,3 +101,43 @@ SELECT u.vec_id, (SELECT count(*) FROM links l WHERE l.a = u.vec_id) AS n_links,
        u.vec_id <= coalesce((SELECT min(b) FROM reach r WHERE r.a = u.vec_id), u.vec_id) AS kept
 FROM u
 """
+
+
+def vector_codes(rounds: int = 6) -> str:
+    """Codebooks and codes by comparing every part with every entry, one pair of steps for each round."""
+    steps = [r"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM (SELECT rid, v, unnest(range(8)) AS p FROM kept)
+), b0 AS MATERIALIZED (
+  SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= 16
+)"""]
+    given = r"""a{k} AS MATERIALIZED (
+  SELECT rid, p, arg_min(e, d * 16 + e) AS e, min(d) AS d
+  FROM (SELECT x.rid, x.p, b.e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM parts x JOIN b{k} b ON x.p = b.p)
+  GROUP BY rid, p
+)"""
+    moved = r"""b{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v
+  FROM b{k} b LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS v
+    FROM (SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m
+          FROM (SELECT a.p, a.e, unnest(y.v) AS x, generate_subscripts(y.v, 1) AS i FROM a{k} a JOIN parts y ON a.rid = y.rid AND a.p = y.p)
+          GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e
+)"""
+    for k in range(rounds):
+        steps += [given.format(k=k), moved.format(k=k, n=k + 1)]
+    steps.append(given.format(k=rounds))
+    return "WITH " + ", ".join(steps) + rf""", coded AS (
+  SELECT k.rid, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} a JOIN kept k ON a.rid = k.rid GROUP BY k.rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""

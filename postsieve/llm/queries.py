@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import jaccard, language_model, lines, mixing, packing, quality, secret_scan, tokens, toxicity, vectors
+from postsieve.llm import alignment, byte_bpe, gnat, jaccard, language_model, lines, mixing, packing, quality, secret_scan, tokens, toxicity, vectors
 from postsieve.llm.common import reach_package
-from postsieve.llm.oracles import JACCARD_JOIN, LINE_DEDUP, NEAR_VECTORS, QUALITY_RULES
+from postsieve.llm.oracles import JACCARD_JOIN, LINE_DEDUP, NEAR_VECTORS, QUALITY_RULES, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.code_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_best_fit_pack": op9_best_fit_pack,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
@@ -78,4 +93,5 @@ ORACLES = {
     "op5_quality_rules": QUALITY_RULES,
     "op6_embedding_near_dedup": NEAR_VECTORS,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_vector_codes": vector_codes(),
 }
