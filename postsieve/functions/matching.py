@@ -113,3 +113,11 @@ EMAIL_PATTERN = f"^[^@{V.BLANK_CLASS}]+@[^@{V.BLANK_CLASS}]+\\.[^@{V.BLANK_CLASS
 def email_shaped(c: Column | str) -> Column:
     c = as_column(c)
     return F.contains(c, F.lit("@")) & c.rlike(EMAIL_PATTERN)
+
+
+def count_emails(text: Column | str) -> Column:
+    """How many blank-separated words of a text have the shape. Texts without "@" are not searched, and of the others only the
+    words with one are cut out."""
+    text = as_column(text)
+    words = F.regexp_extract_all(text, F.lit(f"[^@{V.BLANK_CLASS}]*+@[^{V.BLANK_CLASS}]*+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), F.size(F.filter(words, email_shaped)).cast("bigint")).when(text.isNotNull(), F.lit(0).cast("bigint"))

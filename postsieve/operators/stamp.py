@@ -21,3 +21,8 @@ def stamp_new(new: DataFrame, after: int, found_at: datetime, order: list[str])
         "date": display_date(F.lit(found_at)),
         "notified": F.lit(False),
     }).select(schemas.HISTORY.fieldNames())
+
+
+def renumbered(rows: DataFrame, order: list[str], seq: str = "seq") -> DataFrame:
+    """``rows`` with a new number that rises in ``order``, unique, with gaps. Store the result before it is read twice."""
+    return rows.orderBy(*order).withColumn(seq, F.monotonically_increasing_id())

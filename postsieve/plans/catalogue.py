@@ -19,10 +19,11 @@ from postsieve.functions import labels, matching, text, urls
 from postsieve.operators import dedup, edits, report, screens, state
 from postsieve.plans.run import Vocabulary
 from postsieve.plans.run import scheduled_run as scheduled_run_once
+from postsieve.plans.run import send_pending
 from postsieve.session import fresh_dir, use_utc
 from postsieve.sources import pages as page_source
 from postsieve.sources import payloads as payload_source
-from postsieve.sources import schemas, snapshots
+from postsieve.sources import outbox, schemas, snapshots
 from postsieve.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,10 +319,8 @@ def default_screens(spark, sf_dir):
 
 @query
 def email_check(spark, sf_dir):
-    tokens = F.split("text", f"[{matching.V.BLANK_CLASS}]+")
-    shaped = F.size(F.filter(tokens, matching.email_shaped)).cast("bigint")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", shaped.alias("n_emails"))
+    return docs.select("doc_id", matching.count_emails("text").alias("n_emails"))
 
 
 def _candidates(spark, sf_dir):
@@ -593,8 +592,11 @@ def clear_history(spark, sf_dir):
 # The whole run
 
 
-def _run_once(spark: SparkSession, sf_dir: str) -> str:
-    """A scheduled run over parts as endpoint answers and captured pages; returns its folder.
+RUN_WORDS = Vocabulary(include=[*PART_INCLUDE, *LINK_INCLUDE], veto=PART_VETO, places=[*PART_PLACES, *LINK_INCLUDE])
+
+
+def _run_inputs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """Parts as endpoint answers, captured pages, and a new folder with the sources of both.
 
     Brands are the sources. A page belongs to the brand numbered by the length of its address, so
     some pages belong to brands with endpoint rows, one to a brand whose answers are unreadable, and
@@ -622,10 +624,33 @@ def _run_once(spark: SparkSession, sf_dir: str) -> str:
     )
     root = fresh_dir(spark, "run")
     snapshots.write_snapshot(sources, f"{root}/sources")
-    words = Vocabulary(
-        include=[*PART_INCLUDE, *LINK_INCLUDE], veto=PART_VETO, places=[*PART_PLACES, *LINK_INCLUDE]
-    )
-    scheduled_run_once(spark, root, payloads, pages, NOW, "user@example.com", words)
+    return root, payloads, pages
+
+
+def _seed(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Earlier rows: half the parts and pages as they were reported, and the cards of the labelled documents."""
+    reported = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(
+        F.col("p_brand").alias("company"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"), F.lit(True).alias("notified"))
+    snapshots.append_run(_as_history(reported), f"{root}/history", "reported")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), f"{root}/history", "cards")
+
+
+def _run_once(spark: SparkSession, sf_dir: str, seeded: bool = False) -> str:
+    """A scheduled run; returns its folder."""
+    root, payloads, pages = _run_inputs(spark, sf_dir)
+    if seeded:
+        _seed(spark, sf_dir, root)
+    scheduled_run_once(spark, root, payloads, pages, NOW, "user@example.com", RUN_WORDS)
+    return root
+
+
+def _run_stream(spark: SparkSession, sf_dir: str) -> str:
+    """The same run as a stream over the landed inputs; returns its folder."""
+    root, payloads, pages = _run_inputs(spark, sf_dir)
+    payloads.write.parquet(f"{root}/landed/payloads")
+    pages.write.parquet(f"{root}/landed/pages")
+    stream = incremental.landed(spark, f"{root}/landed/payloads", f"{root}/landed/pages")
+    incremental.start_runs(stream, root, f"{root}/checkpoint", "user@example.com", RUN_WORDS, clock=lambda: NOW).awaitTermination()
     return root
 
 
@@ -650,9 +675,53 @@ def scheduled_run_digest(spark, sf_dir):
     return digests.select("recipient", "part", "parts", "total", "subject", "body")
 
 
+@query
+def run_on_history(spark, sf_dir):
+    """What a whole run adds to a history that holds half of the parts already."""
+    history = snapshots.read_history(spark, f"{_run_once(spark, sf_dir, seeded=True)}/history")
+    return history.where(~F.col("run").isin("reported", "cards")).select("company", "title", "url", "id", "date", "notified")
+
+
+@query
+def pending_after_run(spark, sf_dir):
+    """The run marked its rows as sent, so what is pending is the earlier rows that no one was told about."""
+    return outbox.pending(spark, _run_once(spark, sf_dir, seeded=True)).select("run", "seq", "company", "title")
+
+
+@query
+def pending_digest(spark, sf_dir):
+    """Those rows are sent: the documents, and how many rows are pending afterwards."""
+    root = _run_once(spark, sf_dir, seeded=True)
+    send_pending(spark, root, "catch-up", "user@example.com")
+    sent = spark.read.parquet(f"{root}/digests").where("run = 'catch-up'").select("recipient", "part", "parts", "total", "subject", "body")
+    return sent.withColumn("pending_after", F.lit(outbox.pending(spark, root).count()).cast("long"))
+
+
 # Streams
 
 
+@query
+def stream_run(spark, sf_dir):
+    """The history after the whole run as a stream."""
+    history = snapshots.read_history(spark, f"{_run_stream(spark, sf_dir)}/history")
+    return history.select("company", "title", "url", "id", "date", "notified")
+
+
+@query
+def stream_run_state(spark, sf_dir):
+    """The sources after the whole run as a stream."""
+    sources = snapshots.read_snapshot(spark, f"{_run_stream(spark, sf_dir)}/sources", schemas.SOURCES)
+    return sources.select("name", "status", "last_job", F.unix_micros("last_checked").alias("last_checked_us"))
+
+
+@query
+def stream_run_digest(spark, sf_dir):
+    """The digest documents of the whole run as a stream, and how many of its rows are still pending."""
+    root = _run_stream(spark, sf_dir)
+    digests = spark.read.parquet(f"{root}/digests").select("recipient", "part", "parts", "total", "subject", "body")
+    return digests.withColumn("pending_after", F.lit(outbox.pending(spark, root).count()).cast("long"))
+
+
 def _card_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table as a file stream of cards."""
     schema = table(spark, sf_dir, "documents").schema

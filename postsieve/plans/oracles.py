@@ -168,6 +168,10 @@ _RUN = f"""{_LINKS}, answers as (select p_brand as company, p_name as title, p_t
         and company not in (select company from by_endpoint)),
     postings as (select * from by_endpoint union all select * from by_page)"""
 
+_FIRST_OF_RUN = "nth as (select *, row_number() over (partition by company, title order by ord, url) as n from postings)"
+_RUN_COLUMNS = f"""company, title, url, replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id,
+    'Jan 15, 12:00' as date, false as notified"""
+
 ORACLES: dict[str, str] = {
     "scan_sources": "select s_suppkey as id, s_name as name, s_nationkey as nation from supplier",
     "flatten_payload": """select event_id, 0::bigint as ord,
@@ -313,6 +317,13 @@ ORACLES: dict[str, str] = {
     "remove_history": f"""with {_FIRSTS} select company, title, ord as seq, 'first' as run from past where notified is not true
         union all select company, title, ord, 'second' from cards""",
     "clear_history": f"with {_BATCH} select company, title, ord as seq, 'second' as run from batch",
+    "stream_run": f"with {_RUN}, {_FIRST_OF_RUN} select {_RUN_COLUMNS} from nth where n = 1",
+    "run_on_history": f"""with {_RUN}, {_FIRST_OF_RUN} select {_RUN_COLUMNS} from nth where n = 1 and not exists
+        (select 1 from part p where p.p_partkey % 2 = 0 and p.p_brand = nth.company and p.p_name = nth.title)""",
+    "pending_after_run": f"""with {_FIRSTS} select 'cards' as run, ord as seq, company, title from past where notified is not true""",
+    "pending_digest": "select *, 0::bigint as pending_after from (" + _digest(
+        f"""with {_FIRSTS} select 'user@example.com' as recipient, ord as seq, title, company, '' as url, '' as date
+        from past where notified is not true""", 1000, "recipient, part, parts, total, subject, body") + ")",
     "scheduled_run_digest": _digest(
         f"""with {_RUN}, nth as (select *, row_number() over (partition by company, title order by ord, url) as n from postings)
         select 'user@example.com' as recipient, row_number() over (order by length(company), ord, url) as seq,
@@ -320,3 +331,5 @@ ORACLES: dict[str, str] = {
         1000, "recipient, part, parts, total, subject, body",
     ),
 }
+ORACLES["stream_run_state"] = ORACLES["scheduled_run_state"]
+ORACLES["stream_run_digest"] = f"select *, 0::bigint as pending_after from ({ORACLES['scheduled_run_digest']})"

@@ -1,7 +1,7 @@
 """One scheduled run over landed endpoint answers and captured pages.
 
-Landed tables in, four stored tables out: the sources with their new state, the history with
-the new postings, and the digest documents. What several steps read is written once to the
+Landed tables in, stored tables out: the sources with their new state, the history with
+the new postings, the digest documents, and the rows marked as sent. What several steps read is written once to the
 run's own folder; a lost executor re-reads it, and a repeated run replaces it.
 """
 
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from postsieve.functions import vocabulary as V
 from postsieve.functions.urls import resolve_links
+from postsieve.operators import stamp
 from postsieve.operators.dedup import KEY, fallback_rows, keep_first, normal_keys, probe_new_postings
 from postsieve.operators.report import DIGEST_LINES, alert_digest
 from postsieve.operators.screens import endpoint_row_ok, screen_page_rows
-from postsieve.operators.stamp import stamp_new
 from postsieve.operators.state import first_title, merge_source_state
-from postsieve.sources import schemas, snapshots
+from postsieve.sources import outbox, schemas, snapshots
 from postsieve.sources.pages import page_postings
 from postsieve.sources.payloads import endpoint_rows
 
@@ -70,19 +70,42 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scheduled_run(
-    spark: SparkSession, root: str, payloads: DataFrame, pages: DataFrame,
-    checked_at: datetime, recipient: str = "", words: Vocabulary = Vocabulary(),
-    lines_per_document: int = DIGEST_LINES,
-) -> str:
-    """Run once and store the results below ``root``; returns the name of the run.
+def send(rows: DataFrame, root: str, sender: str, recipient: str, lines_per_document: int = DIGEST_LINES) -> None:
+    """Store the digest documents of history rows, then mark the rows as sent. Both go under the name of the
+    sender, so that a repeat after a fault in between replaces them."""
+    digest = alert_digest(rows.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
+    digest.write.mode("overwrite").parquet(f"{root}/digests/run={sender}")
+    outbox.record_sent(rows, root, sender)
 
-    Tables: ``sources`` (snapshot), ``history`` (runs), ``digests`` (runs), ``stage`` (runs). A digest of
-    more than ``lines_per_document`` lines goes on in further documents.
+
+def send_pending(spark: SparkSession, root: str, sender: str, recipient: str, lines_per_document: int = DIGEST_LINES) -> None:
+    """Send what no run has sent yet: rows of runs without a recipient, of imported histories, of runs that stopped early.
+
+    What is pending is written down first and only once for a sender, so a repeat sends the same rows. Numbers of runs that began together
+    may meet, so documents follow a numbering of their own: by instant, run and number.
+    """
+    path = f"{root}/stage/run={sender}/pending"
+    open_rows = outbox.pending(spark, root, without=sender)
+    if snapshots.current_version(spark, path) is None:
+        numbered = stamp.renumbered(open_rows.withColumnRenamed("seq", "_seq"), ["found_at", "run", "_seq"])
+        snapshots.write_snapshot(numbered, path)
+    kept = snapshots.read_snapshot(spark, path, open_rows.withColumnRenamed("seq", "_seq").withColumn("seq", F.lit(0).cast("long")).schema)
+    digest = alert_digest(kept.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
+    digest.write.mode("overwrite").parquet(f"{root}/digests/run={sender}")
+    outbox.record_sent(kept.select("run", F.col("_seq").alias("seq")), root, sender)
+
+
+def apply_run(
+    spark: SparkSession, root: str, run: str, payloads: DataFrame, pages: DataFrame, checked_at: datetime, after: int,
+    recipient: str = "", words: Vocabulary = Vocabulary(), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+) -> None:
+    """The steps of a run under the name ``run``: what its rows are numbered after, and its instant, are given, so that
+    a repeat gives the same results.
+
+    Every tracked source counts as tried; with ``only_landed`` only those with an answer or a page among the inputs.
     """
-    run = f"{checked_at:%Y%m%dT%H%M%S%f}"
     stage = f"{root}/stage/run={run}"
-    sources = snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES)
+    sources, version = snapshots.read_version(spark, f"{root}/sources", schemas.SOURCES)
     history = snapshots.history_rows(spark, f"{root}/history", without_run=run)
 
     tracked = sources.groupBy(F.col("name").alias("company")).agg(F.min("position").alias("position"))
@@ -93,20 +116,39 @@ def scheduled_run(
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
 
     new = probe_new_postings(firsts, history, live=lambda rows: snapshots.without_removed(rows, f"{root}/history"))
-    after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
-    stamped = stamp_new(new, after, checked_at, ["position", *ORDER])
+    stamped = stamp.stamp_new(new, after, checked_at, ["position", *ORDER])
     snapshots.append_run(stamped, f"{root}/history", run)
-    added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
 
     if recipient:
-        digest = alert_digest(added.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
-        digest.write.mode("overwrite").parquet(f"{root}/digests/run={run}")
+        added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
+        send(added, root, run, recipient, lines_per_document)
 
+    tried = tracked.select(F.col("company").alias("name"))
+    if only_landed:
+        tried = tried.join(payloads.select("company").union(pages.select("company")), tried["name"] == F.col("company"), "left_semi")
     broken = failed_sources(endpoint).select(F.col("company").alias("name"), F.lit("broken").alias("status"))
-    statuses = tracked.select(F.col("company").alias("name")).join(broken, "name", "left").select(
-        "name", F.coalesce("status", F.lit("active")).alias("status")
-    )
+    statuses = tried.join(broken, "name", "left").select("name", F.coalesce("status", F.lit("active")).alias("status"))
     firsts_of_run = first_title(postings, order=ORDER).withColumnRenamed("company", "name")
-    merged = merge_source_state(sources, statuses, firsts_of_run, checked_at)
-    snapshots.write_snapshot(merged, f"{root}/sources")
+    while True:
+        merged = merge_source_state(sources, statuses, firsts_of_run, checked_at)
+        try:
+            snapshots.write_snapshot(merged, f"{root}/sources", version)
+            return
+        except snapshots.SnapshotConflict:  # an edit of the sources came in between: merge into that
+            sources, version = snapshots.read_version(spark, f"{root}/sources", schemas.SOURCES)
+
+
+def scheduled_run(
+    spark: SparkSession, root: str, payloads: DataFrame, pages: DataFrame,
+    checked_at: datetime, recipient: str = "", words: Vocabulary = Vocabulary(),
+    lines_per_document: int = DIGEST_LINES,
+) -> str:
+    """Run once and store the results below ``root``; returns the name of the run.
+
+    Tables: ``sources`` (snapshot), ``history`` (runs), ``digests`` (runs), ``sent`` (senders), ``stage`` (runs). A digest of
+    more than ``lines_per_document`` lines goes on in further documents.
+    """
+    run = f"{checked_at:%Y%m%dT%H%M%S%f}"
+    after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
+    apply_run(spark, root, run, payloads, pages, checked_at, after, recipient, words, lines_per_document)
     return run

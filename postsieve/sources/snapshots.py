@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -79,29 +80,56 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 # A snapshot table is a folder of complete versions plus a log naming the finished ones.
 # A version counts only once its log entry is there, so readers never see half a write and
-# a job may overwrite the table it reads.
-_LOG_SCHEMA = T.StructType([T.StructField("version", T.LongType())])
+# a job may overwrite the table it reads. Each write has a folder of its own, so two writers never mix their
+# files, and a version has one entry: who comes second with the same number is refused.
+_LOG_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.LongType())])
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
+class SnapshotConflict(Exception):
+    """Another writer finished the version first: read it and try again."""
+
+
+def _current(spark: SparkSession, root: str) -> tuple[int, str] | None:
     log = scan_or_empty(spark, f"{root}/log", _LOG_SCHEMA)
-    return log.agg(F.max("version")).first()[0]
+    last = log.agg(F.max(F.struct("version", "name")).alias("last")).first()["last"]
+    return last and (last["version"], last["name"])
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    current = _current(spark, root)
+    return current and current[0]
+
+
+def read_version(spark: SparkSession, root: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """The table and the number of the version read, 0 before the first."""
+    current = _current(spark, root)
+    if current is None:
+        return empty_table(spark, schema), 0
+    return spark.read.schema(schema).parquet(f"{root}/data/version={current[1]}"), current[0]
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
-        return empty_table(spark, schema)
-    return spark.read.schema(schema).parquet(f"{root}/data/version={version}")
+    return read_version(spark, root, schema)[0]
+
 
+def write_snapshot(df: DataFrame, root: str, expected: int | None = None) -> int:
+    """Replace the table by ``df``; returns the new version.
 
-def write_snapshot(df: DataFrame, root: str) -> int:
-    """Replace the table by ``df``; returns the new version."""
+    With ``expected``, the version that ``df`` was made from, a version that came in between raises
+    ``SnapshotConflict`` instead of being lost. The entry is made where none is; on storage without an atomic way to do that, two writers within the same
+    moment may both pass, and readers then agree on one of them.
+    """
     spark = df.sparkSession
-    version = (current_version(spark, root) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    done = spark.createDataFrame([(version,)], _LOG_SCHEMA)
-    done.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    version = (current_version(spark, root) or 0 if expected is None else expected) + 1
+    name = f"{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/data/version={name}")
+    done = spark.createDataFrame([(name,)], "name string")
+    try:
+        done.coalesce(1).write.mode("error").parquet(f"{root}/log/version={version}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise SnapshotConflict(f"version {version} of {root} is there already") from error
     return version
 
 

@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postsieve.operators.dedup import KEY, keep_first, normal_keys, probe_new_postings
-from postsieve.operators.report import DIGEST_LINES, alert_digest
+from postsieve.operators.report import DIGEST_LINES
 from postsieve.operators.stamp import stamp_new
-from postsieve.plans.run import Vocabulary, screened_endpoint_rows, screened_page_rows
+from postsieve.plans.run import Vocabulary, apply_run, screened_endpoint_rows, screened_page_rows, send
 from postsieve.sources import schemas, snapshots
 
 
@@ -36,6 +36,22 @@ def landed_payloads(spark: SparkSession, folder: str, words: Vocabulary = Vocabu
     return screened_endpoint_rows(stream, words).where(F.col("ok")).select(schemas.POSTINGS.fieldNames())
 
 
+def landed(spark: SparkSession, payloads: str, pages: str, **options: str) -> DataFrame:
+    """One stream of endpoint answers and captured pages as they land in two folders: (company, answer, page), one of the
+    two set. ``options`` go to both file sources."""
+
+    def read(folder: str, schema: T.StructType) -> DataFrame:
+        return spark.readStream.schema(schema).options(**options).parquet(folder)
+
+    def form(schema: T.StructType) -> T.StructType:
+        return T.StructType([f for f in schema.fields if f.name != "company"])
+
+    answer, page = (F.struct(*form(x).fieldNames()) for x in (schemas.PAYLOADS, schemas.PAGES))
+    answers = read(payloads, schemas.PAYLOADS).select("company", answer.alias("answer"), F.lit(None).cast(form(schemas.PAGES)).alias("page"))
+    captured = read(pages, schemas.PAGES).select("company", F.lit(None).cast(form(schemas.PAYLOADS)).alias("answer"), page.alias("page"))
+    return answers.unionByName(captured)
+
+
 _STARTED = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("after", T.LongType())])
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -74,8 +90,7 @@ def new_postings_writer(
         snapshots.append_run(new, past, run)
         if recipient:
             added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
-            digest = alert_digest(added.withColumn("recipient", F.lit(recipient)), lines_per_document=lines_per_document)
-            digest.write.mode("overwrite").parquet(f"{root}/digests/run={run}")
+            send(added, root, run, recipient, lines_per_document)
 
     return write
 
@@ -97,6 +112,40 @@ def start_new_postings(
     )
 
 
+def run_writer(
+    root: str, name: str, recipient: str = "", words: Vocabulary = Vocabulary(),
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+) -> Callable[[DataFrame, int], None]:
+    """Function for ``foreachBatch`` over ``landed``: a whole run for each batch. Answers come before pages, failed answers mark
+    their source and keep it from fallback, untracked sources are left out, and history, digest, sent rows and state are stored."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = f"{name}-{batch_id}"
+        payloads = batch.where(F.col("answer").isNotNull()).select("company", "answer.*")
+        pages = batch.where(F.col("page").isNotNull()).select("company", "page.*")
+        at, after = _started(spark, root, run, clock)
+        apply_run(spark, root, run, payloads, pages, at, after, recipient, words, lines_per_document, only_landed)
+
+    return write
+
+
+def start_runs(
+    stream: DataFrame, root: str, checkpoint: str, recipient: str = "", words: Vocabulary = Vocabulary(), every: str | None = None,
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+) -> StreamingQuery:
+    """Start the whole run as a stream over ``landed``, once over what has landed or, with ``every``, at that pace.
+
+    A batch is a run: answers decide about the pages that come in the same batch, so land both inputs of a source together, and let
+    a batch take all there is (no ``maxFilesPerTrigger``) where that matters. Every tracked source counts as tried in each batch, as in
+    a scheduled run; ``only_landed`` is for inputs that land source by source.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    writer = run_writer(root, name, recipient, words, clock, lines_per_document, only_landed)
+    return stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def stream_keys(
     stream: DataFrame, keys: list[str] = KEY, event_time: str | None = None, forget_after: str | None = None
 ) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import new_postings
-from postsieve.plans.run import scheduled_run
-from postsieve.sources import schemas, snapshots
+from postsieve.plans.run import apply_run, scheduled_run, send_pending
+from postsieve.sources import outbox, schemas, snapshots
 from postsieve.streaming import incremental
 
 FIRST = datetime(2026, 8, 22, 15, 0, tzinfo=timezone.utc)
@@ -152,6 +152,85 @@ def test_writers_that_begin_together_keep_their_rows_apart(spark, tmp_path):
     assert {r.title for r in snapshots.read_history(spark, past).where("run = 's-0'").collect()} == {"x"}, "removed: new again"
 
 
+def land_inputs(spark, root, api_titles, page_titles):
+    payloads = [("Api", ENDPOINT, payload(*api_titles)), ("Empty", ENDPOINT, payload("Director")), ("Broken", ENDPOINT, "<html>"), ("Stranger", ENDPOINT, payload("Junior S"))]
+    html = "".join(link(t, f"view/{i}") for i, t in enumerate(page_titles)) + "<a href='/blog/x'>Junior in Pune</a>"
+    pages = [(n, f"https://{n.lower()}.example.com/jobs/", html) for n in ("Api", "Empty", "Broken", "Page", "Unknown")]
+    payloads, pages = spark.createDataFrame(payloads, schemas.PAYLOADS), spark.createDataFrame(pages, schemas.PAGES)
+    payloads.write.mode("append").parquet(f"{root}/in/payloads")
+    pages.write.mode("append").parquet(f"{root}/in/pages")
+    return payloads, pages
+
+
+def results(spark, root):
+    history = snapshots.read_history(spark, f"{root}/history").drop("run", "seq").collect()
+    sources = snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES).collect()
+    digests = spark.read.parquet(f"{root}/digests").drop("run").collect()
+    return [sorted(map(tuple, x), key=str) for x in (history, sources, digests)]
+
+
+def test_stream_of_both_inputs_equals_the_scheduled_runs(spark, root, tmp_path_factory):
+    other = str(tmp_path_factory.mktemp("stream"))
+    snapshots.write_snapshot(snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES), f"{other}/sources")
+    times = iter([FIRST, SECOND])
+    for at, api, page in ((FIRST, ["Junior A", "Associate B"], ["Trainee C"]), (SECOND, ["Associate B", "Graduate D"], [])):
+        payloads, pages = land_inputs(spark, other, api, page)
+        scheduled_run(spark, root, payloads, pages, at, "user@example.com")
+        stream = incremental.landed(spark, f"{other}/in/payloads", f"{other}/in/pages")
+        incremental.start_runs(stream, other, f"{other}/checkpoint", "user@example.com", clock=lambda: next(times)).awaitTermination()
+        assert results(spark, other) == results(spark, root)
+        assert outbox.pending(spark, other).count() == 0
+    assert not {"Stranger", "Unknown", "Broken"} & {r.company for r in snapshots.read_history(spark, f"{other}/history").collect()}
+
+
+def test_repeated_batch_of_both_inputs_changes_nothing(spark, root):
+    payloads, pages = land_inputs(spark, root, ["Junior A"], ["Trainee C"])
+    null = lambda schema: F.lit(None).cast(schema)
+    forms = incremental.landed(spark, f"{root}/in/payloads", f"{root}/in/pages").schema
+    batch = payloads.select("company", F.struct("endpoint_url", "payload").alias("answer"), null(forms["page"].dataType).alias("page")).unionByName(
+        pages.select("company", null(forms["answer"].dataType).alias("answer"), F.struct("url", "html").alias("page")))
+    times = iter([FIRST, SECOND])
+    write = incremental.run_writer(root, "s", "user@example.com", clock=lambda: next(times))
+    write(batch, 0)
+    before = results(spark, root)
+    write(batch, 0)
+    assert results(spark, root) == before and outbox.sent_rows(spark, root).count() == len(before[0])
+
+
+def test_only_landed_sources_are_tried(spark, root):
+    payloads, pages = land_inputs(spark, root, ["Junior A"], [])
+    apply_run(spark, root, "r", payloads.where("company = 'Api'"), pages.where("company = 'Page'"), FIRST, -1, only_landed=True)
+    after = {s.name: s.status for s in snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES).collect()}
+    assert after == {"Api": "active", "Page": "active", "Empty": "unknown", "Broken": "unknown", "Quiet": "unknown"}
+
+
+def test_outbox_sends_what_no_run_sent_and_only_once(spark, root):
+    land = lambda at, api, to: scheduled_run(spark, root, *land_inputs(spark, root, api, []), at, to)
+    land(FIRST, ["Junior A", "Associate B"], "")
+    seed = spark.createDataFrame([("Old", t, "u", "i", "d", None, n, f) for n, (t, f) in enumerate([("x", True), ("y", None), ("z", False)])], schemas.HISTORY)
+    snapshots.append_run(seed, f"{root}/history", "imported")
+    land(SECOND, ["Graduate D"], "user@example.com")
+    assert sorted(r.title for r in outbox.pending(spark, root).collect()) == ["Associate B", "Junior A", "y", "z"]
+    for _ in range(2):  # a repeat sends the same documents
+        send_pending(spark, root, "catch-up", "user@example.com", lines_per_document=3)
+        parts = spark.read.parquet(f"{root}/digests/run=catch-up").orderBy("part").collect()
+        assert [p.total for p in parts] == [4, 4] and "\n".join(p.body for p in parts).count(" @ ") == 4
+        assert outbox.pending(spark, root).count() == 0 and outbox.sent_rows(spark, root).count() == 5
+    send_pending(spark, root, "nothing", "user@example.com")
+    assert spark.read.schema(spark.read.parquet(f"{root}/digests/run=catch-up").schema).parquet(f"{root}/digests/run=nothing").count() == 0
+
+
+def test_snapshot_writers_do_not_lose_each_other(spark, root):
+    path = f"{root}/sources"
+    read, version = snapshots.read_version(spark, path, schemas.SOURCES)
+    snapshots.write_snapshot(read.where("name <> 'Quiet'"), path, version)
+    with pytest.raises(snapshots.SnapshotConflict):
+        snapshots.write_snapshot(read, path, version)
+    assert snapshots.read_snapshot(spark, path, schemas.SOURCES).count() == 4
+    snapshots.write_snapshot(read, path)
+    assert snapshots.current_version(spark, path) == version + 2
+
+
 def test_stream_keys(spark, tmp_path):
     land(spark, f"{tmp_path}/in", FILES)
     stream = spark.readStream.schema(schemas.POSTINGS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
