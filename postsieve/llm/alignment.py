@@ -141,6 +141,9 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_size, self.b_size = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.keep = keep
         self.known: dict[str, Aligned] = {}
@@ -156,18 +159,47 @@ class Aligner:
         a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for text, x, y in zip(texts, coded, pieces):
             data = text.encode()
-            a, b = [a_bytes.get(i, b"") for i in x.ids], [b_bytes[i] for i in y]
+            a, b = [a_bytes[i] for i in x.ids], [b_bytes[i] for i in y]
             fits = b"".join(a) == data and b"".join(b) == data
             yield list(zip(x.ids, map(len, a))), list(zip(y, map(len, b))), fits
 
     def _align(self, texts: list[str]) -> Iterator[Aligned]:
-        for a, b, fits in self.tokens(texts):
-            if not fits:
+        """Groups of whole pieces, which both vocabularies begin and end at common places, in one pass over the two lists."""
+        coded = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        pieces = self.b.encode([x[1:] for x in texts], num_threads=1)
+        a_bytes, b_bytes, a_size, b_size, names = self.a_bytes, self.b_bytes, self.a_size, self.b_size, self.names
+        for text, x, ys in zip(texts, coded, pieces):
+            data, xs = text.encode(), x.ids
+            if b"".join(map(b_bytes.__getitem__, ys)) != data or b"".join(map(a_bytes.__getitem__, xs)) != data:
                 yield Aligned(0, 0, 0, [], "", False)
-            elif len(a) == 1 and len(b) == 1:
-                yield Aligned(1, 1, 1, [a[0][0] << 32 | b[0][0]], f"{a[0][0]}|{b[0][0]}")
-            else:
-                yield aligned([g for _, g in fragment(a, b, 0, sum(n for _, n in a)).groups])
+                continue
+            n_a, n_b, i, j = len(xs), len(ys), 0, 0
+            a, b = xs[0], ys[0]
+            end_a, end_b, left, right = a_size[a], b_size[b], names[a], names[b]
+            links, written = [a << 32 | b], []
+            while True:
+                if end_a < end_b:
+                    i += 1
+                    a = xs[i]
+                    end_a += a_size[a]
+                    left += "," + names[a]
+                elif end_b < end_a:
+                    j += 1
+                    b = ys[j]
+                    end_b += b_size[b]
+                    right += "," + names[b]
+                else:
+                    written.append(left + "|" + right)
+                    i += 1
+                    j += 1
+                    if i == n_a:
+                        break
+                    a, b = xs[i], ys[j]
+                    end_a += a_size[a]
+                    end_b += b_size[b]
+                    left, right = names[a], names[b]
+                links.append(a << 32 | b)
+            yield Aligned(n_a, n_b, len(written), links, ";".join(written))
 
     def align(self, texts: list[str]) -> list[Aligned]:
         """The alignment of distinct pieces of text."""

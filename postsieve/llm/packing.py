@@ -78,39 +78,55 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20
     return [(dict(c), x) for c, x in used.items()]
 
 
+def _best_fit(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Sequences for the few items left: longest first, each into the fullest sequence that has room. Sequences with one content are kept as
+    a count, and copies of a size are dealt to all of them at once."""
+    rooms: list[dict[tuple[tuple[int, int], ...], int]] = [{} for _ in range(capacity + 1)]
+    for size, n in sorted(sizes, reverse=True):
+        while n:
+            room = next((r for r in range(size, capacity + 1) if rooms[r]), None)
+            if room is None:
+                copies = min(n, capacity // size)
+                same = n // copies
+                name, room = ((size, copies),), capacity - size * copies
+                n -= same * copies
+            else:
+                name, count = rooms[room].popitem()
+                copies = min(room // size, n)
+                same = min(count, n // copies)
+                if count > same:
+                    rooms[room][name] = count - same
+                name, room = (*name, (size, copies)), room - size * copies
+                n -= same * copies
+            rooms[room][name] = rooms[room].get(name, 0) + same
+    return [(dict(c), n) for r in rooms for c, n in r.items()]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Whole sequences for all items: configurations (size -> copies) and how many sequences each makes.
 
-    The program's amounts are rounded down; what is left, the items of a small share of the sequences, fills
-    further sequences by best fit, longest first. Work and result depend on ``capacity``, not on the number of items
-    (the left-over items number at most ``capacity`` for each configuration).
+    The program's amounts are rounded down; what is left, the uncovered share and less than one sequence a configuration, is the histogram
+    of the next program, until one no longer halves what is left. What remains then is bounded by the configurations, at most ``capacity`` items
+    for each, and fills further sequences by best fit, longest first. So work and result depend on
+    ``capacity`` and, by the number of programs, on the logarithm of the number of items.
     """
     sizes = np.array(sorted(s for s, n in histogram.items() if n > 0 and s < capacity), dtype=np.int64)
-    out: list[tuple[dict[int, int], int]] = []
+    used: Counter = Counter()
     if histogram.get(capacity):
-        out.append(({capacity: 1}, histogram[capacity]))
-    if not len(sizes):
-        return out
+        used[((capacity, 1),)] = histogram[capacity]
     left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    for config, amount in solve(sizes, left.astype(float), capacity):
-        if whole := int(amount + 1e-9):
-            out.append(({int(sizes[i]): n for i, n in config.items()}, whole))
-            for i, n in config.items():
-                left[i] -= n * whole
-    rooms: list[list[dict[int, int]]] = [[] for _ in range(capacity + 1)]
-    filled: list[dict[int, int]] = []
-    for size, n in sorted(zip(sizes.tolist(), left.tolist()), reverse=True):
-        for _ in range(n):
-            room = next((r for r in range(size, capacity + 1) if rooms[r]), None)
-            if room is None:
-                room, one = capacity, {}
-                filled.append(one)
-            else:
-                one = rooms[room].pop()
-            one[size] = one.get(size, 0) + 1
-            rooms[room - size].append(one)
-    same = Counter(tuple(sorted(x.items())) for x in filled)
-    return out + [(dict(c), n) for c, n in same.items()]
+    while left.sum():
+        before, open_ = int(sizes @ left), np.flatnonzero(left)
+        for config, amount in solve(sizes[open_], left[open_].astype(float), capacity):
+            if whole := int(amount + 1e-9):
+                used[tuple(sorted((int(sizes[open_[i]]), n) for i, n in config.items()))] += whole
+                for i, n in config.items():
+                    left[open_[i]] -= n * whole
+        if int(sizes @ left) * 2 > before:
+            break
+    for config, n in _best_fit([(int(s), int(n)) for s, n in zip(sizes, left) if n], capacity):
+        used[tuple(sorted(config.items()))] += n
+    return [(dict(c), n) for c, n in used.items()]
 
 
 def spread(configs: list[tuple[dict[int, int], int]], stretches: int = 64) -> list[tuple[dict[int, int], int]]:
@@ -153,7 +169,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = 2048, length_col: s
 
     ``order`` names columns that tell items apart. Lengths must be from 1 to ``capacity``; an item with any other or a null
     length gets nulls. Equal items each get their own place. ``items`` is read twice, so pass a stored table. The driver sees the histogram
-    (at most ``capacity`` counts) and holds the plan, whose size depends on ``capacity`` alone; items of one length are numbered
+    (at most ``capacity`` counts) and holds the plan (``plan``), which does not grow with the items but for a logarithm; items of one length are numbered
     in hash buckets, so a length that most items have is spread over tasks.
 
     With ``positions``, items have a ``_position`` below it, which is left out of the result: items of each length are taken in that order and sequences are

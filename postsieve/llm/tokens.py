@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from postsieve.session import fresh_dir
 _INNER_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
 #: Letters that no normal form changes, with marks behind them; every byte-level tokenizer splits the two.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _SPACE_RUN = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]")
 
 
@@ -74,6 +76,10 @@ class ChunkEncoder:
         """Ids of a piece of plain words, None for any other."""
         if self.spaces_dropped:
             piece = piece.lower()
+            core = piece.rstrip(".,!?;:")
+            if core.isalpha() and (core.isascii() or _LATIN(core)):
+                return self._part(core) if len(core) == len(piece) else self._part(core) + self._part(piece[len(core) :])
+            return None
         if piece.isascii() and piece[1 if piece[:1] == " " else 0 :].isalpha():
             return self._word(piece)
         out = []
@@ -89,10 +95,37 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(x) for x in texts]
+        known = self._learn(set().union(*cut))
+        for x in cut:
+            yield b"".join(map(known.__getitem__, x))
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with ``end_id`` behind it, and where each text's ids begin and end.
+
+        For a tokenizer that drops white space: Arrow cuts the texts and numbers the distinct words, Python sees only those.
+        """
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = np.asarray(cut.offsets) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self._learn(words)
+        ids = [*map(known.__getitem__, words), np.array([end_id], dtype="<u4").tobytes()]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        order = np.insert(np.asarray(coded.indices).astype(np.int64), bounds[1:], len(words))
+        times = sizes[order]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        at = np.repeat(begin[order] - ends[:-1], times) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(ids), dtype="<u4")[at], ends[bounds + np.arange(len(bounds))]
+
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids known, those of ``pieces`` among them."""
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
         known, older, full = self.known, self.older, []
-        for piece in set().union(*cut) - known.keys():
+        for piece in pieces:
+            if piece in known:
+                continue
             ids = older.get(piece)
             if ids is None:
                 ids = self._plain(piece)
@@ -102,8 +135,7 @@ class ChunkEncoder:
                 known[piece] = ids
         for piece, ids in zip(full, self.tokenizer.encode_batch_fast(full, add_special_tokens=False)):
             known[piece] = array("I", ids.ids).tobytes()
-        for x in cut:
-            yield b"".join(map(known.__getitem__, x))
+        return known
 
 
 class RankEncoder:
@@ -146,16 +178,21 @@ def encoder(path: str, spaces_dropped: bool, ranks: tuple[str, str] | None = Non
     return _ENCODERS[key]
 
 
+def stretches(sizes: Iterable[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours whose sizes add up to at most about ``most``, or single ones."""
+    begin = end = total = 0
+    for end, size in enumerate(sizes, 1):
+        total += int(size)
+        if total > most and end - 1 > begin:
+            yield begin, end - 1
+            begin, total = end - 1, int(size)
+    if begin < end:
+        yield begin, end
+
+
 def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most about ``most`` characters (one text at least), so that long texts don't pile up in memory."""
-    begin = total = 0
-    for i, x in enumerate(texts):
-        total += len(x or "")
-        if total > most and i > begin:
-            yield begin, i
-            begin, total = i, len(x or "")
-    if begin < len(texts):
-        yield begin, len(texts)
+    return stretches((len(x or "") for x in texts), most)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaces_dropped: bool = True, id_col: str = "doc_id",
@@ -182,14 +219,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start = encoder(vocabulary, spaces_dropped), 0
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in slices(texts):
-                coded = [x + end for x in known.encode(texts[i:j])]
-                sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-                before = np.concatenate(([0], np.cumsum(sizes)))
-                ids = pa.Array.from_buffers(pa.int32(), int(before[-1]), [None, pa.py_buffer(b"".join(coded))])
+            texts = batch.column(2)
+            for i, j in stretches(np.asarray(pc.utf8_length(texts))):
+                if spaces_dropped:
+                    values, before = known.encode_column(texts[i:j], end_id)
+                else:
+                    coded = [x + end for x in known.encode(texts[i:j].to_pylist())]
+                    values, before = np.frombuffer(b"".join(coded), dtype="<u4"), np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded])))
+                ids = pa.array(values.view("<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(start + before[:-1]), pa.array(sizes),
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(start + before[:-1]), pa.array(np.diff(before)),
                      pa.ListArray.from_arrays(pa.array(before, pa.int32()), ids)],
                     names=["part", "doc_id", "part_start", "n_tokens", "ids"],
                 )

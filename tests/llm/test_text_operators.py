@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
+from math import gcd
 
 import numpy as np
 import public_tokenizers
@@ -123,24 +127,95 @@ def test_encoders_equal_the_library():
             assert next(iter(own.encode([text]))) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), (name, text)
 
 
-def test_pfair_stays_within_one_block():
-    units = mixing.integer_weights({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 97)
-    slots = mixing.pfair_period(units)
-    for s, n in units.items():
-        taken = np.cumsum([x == s for x in slots])
-        assert taken[-1] == n and (np.abs(taken - np.arange(1, 98) * n / 97) < 1).all()
-
-
-def test_schedule_gives_every_block_one_slot():
-    blocks = {"a": 40, "b": 7, "c": 1, "d": 25, "e": 3}
-    table = mixing.schedule(blocks, {"a": 1, "b": 5, "c": 2, "d": 2}, 10)
+def _far_off(weights, total, resolution=1 << 20):
+    """Blocks that a source is off its true weight, at most, over ``total`` slots in which no source runs out."""
+    table = mixing.schedule(dict.fromkeys(weights, total), weights, resolution)
+    whole, worst = sum(Fraction(str(w)) for w in weights.values()), 0
+    for s, w in weights.items():
+        slots = table[s].slots(np.arange(int(total * w / float(whole)) - 2))
+        k, share = np.arange(len(slots)), float(Fraction(str(w)) / whole)
+        worst = max(worst, np.abs(k - slots * share).max(), np.abs(k + 1 - (slots + 1) * share).max())
+    return worst
+
+
+def test_pfair_stays_within_one_block_of_the_true_weights():
+    assert _far_off({"a": 0.3333, "b": 0.2005, "c": 0.31, "d": 0.1562}, 1_000_000) < 1
+    assert _far_off({"a": 2**0.5, "b": 1.0, "c": 3.0**0.5}, 300_000) < 1
+    assert _far_off(mixing.sqrt_weights({"a": 9_000_001, "b": 70_000, "c": 12}), 300_000) < 1
+
+
+def _one_by_one(blocks, weights, resolution):
+    """The schedule without periods: every slot is given by comparing all sources."""
+    out, slot = {s: [] for s in blocks}, 0
+    blocks = {s: n for s, n in blocks.items() if n}
+    for group in ({s for s in blocks if weights.get(s, 0) > 0}, {s for s in blocks if not weights.get(s, 0) > 0}):
+        units = mixing.integer_weights({s: weights.get(s, 0) or 1.0 for s in group}, resolution) if group else {}
+        left = {s: blocks[s] for s in group}
+        while left:
+            total, start, took = sum(units[s] for s in left), slot, dict.fromkeys(left, 0)
+            shared = gcd(*(units[s] for s in left))
+            # A source that ends with its part of a period ends the stretch with the period, any other at once.
+            while all(left.values()) or (slot - start) % (total // shared) and all(n or took[s] % (units[s] // shared) == 0 for s, n in left.items()):
+                now = slot - start
+                able = [s for s in left if left[s] and took[s] * total // units[s] <= now]
+                s = min(able, key=lambda s: (-(-(took[s] + 1) * total // units[s]), -units[s], s))
+                out[s].append(slot)
+                took[s] += 1
+                left[s] -= 1
+                slot += 1
+            left = {s: n for s, n in left.items() if n}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_schedule_by_brute_force(seed):
+    r = random.Random(seed)
+    names = [f"s{i}" for i in range(r.choice([1, 3, 6, 40]))]
+    blocks = {s: r.choice([0, 1, 7, 60, 300]) for s in names}
+    weights = {s: r.choice([0, 1, 0.25, 0.3, r.random()]) for s in names if r.random() < 0.9}
+    table = mixing.schedule(blocks, weights, 200)
+    assert {s: table[s].slots(np.arange(n)).tolist() for s, n in blocks.items() if n} == {s: x for s, x in _one_by_one(blocks, weights, 200).items() if x}
+
+
+def test_mix_report_by_brute_force(spark):
+    rows = {s: n for s, n in zip("abcd", (900, 333, 50, 1))}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in rows.items() for _ in range(n))], "doc_id long, source string")
+    out = mixing.mix_report(docs).collect()
+    expected = _one_by_one({s: -(-n // 16) for s, n in rows.items()}, mixing.sqrt_weights(rows), 1 << 20)
+    assert all(r["slot"] == expected[r["source"]][r["block"]] and r["block"] == r["source_rank"] // 16 for r in out)
+    order = sorted(out, key=lambda r: (r["slot"], r["source_rank"]))
+    assert [r["position"] for r in order] == list(range(sum(rows.values())))
+    assert {s: sorted(r["source_rank"] for r in out if r["source"] == s) for s in rows} == {s: list(range(n)) for s, n in rows.items()}
+
+
+def test_schedule_of_many_sources():
+    blocks = {f"s{i}": 3 + i % 5 for i in range(2000)}
+    table = mixing.schedule(blocks, {s: 1 + n**0.5 for s, n in blocks.items()}, 1 << 12)
     slots = np.concatenate([table[s].slots(np.arange(n)) for s, n in blocks.items()])
     assert sorted(slots.tolist()) == list(range(sum(blocks.values())))
-    assert min(table["e"].slots(np.arange(3))) == 73
+
+
+def test_what_programs_leave_does_not_grow(monkeypatch):
+    r = np.random.default_rng(1)
+    sizes, counts = np.unique(np.minimum(r.lognormal(5.5, 1.1, 60_000).astype(int) + 1, 300), return_counts=True)
+    handed = []
+    whole = packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda items, capacity: handed.append(sum(n for _, n in items)) or whole(items, capacity))
+    for times in (1, 10, 50):
+        histogram = {int(s): int(n) * times for s, n in zip(sizes, counts)}
+        plan = packing.plan(histogram, 300)
+        packed = Counter()
+        for config, n in plan:
+            assert sum(s * k for s, k in config.items()) <= 300
+            for s, k in config.items():
+                packed[s] += k * n
+        assert packed == histogram
+        assert sum(n for _, n in plan) <= 1.02 * sum(s * n for s, n in histogram.items()) / 300 + 1
+    assert max(handed) <= 3 * min(handed) + 300, handed
 
 
 def test_mix_places_every_row_once(odd, empty):
-    out = mixing.mix(odd, {"a": 2.0, "b": 1.0, None: 1.0}, block_rows=2, period=8).collect()
+    out = mixing.mix(odd, {"a": 2.0, "b": 1.0, None: 1.0}, block_rows=2).collect()
     assert sorted(r["position"] for r in out) == list(range(len(ODD)))
     assert [r["row"]["source"] for r in sorted(out, key=lambda r: r["position"])][-2:] == ["c", "c"]
     assert mixing.mix(empty).count() == 0
