@@ -15,6 +15,7 @@ WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WHITE_RUN = "[ \\t-\\r]+"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -38,9 +39,17 @@ def id_remainder(id_column: Column, modulus: int = 5) -> Column:
 
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later steps survive lost executors and do not repeat it."""
+    """``df`` written to the shared folder and read back: later steps survive lost executors and do not repeat it.
+
+    Nothing reads the shuffle files of the write once it has ended, so executors drop them then.
+    """
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -72,6 +72,8 @@ class Parts:
     SEEDS = 4
 
     def __init__(self, num: int, den: int):
+        if num * 3 < den * 2:
+            raise ValueError("sets of a similarity below 2/3 may be more than one band apart")
         self.num, self.den = num, den
         self.limits = [1]
         while self.limits[-1] < 1 << 40:
@@ -277,7 +279,8 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den), width), ROWS)
-    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
+    # Rows of documents (0) and of groups (2) only pass by: each is dealt by itself, so copies do not meet in one task.
+    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, CASE WHEN kind = 1 THEN key ELSE xxhash64(id, other) END) END")
     met = rows.withColumn("low", lowest).filter("kind <> 1 OR id > low")
     met = stored(spark, met, "keys-met")
     about = met.filter("kind = 0").select("id", "n", F.col("key").alias("print"), "other")

@@ -153,13 +153,17 @@ class Gru:
                     grads["state"][at] += d @ p["w"][g].T
         return (out, grads) if back else out
 
-    def learn(self, tokens: np.ndarray, fresh: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float) -> None:
-        """One ascent step on a window, the gradient cut at its start. ``real`` marks tokens that are not filling."""
+    def learn(self, tokens: np.ndarray, fresh: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float, least: int = 1) -> None:
+        """One ascent step on a window, the gradient cut at its start. ``real`` marks tokens that are not filling.
+
+        The gradient is a mean over the tokens, or over ``least`` if there are fewer: a thin window, such as the last ones of a few very long
+        texts, then moves the weights by no more than its part of a full one.
+        """
         states, kept = self.steps(tokens, fresh, state)
         after = self.last
         flat = real.reshape(-1)
         _, up = self.log_probability(states.reshape(-1, self.size)[flat], tokens.reshape(-1)[flat], back=True)
-        k, p, n = self.size, self.p, max(1, int(flat.sum()))
+        k, p, n = self.size, self.p, max(least, int(flat.sum()))
         into = np.zeros((flat.size, k), np.float32)
         into[flat] = up.pop("state")
         into = into.reshape(states.shape)
@@ -219,7 +223,7 @@ def _learn_all(gru: Gru, docs: list[np.ndarray], lanes: int, window: int, rate:
     tokens, owner, fresh = lanes_of(docs, lanes)
     state = np.zeros((tokens.shape[1], gru.size), np.float32)
     for part, own, first in windows(tokens, owner, fresh, window):
-        gru.learn(part, first, own >= 0, state[: part.shape[1]], rate)
+        gru.learn(part, first, own >= 0, state[: part.shape[1]], rate, lanes * window)
         state = gru.last
 
 

@@ -216,7 +216,52 @@ def test_language_model_counts_and_held_out(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
         assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in own))
     held = got[got["held_out"]]
-    assert held["score"].sum() > held["base_score"].sum()
+    # A model that only repeated the frequencies would be level with them.
+    assert held["score"].sum() > held["base_score"].sum() + 0.05 * held["n_tokens"].sum()
+    assert (held["score"] > held["base_score"]).mean() > 0.8
+
+
+def test_language_model_is_better_than_frequencies_with_a_very_long_text():
+    r = np.random.default_rng(5)
+    vocabulary = language_model.Vocabulary([b"%d" % i for i in range(60)], 4, 8, np.log10(np.array([300, *[500] * 60]) + 0.5), np.full(4, 1.0), 1.0, 30_000)
+
+    def text(n):  # each word is followed by its neighbour or by any other
+        out = [int(r.integers(1, 61))]
+        while len(out) < n:
+            out.append(out[-1] % 60 + 1 if r.random() < 0.7 else int(r.integers(1, 61)))
+        return np.array([*out, 0])
+
+    gru, spare = language_model.Gru(vocabulary), [text(100) for _ in range(30)]
+    docs = [text(int(n)) for n in r.integers(50, 150, 250)] + [text(20_000)]
+    tokens = sum(map(len, spare))
+    alone = language_model.score_documents(gru, spare, trust=1e-9).sum() / tokens
+    language_model._learn_all(gru, docs, lanes=256, window=16, rate=0.03)
+    assert language_model.score_documents(gru, spare, trust=1 - 1e-9).sum() / tokens > alone
+
+
+def _forward(gru, doc):
+    """Log probability of a document, token by token, from the formulas."""
+    p, k, state, total = gru.p, gru.size, np.zeros(gru.size), 0.0
+    for i in doc:
+        logits = state @ p["c"] + p["cb"]
+        group = i // gru.in_class if i < gru.words else gru.groups + i - gru.words
+        log = logits[group] - np.log(np.exp(logits).sum())
+        if i < gru.words:
+            inner = state @ p["w"][group] + p["wb"][group]
+            log += inner[i % gru.in_class] - np.log(np.exp(inner).sum())
+        total += np.logaddexp(np.log(gru.trust) + log, np.log(1 - gru.trust) + gru.alone[i])
+        given, a = p["x"][i] + p["b"], state @ p["h"]
+        z, reset = (1 / (1 + np.exp(-(given[s] + a[s]))) for s in (slice(0, k), slice(k, 2 * k)))
+        state = (1 - z) * np.tanh(given[2 * k :] + reset * a[2 * k :]) + z * state
+    return total
+
+
+def test_language_model_scores_by_brute_force():
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c"], 5, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(5), 1.0, 17)
+    gru, r = language_model.Gru(vocabulary, 4), np.random.default_rng(7)
+    docs = [r.integers(0, 9, n) for n in (1, 2, 30, 75, 200)]
+    language_model._learn_all(gru, docs, lanes=4, window=8, rate=0.1)
+    assert language_model.score_documents(gru, docs, lanes=3, window=7) == pytest.approx([_forward(gru, d) for d in docs], rel=1e-4)
 
 
 def test_language_model_probabilities_sum_to_one():
@@ -244,10 +289,10 @@ def test_language_model_learns_from_every_token_in_live_lanes(monkeypatch):
     docs = [r.integers(0, 6, n) for n in [400, *r.integers(1, 30, 40).tolist()]]
     learned, read, one = [], [], language_model.Gru.learn
 
-    def learn(self, tokens, fresh, real, state, rate):
+    def learn(self, tokens, fresh, real, state, rate, least):
         learned.extend(tokens[real].tolist())
         read.append(tokens.size)
-        one(self, tokens, fresh, real, state, rate)
+        one(self, tokens, fresh, real, state, rate, least)
 
     monkeypatch.setattr(language_model.Gru, "learn", learn)
     language_model._learn_all(gru, docs, lanes=16, window=8, rate=0.03)
@@ -292,3 +337,11 @@ def test_language_model_edge_cases(spark):
     got = language_model.score(docs).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 3, 50_001] and all(np.isfinite(r["score"]) for r in got)
     assert language_model.score(docs.filter("false")).count() == 0
+
+
+def test_many_copies_and_empty_texts_do_not_meet_in_a_window(spark):
+    rows = [(i, "one two three four five six") for i in range(300)] + [(1000 + i, "") for i in range(300)] + [(2000, None), (2001, "one two three")]
+    out = {r["id"]: r["component_id"] for r in jaccard.linked_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert out == {**dict.fromkeys(range(300), 0), **{i: i for i in [*range(1000, 1300), 2000, 2001]}}
+    with pytest.raises(ValueError):
+        jaccard.Parts(1, 2)
