@@ -166,21 +166,22 @@ def divide_skip(sets: list[np.ndarray], same: list[int], num: int, den: int, mu:
     return forest.roots().tolist()
 
 
-ROWS = "kind int, key long, id long, n long, other long"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
+ROWS = "kind int, key long, id long, n long, print long, other long"
+_SCHEMA = pa.schema([("kind", pa.int32()), *((name, pa.int64()) for name in ("key", "id", "n", "print", "other"))])
 _MANY = 2_000_000
 
 
 def _keys_of(parts: Parts, width: int):
     """Per task: a row for each document (kind 0); its documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
 
-    A group that many documents are in so sends the same few pairs of ids for all its keys.
+    A group that many documents are in so sends the same few pairs of ids for all its keys. Rows of kinds 0 and 2 only pass by the search for
+    common keys: their key is a hash of their own, so copies and equal ids do not meet in one task.
     """
 
     def batch(kind: int, key, ids, n, other) -> pa.RecordBatch:
         key = np.ascontiguousarray(key).view(np.int64)
         column = lambda x: pa.array(x if isinstance(x, np.ndarray) else np.full(len(key), x), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key), column(ids), column(n), column(other)], schema=_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key), column(ids), column(n), column(0), column(other)], schema=_SCHEMA)
 
     def met(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         if not keys:
@@ -207,6 +208,7 @@ def _keys_of(parts: Parts, width: int):
         for rows in batches:
             docs, texts = rows.column(0).to_pylist(), rows.column(1).cast(pa.binary())
             about = np.zeros((4, len(docs)), dtype=np.int64)
+            alone = _mixed(np.array(docs, dtype=np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + np.arange(len(docs), dtype=np.uint64)).view(np.int64)
             for i, doc in enumerate(docs):
                 found = shingles(texts[i].as_py(), width)
                 prints = [int(_mixed(found + _U(s)).sum(dtype=np.uint64).view(np.int64)) for s in (17, 71)]
@@ -219,7 +221,7 @@ def _keys_of(parts: Parts, width: int):
                     yield from met(keys, ids)
                     keys, ids, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(docs)), pa.int32()), *(pa.array(about[k]) for k in (2, 0, 1, 3))], schema=_SCHEMA
+                [pa.array(np.zeros(len(docs)), pa.int32()), *(pa.array(x) for x in (alone, *about))], schema=_SCHEMA
             )
         yield from met(keys, ids)
 
@@ -263,7 +265,7 @@ def _searched(rows: DataFrame, num: int, den: int, width: int) -> DataFrame:
     return dealt.mapInArrow(_search(num, den, width), "a long, b long")
 
 
-def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256,
+def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256, pair_rows: int = 4096,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest id that its links reach).
 
@@ -273,17 +275,16 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
 
     What grows: keys, about a sixth of the words, go through one shuffle, at most one row for each key and task, so a key that very many documents have is no
     hot group. Only documents that share a key move their text. A group of more than ``block_rows`` sets is
-    searched in blocks: first each block, then the trees' first members against each other as long as that more than halves them, last all pairs of blocks that still
-    hold different trees. That is every pair which may link; copies and sets of one tree are never compared again.
+    searched in blocks: first each block, then the trees' first members against each other as long as that more than halves them, last all pairs of blocks, now of ``pair_rows`` sets, that still
+    hold different trees: a text moves once for each such block of its group. That is every pair which may link; copies and sets of one tree are never compared again.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den), width), ROWS)
-    # Rows of documents (0) and of groups (2) only pass by: each is dealt by itself, so copies do not meet in one task.
-    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, CASE WHEN kind = 1 THEN key ELSE xxhash64(id, other) END) END")
+    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
     met = rows.withColumn("low", lowest).filter("kind <> 1 OR id > low")
     met = stored(spark, met, "keys-met")
-    about = met.filter("kind = 0").select("id", "n", F.col("key").alias("print"), "other")
+    about = met.filter("kind = 0").select("id", "n", "print", "other")
     first = stored(spark, about.filter("n > 0").groupBy("n", "print", "other").agg(F.min("id").alias("rep")), "sets")
     members = stored(spark, about.join(first, ["n", "print", "other"], "left").select("id", "n", "rep"), "members")
 
@@ -300,7 +301,7 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     texts = stored(spark, texts, "texts")
     links = stored(spark, _searched(texts.withColumn("label", F.col("id")), num, den, width), "links")
     if not chosen.filter(F.col("size") > block_rows).isEmpty():
-        links = _across_blocks(texts.filter(F.col("size") > block_rows).select("id", "grp", "text"), links, num, den, width, block_rows)
+        links = _across_blocks(texts.filter(F.col("size") > block_rows).select("id", "grp", "text"), links, num, den, width, block_rows, pair_rows)
 
     found = components(spark, links)
     return members.join(found, members["rep"] == found["id"], "left").select(
@@ -310,7 +311,7 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     )
 
 
-def _across_blocks(texts: DataFrame, links: DataFrame, num: int, den: int, width: int, block_rows: int) -> DataFrame:
+def _across_blocks(texts: DataFrame, links: DataFrame, num: int, den: int, width: int, block_rows: int, pair_rows: int) -> DataFrame:
     """``links`` and those between blocks of the large groups in ``texts`` (id, grp, text)."""
     spark = texts.sparkSession
 
@@ -330,14 +331,14 @@ def _across_blocks(texts: DataFrame, links: DataFrame, num: int, den: int, width
 
     # Blocks of one large tree, or of many small trees; then every pair of blocks of a group that can hold two trees.
     trees = now.groupBy("grp", "label").agg(F.count("*").alias("rows"))
-    large = F.col("rows") * 2 >= block_rows
-    small = trees.filter(~large).groupBy("grp").agg(F.ceil(F.sum("rows") / block_rows).alias("heaps"))
+    large = F.col("rows") * 2 >= pair_rows
+    small = trees.filter(~large).groupBy("grp").agg(F.ceil(F.sum("rows") / pair_rows).alias("heaps"))
     placed = stored(spark, trees.join(small, "grp", "left").select(
         "grp", "label", large.alias("pure"),
         F.when(large, F.xxhash64("grp", "label")).otherwise(F.xxhash64("grp", F.lit("small"), F.pmod(F.xxhash64("label"), F.col("heaps")))).alias("heap"),
     ), "heaps")
     dealt = ranked(now.join(placed, ["grp", "label"]), "heap", ["id"], 64, "rank")
-    dealt = stored(spark, dealt.withColumn("part", F.xxhash64("heap", F.floor(F.col("rank") / block_rows))), "parts")
+    dealt = stored(spark, dealt.withColumn("part", F.xxhash64("heap", F.floor(F.col("rank") / pair_rows))), "parts")
     blocks = stored(spark, dealt.select("grp", "part", "heap", "pure").distinct(), "blocks")
     left = blocks.select("grp", F.col("part").alias("p"), F.col("heap").alias("hp"), "pure")
     right = blocks.select("grp", F.col("part").alias("q"), F.col("heap").alias("hq"))
