@@ -265,7 +265,7 @@ def _searched(rows: DataFrame, num: int, den: int, width: int) -> DataFrame:
     return dealt.mapInArrow(_search(num, den, width), "a long, b long")
 
 
-def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256, pair_rows: int = 4096,
+def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256, pair_rows: int = 2048,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest id that its links reach).
 

@@ -59,7 +59,7 @@ def test_jaccard_join_by_brute_force(spark, width, num, den, blocks):
     links = [(a, b) for a in sets for b in sets if a < b and Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= Fraction(num, den)]
     label = _groups(links, list(sets))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked_groups(frame, width, num, den, blocks).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked_groups(frame, width, num, den, blocks, blocks).collect()}
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
