@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import text_or
@@ -64,6 +64,7 @@ def key_bytes(firsts: DataFrame, keys: list[str] = KEY) -> int:
 def probe_new_postings(
     firsts: DataFrame, history: DataFrame, keys: list[str] = KEY, limit: int = PROBE_LIMIT,
     live: Callable[[DataFrame], DataFrame] | None = None,
+    index: DataFrame | None = None, number: Callable[..., Column] | None = None,
 ) -> DataFrame:
     """As ``new_postings`` for a large history and a stored, already folded batch.
 
@@ -72,10 +73,18 @@ def probe_new_postings(
     history instead, and only the history keys that match travel. A larger batch takes the
     shuffled anti-join. ``live`` takes rows off that are in ``history`` but do not count, such as removed ones; it
     sees only rows with a key of the batch.
+
+    ``index`` holds the rest of the history, with ``key`` = ``number(*keys)`` and in buckets by it (``snapshots.history_keys``): whatever the
+    size of the batch, the batch goes to the buckets, and the rows whose number the batch has are then compared by their keys.
     """
     past = normal_keys(history, keys)
-    if key_bytes(firsts, keys) <= limit:
+    small = key_bytes(firsts, keys) <= limit
+    if small:
         past = past.join(F.broadcast(firsts.select(*keys)), keys, "left_semi")
+    if index is not None:
+        numbers = firsts.select(number(*keys).alias("key"))
+        met = normal_keys(index.join(F.broadcast(numbers) if small else numbers, "key", "left_semi"), keys)
+        past = past.select(*keys, "run", "seq").unionByName(met.select(*keys, "run", "seq"))
     past = live(past) if live else past
     return firsts.join(past.select(*keys).distinct(), keys, "left_anti")
 

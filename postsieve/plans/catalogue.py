@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from postsieve.functions import labels, matching, text, urls
 from postsieve.operators import dedup, edits, report, screens, state
-from postsieve.plans.run import Vocabulary
+from postsieve.plans.run import Vocabulary, new_to_history
 from postsieve.plans.run import scheduled_run as scheduled_run_once
 from postsieve.plans.run import send_pending
 from postsieve.session import fresh_dir, use_utc
@@ -589,6 +589,47 @@ def clear_history(spark, sf_dir):
     return _history_of(spark, root)
 
 
+def _merged_history(spark: SparkSession, sf_dir: str) -> str:
+    """Two runs merged, less the notified rows of the first; then a third run and, of the second run, the rows with a number divisible by 3 removed."""
+    root = fresh_dir(spark, "merged")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), root, "first")
+    snapshots.append_run(_as_history(cards(spark, sf_dir).withColumn("notified", F.lit(False))), root, "second")
+    snapshots.remove_rows(snapshots.read_history(spark, root).where("run = 'first' AND notified"), root)
+    snapshots.merge_runs(spark, root, buckets=8)
+    snapshots.append_run(_as_history(screened_cards(spark, sf_dir).withColumn("notified", F.lit(False))), root, "third")
+    snapshots.remove_rows(snapshots.read_history(spark, root).where("run = 'second' AND seq % 3 = 0"), root)
+    return root
+
+
+@query
+def merge_runs(spark, sf_dir):
+    """The history after a merge, a later run, later removals and a second merge."""
+    root = _merged_history(spark, sf_dir)
+    snapshots.merge_runs(spark, root)
+    return _history_of(spark, root)
+
+
+@query
+def merged_page(spark, sf_dir):
+    """A page of the history while one run lies beside the merged ones; numbers of the runs meet, so the page is of one run."""
+    history = snapshots.read_history(spark, _merged_history(spark, sf_dir)).where("run = 'second'")
+    return report.history_page(history.select("seq", "company", "title"), 2)
+
+
+@query
+def new_to_merged(spark, sf_dir):
+    """Every card as a batch against a merged history of the labelled cards, by its buckets, and an unmerged run of half of the screened ones."""
+    root = fresh_dir(spark, "new-to-merged")
+    snapshots.append_run(_as_history(card_history(spark, sf_dir)), f"{root}/history", "first")
+    snapshots.merge_runs(spark, f"{root}/history", buckets=8)
+    half = screened_cards(spark, sf_dir).where("ord % 2 = 0").withColumn("notified", F.lit(False))
+    snapshots.append_run(_as_history(half), f"{root}/history", "second")
+    firsts = dedup.keep_first(dedup.normal_keys(cards(spark, sf_dir).select("company", "title", "ord")))
+    firsts.write.parquet(f"{root}/firsts")
+    stored = spark.read.schema(firsts.schema).parquet(f"{root}/firsts")
+    return new_to_history(stored, f"{root}/history", "third", limit=0)
+
+
 # The whole run
 
 

@@ -317,6 +317,15 @@ ORACLES: dict[str, str] = {
     "remove_history": f"""with {_FIRSTS} select company, title, ord as seq, 'first' as run from past where notified is not true
         union all select company, title, ord, 'second' from cards""",
     "clear_history": f"with {_BATCH} select company, title, ord as seq, 'second' as run from batch",
+    "merge_runs": f"""with {_FIRSTS} select company, title, ord as seq, 'first' as run from past where notified is not true
+        union all select company, title, ord, 'second' from cards where ord % 3 <> 0
+        union all select company, title, ord, 'third' from batch""",
+    "merged_page": f"""with {_CARDS} select ord as seq, company, title from cards where ord % 3 <> 0
+        order by ord desc limit 10 offset 20""",
+    "new_to_merged": f"""with {_FIRSTS}, first_cards as (select company, title, min(ord) as ord from cards group by 1, 2)
+        select company, title, ord from first_cards f
+        where not exists (select 1 from past p where p.company = f.company and p.title = f.title)
+        and not exists (select 1 from batch b where b.ord % 2 = 0 and b.company = f.company and b.title = f.title)""",
     "stream_run": f"with {_RUN}, {_FIRST_OF_RUN} select {_RUN_COLUMNS} from nth where n = 1",
     "run_on_history": f"""with {_RUN}, {_FIRST_OF_RUN} select {_RUN_COLUMNS} from nth where n = 1 and not exists
         (select 1 from part p where p.p_partkey % 2 = 0 and p.p_brand = nth.company and p.p_name = nth.title)""",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postsieve.functions import vocabulary as V
 from postsieve.functions.urls import resolve_links
 from postsieve.operators import stamp
-from postsieve.operators.dedup import KEY, fallback_rows, keep_first, normal_keys, probe_new_postings
+from postsieve.operators.dedup import KEY, PROBE_LIMIT, fallback_rows, keep_first, normal_keys, probe_new_postings
 from postsieve.operators.report import DIGEST_LINES, alert_digest
 from postsieve.operators.screens import endpoint_row_ok, screen_page_rows
 from postsieve.operators.state import first_title, merge_source_state
@@ -95,6 +95,13 @@ def send_pending(spark: SparkSession, root: str, sender: str, recipient: str, li
     outbox.record_sent(kept.select("run", F.col("_seq").alias("seq")), root, sender)
 
 
+def new_to_history(firsts: DataFrame, root: str, run: str, limit: int = PROBE_LIMIT) -> DataFrame:
+    """Rows of a stored, folded batch that the history lacks, the rows of ``run`` left out: runs that are not merged by
+    ``probe_new_postings``, merged ones by their buckets."""
+    loose, index = snapshots.history_keys(firsts.sparkSession, root, without_run=run)
+    return probe_new_postings(firsts, loose, limit=limit, live=lambda rows: snapshots.live_rows(rows, root), index=index, number=snapshots.key_number)
+
+
 def apply_run(
     spark: SparkSession, root: str, run: str, payloads: DataFrame, pages: DataFrame, checked_at: datetime, after: int,
     recipient: str = "", words: Vocabulary = Vocabulary(), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
@@ -106,7 +113,6 @@ def apply_run(
     """
     stage = f"{root}/stage/run={run}"
     sources, version = snapshots.read_version(spark, f"{root}/sources", schemas.SOURCES)
-    history = snapshots.history_rows(spark, f"{root}/history", without_run=run)
 
     tracked = sources.groupBy(F.col("name").alias("company")).agg(F.min("position").alias("position"))
     tracked = _stored(tracked, f"{stage}/tracked")  # Joined as a table, so that a hot source can be split.
@@ -115,7 +121,7 @@ def apply_run(
     postings = _stored(screened.join(tracked, "company"), f"{stage}/postings")
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
 
-    new = probe_new_postings(firsts, history, live=lambda rows: snapshots.without_removed(rows, f"{root}/history"))
+    new = new_to_history(firsts, f"{root}/history", run)
     stamped = stamp.stamp_new(new, after, checked_at, ["position", *ORDER])
     snapshots.append_run(stamped, f"{root}/history", run)
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from postsieve.operators.dedup import KEY, keep_first, normal_keys, probe_new_postings
+from postsieve.operators.dedup import KEY, keep_first, normal_keys
 from postsieve.operators.report import DIGEST_LINES
 from postsieve.operators.stamp import stamp_new
-from postsieve.plans.run import Vocabulary, apply_run, screened_endpoint_rows, screened_page_rows, send
+from postsieve.plans.run import Vocabulary, apply_run, new_to_history, screened_endpoint_rows, screened_page_rows, send
 from postsieve.sources import schemas, snapshots
 
 
@@ -83,10 +83,8 @@ def new_postings_writer(
         keep_first(normal_keys(batch), KEY, order).write.mode("overwrite").parquet(staged)
         firsts = spark.read.schema(batch.schema).parquet(staged)
         past = f"{root}/history"
-        history = snapshots.history_rows(spark, past, without_run=run)
         at, after = _started(spark, root, run, clock)
-        fresh = probe_new_postings(firsts, history, live=lambda rows: snapshots.without_removed(rows, past))
-        new = stamp_new(fresh, after, at, ["company", *order])
+        new = stamp_new(new_to_history(firsts, past, run), after, at, ["company", *order])
         snapshots.append_run(new, past, run)
         if recipient:
             added = snapshots.read_history(spark, f"{root}/history").where(F.col("run") == run)
