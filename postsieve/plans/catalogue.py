@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsieve.functions import labels, matching, text, urls
-from postsieve.operators import dedup, edits, report, screens, state
+from postsieve.operators import dedup, edits, report, screens, state, terms
 from postsieve.plans.run import Vocabulary, new_to_history
 from postsieve.plans.run import scheduled_run as scheduled_run_once
 from postsieve.plans.run import send_pending
@@ -245,6 +245,26 @@ def term_match(spark, sf_dir):
     return table(spark, sf_dir, "part").where(matching.has_term("p_name", PART_INCLUDE)).select("p_partkey", "p_name")
 
 
+def _benchmark_terms(spark, sf_dir):
+    """The first two words of every benchmark text, where a blank parts them, as a term table."""
+    first_two = F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)
+    return terms.term_table(table(spark, sf_dir, "benchmark").select(first_two.alias("term")))
+
+
+@query
+def term_table_match(spark, sf_dir):
+    """Documents with one of many terms, which are a table themselves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return terms.with_terms(docs, _benchmark_terms(spark, sf_dir), "doc_id").select("doc_id")
+
+
+@query
+def term_table_veto(spark, sf_dir):
+    """Documents with none of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return terms.without_terms(docs, _benchmark_terms(spark, sf_dir), "doc_id").select("doc_id")
+
+
 @query
 def term_veto(spark, sf_dir):
     return table(spark, sf_dir, "part").where(matching.lacks_term("p_name", ["old", "cold"])).select("p_partkey", "p_name")
@@ -792,3 +812,26 @@ def stream_dedup(spark, sf_dir):
         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
     return spark.read.schema(keys.schema).parquet(f"{root}/keys")
+
+
+def _order_keys(spark: SparkSession, sf_dir: str, pick) -> DataFrame:
+    """One posting a customer: its first or its last order."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(pick("o_orderdate").cast("timestamp").alias("at"))
+    return orders.select(F.col("o_custkey").cast("string").alias("company"), F.lit("order").alias("title"), "at")
+
+
+@query
+def stream_dedup_forgetting(spark, sf_dir):
+    """Keys with a watermark over two runs of a stream: a customer's last order comes out again where the first one is forgotten,
+    and not where it came too late."""
+    root = fresh_dir(spark, "stream-forget")
+    schema = "company string, title string, at timestamp"
+    for pick in (F.min, F.max):
+        _order_keys(spark, sf_dir, pick).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        keys = incremental.stream_keys(stream, event_time="at", forget_after="800 days")
+        (
+            keys.writeStream.format("parquet").option("path", f"{root}/keys")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(keys.schema).parquet(f"{root}/keys").select("company", "title", F.unix_micros("at").alias("at_us"))

@@ -172,6 +172,11 @@ _FIRST_OF_RUN = "nth as (select *, row_number() over (partition by company, titl
 _RUN_COLUMNS = f"""company, title, url, replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id,
     'Jan 15, 12:00' as date, false as notified"""
 
+_TERM_DOCS = rf"""t as (select distinct lower(regexp_extract(text, '^(\p{{L}}+ \p{{L}}+)', 1)) as term from benchmark),
+    cut as (select doc_id, regexp_extract_all(lower(text), '[{_WORD}]+|[^{_WORD}]') as c from documents),
+    near as (select doc_id, unnest(list_zip(c, c[2:], c[3:])) as z from cut),
+    hits as (select distinct doc_id from near where z[2] = ' ' and z[1] || ' ' || z[3] in (select term from t where term <> ''))"""
+
 ORACLES: dict[str, str] = {
     "scan_sources": "select s_suppkey as id, s_name as name, s_nationkey as nation from supplier",
     "flatten_payload": """select event_id, 0::bigint as ord,
@@ -213,6 +218,8 @@ ORACLES: dict[str, str] = {
         then substr(title, 1, {V.SHORT_TITLE_CHARS}) || '…' else title end as short from cards""",
     "row_key": "select p_partkey, case when p_size > 25 then p_brand else p_type || '_' || p_name end as key from part",
     "term_match": f"select p_partkey, p_name from part where {_has_term('p_name', C.PART_INCLUDE)}",
+    "term_table_match": f"with {_TERM_DOCS} select doc_id from documents where doc_id in (select doc_id from hits)",
+    "term_table_veto": f"with {_TERM_DOCS} select doc_id from documents where doc_id not in (select doc_id from hits)",
     "term_veto": f"select p_partkey, p_name from part where not {_has_term('p_name', ['old', 'cold'])}",
     "level_screen": f"select p_partkey, p_name from part where {_level('p_name', C.PART_INCLUDE, ['old', 'cold'])}",
     "place_screen": f"select p_partkey, p_name from part where {_has_term('p_name', ['red', 'blue'])}",
@@ -311,6 +318,10 @@ ORACLES: dict[str, str] = {
     "stream_new_postings": f"""with {_NEW} select company, title, '/doc/' || ord as url,
         replace(company || '_' || substr(title, 1, {V.ID_TITLE_CHARS}), ' ', '_') as id from fresh""",
     "stream_dedup": f"with {_CARDS} select distinct company, title from cards",
+    "stream_dedup_forgetting": """with o as (select o_custkey::varchar as company, min(o_orderdate) as first_at, max(o_orderdate) as last_at
+            from orders group by 1), w as (select max(first_at) - interval 800 day as mark from o)
+        select company, 'order' as title, epoch_us(first_at) as at_us from o
+        union all select company, 'order', epoch_us(last_at) from o, w where last_at > mark and first_at + interval 800 day <= mark""",
     "link_text": f"""select p_partkey, '/p/' || p_partkey || '?a=1&b=2' as href, case p_size % 8 when 0 then '$' when 1 then '$'
             when 2 then chr(92) when 3 then chr(92) when 4 then chr(233) when 5 then chr(233) when 6 then chr(252)
             else chr(65533) end || ' ' || p_name || chr(9) || p_type as text from part""",
