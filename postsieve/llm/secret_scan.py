@@ -17,15 +17,31 @@ NAMED = f"(?i)({NAMES})"
 RUN = "[A-Za-z0-9_+/~.-]{16,}={0,2}"
 #: A value in quotes up to the closing one, or without quotes up to a mark that ends it.
 VALUE = r"""(?:\\?["'`])?((?<=["'`])[^"'`\\\s]+|[^\s"'`\\,;&(){}\[\]<>]+)"""
-#: Inside a word: a name for a secret, its value; scheme://user:password@host.
-PAIR = r"(?i)([\w.-]{0,40}(?:" + NAMES + r""")[\w.-]{0,40})\\?["'`]?\]?(?:=>|:=|==|=|:(?!//))""" + VALUE
-URL = r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]{0,80}:([^\s/]{1,200})@"
+#: A whole name that holds a name for a secret. Matches begin only where a name does and never go back, so that long names cost one pass.
+NAME = r"((?<![\w.-])(?=[\w.-]*?(?:" + NAMES + r"))[\w.-]++(?:(?<=api|access)[^\w\s.-](?=key)[\w.-]++)?+)"
+#: What closes a name and assigns it.
+ASSIGNS = r"""\\?["'`]?\]?{blanks}(?:=>|:=|==|=|:(?!//))"""
+#: Inside a word: a name for a secret, its value; ://user:password@ of an address.
+PAIR = "(?i)" + NAME + ASSIGNS.replace("{blanks}", "") + VALUE
+URL = r"://[^\s/:@]*+:([^\s/]+)@"
+#: Stands for the blanks inside a quoted value; no character of any text.
+JOINT = "\ufdd0"
 #: A word that the words before it assign.
 WHOLE = r"^[(\[{<]*" + VALUE
 PEM = "-----BEGIN$"
 DUMMY = "(?i)(example|sample|dummy|test|placeholder|changeme|xxxx|your|fake)"
 DOCS_PATH = "(?i)(test|example|sample|fixture|mock|doc|readme)"
 
+
+def joined_phrases(text: Column) -> Column:
+    """``text`` with ``JOINT`` for each blank inside a quoted value that a line assigns to a name for a secret and closes, which makes the value one word."""
+    out = text
+    for quote in "\"'`":
+        opens = f"{NAME}{ASSIGNS.replace('{blanks}', '[ 	]*+')}[ \t]*+\\\\?{quote}(?=[^{quote}\n]*+{quote})"
+        out = F.regexp_replace(out, f"(?i)((?:{opens}|\\G(?!^))[^{quote}\\s]*+)[ \t]", "$1" + JOINT)
+    return F.when(text.rlike(NAMED + "[^\\n]*[\"'`]"), out).otherwise(text)
+
+
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_transitions", "f_vowel_pairs", "f_dictionary",
     "f_path", "f_named", "f_dummy", "f_assigned", "f_quoted", "f_dotted", "f_marks",
@@ -33,14 +49,14 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row for each candidate: doc_id, word_at (its place among the words), candidate, its name in the same word, whether it is assigned and quoted, the two words before, the one after, path.
+    """One row for each candidate: doc_id, word_at (its place among the words, a quoted phrase with a name being one), candidate, its name in the same word, whether it is assigned and quoted, the two words before, the one after, path.
 
-    Candidates are: values of any length that the same word or the words before assign to a name for a secret; passwords in addresses; what follows
-    ``Bearer`` (8 characters or more); private key blocks, whose words are no candidates of their own; and, apart from these, runs of 16 or more key characters.
+    Candidates are: values of any length, quoted ones to their closing quote, that the same word or the words before assign to a name for a secret; passwords in addresses; what follows
+    ``Bearer`` (8 characters or more); private key blocks from the last line that begins one to the next that ends one, whose words are no candidates of their own; and, apart from these, runs of 16 or more key characters.
     Null and empty texts have none; repeated rows and candidates each count. Words that cannot hold candidates never leave the scan.
     """
     path = F.col(f"`{path_col}`").cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("w"), path.alias("path"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(joined_phrases(F.col(f"`{text_col}`"))).alias("w"), path.alias("path"))
     near = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
     one = lambda value, name, assigned, quoted: F.struct(value.alias("candidate"), name.alias("name"), assigned.alias("assigned"), quoted.alias("quoted"))
     no, yes, empty = F.lit(False), F.lit(True), F.lit("")
@@ -63,17 +79,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (F.when((after_name | bearer) & (F.size(named) == 0), F.filter(whole, lambda c: c["candidate"] != ""))
                 .when((F.length(x) >= 16) | x.rlike("[=:]"), F.concat(named, runs)))
 
-    def block(i: Column) -> Column:
-        """Where the key block that begins at word ``i`` ends; null if none does."""
-        begins = F.exists(F.slice("w", i + 2, 5), lambda x: x.rlike("KEY-----"))
-        end = F.array_position(F.transform(F.slice("w", i + 2, F.size("w")), lambda x: x.contains("-----END")), yes)
-        return F.when(begins & (end > 0), (i + end).cast("int"))
-
-    starts = F.array_compact(F.transform("w", lambda x, i: F.when(x.rlike(PEM), i)))
-    base = base.withColumn("blocks", F.filter(F.transform(starts, lambda i: F.struct(i.alias("a"), block(i).alias("z"))), lambda p: p["z"].isNotNull()))
+    begins = lambda x, i: x.rlike(PEM) & F.exists(F.slice("w", i + 2, 5), lambda y: y.rlike("KEY-----"))
+    edge = lambda x, i: F.when(begins(x, i), F.struct(i.alias("i"), yes.alias("begins"))).when(x.contains("-----END"), F.struct(i.alias("i"), no.alias("begins")))
+    base = base.withColumn("edges", F.array_compact(F.transform("w", edge)))
+    pair = lambda e, k: F.when(e["begins"] & ~F.get("edges", k + 1)["begins"], F.struct(e["i"].alias("a"), F.get("edges", k + 1)["i"].alias("z")))
+    base = base.withColumn("blocks", F.array_compact(F.transform("edges", pair)))
     may = lambda x, i: (F.length(x) >= 16) | x.rlike("[=:]") | near(i, -1).rlike("(?i)[=:]>?$|bearer$")
-    out_of = lambda i: (F.size("blocks") == 0) | ~F.exists("blocks", lambda p: (p["a"] <= i) & (i <= p["z"]))
-    places = F.array_compact(F.transform("w", lambda x, i: F.when(may(x, i) & out_of(i), i)))
+    in_blocks = F.flatten(F.transform("blocks", lambda p: F.sequence(p["a"], p["z"])))
+    places = F.array_except(F.array_compact(F.transform("w", lambda x, i: F.when(may(x, i), i))), in_blocks)
     keys = F.transform("blocks", lambda p: F.struct(
         p["a"].alias("i"), F.array(one(F.array_join(F.slice("w", p["a"] + 1, p["z"] - p["a"] + 1), "\n"), F.lit("private key"), yes, no)).alias("c")))
     found = F.concat(F.transform(places, lambda i: F.struct(i.alias("i"), inside(F.get("w", i), i).alias("c"))), keys)
@@ -82,7 +95,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         f["i"].cast("long").alias("word_at"), f["c"].alias("c"), F.get("w", f["i"]).alias("raw"),
         near(f["i"], -1).alias("before"), near(f["i"], -2).alias("before2"), near(f["i"], 1).alias("after")))
     rows = base.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*")
-    return rows.withColumn("c", F.explode("c")).select("doc_id", "path", "word_at", "raw", "before", "before2", "after", "c.*")
+    rows = rows.withColumn("c", F.explode("c")).select("doc_id", "path", "word_at", "raw", "before", "before2", "after", "c.*")
+    return rows.withColumns({c: F.translate(c, JOINT, " ") for c in ("raw", "before", "before2", "after", "candidate")})
 
 
 def dictionary(docs: DataFrame, size: int = 3000, text_col: str = "text") -> list[str]:

@@ -181,6 +181,30 @@ FORMS = [
 ]
 
 
+def test_secret_scan_without_bounds(spark):
+    long = "x7" * 200
+    forms = [
+        (f"postgres://{'u' * 300}:{long}@db.host/main", long), (f"{'a' * 90}_token_{'b' * 90}={long}", long),
+        ('password = "my long phrase 7" and "other" words', "my long phrase 7"), ("password='my long phrase'; more", "my long phrase"),
+        ('{"secret": "two words", "x": "y z"}', "two words"), ('token: "never closed\nand a line" here', "never"), ("api/key=s3cr3t", "s3cr3t"),
+        ("-----BEGIN A KEY-----\nlost\n-----BEGIN B KEY-----\nkept\n-----END B KEY-----", "-----BEGIN\nB\nKEY-----\nkept\n-----END"),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(forms)], "doc_id long, text string")
+    got = {}
+    for r in secret_scan.candidates(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["candidate"])
+    assert all(want in got.get(i, ()) for i, (_, want) in enumerate(forms)), got
+    assert not any("other" in c or "y z" in c for found in got.values() for c in found)
+
+
+def test_secret_scan_of_hostile_texts(spark):
+    n = 30_000
+    texts = ["-----BEGIN A KEY----- " * n, "-----BEGIN A KEY----- x -----END " * n, "token" * n, 'token="' * n, 'token="a b ' * n + '"', "://a:b" * n, "a." * n + "token=x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = dict(secret_scan.candidates(docs).groupBy("doc_id").count().collect())
+    assert counts[1] == n and 0 not in counts and counts[6] >= 1
+
+
 def test_secret_scan_takes_every_form(spark):
     docs = spark.createDataFrame([(i, f"some words {text} and more", "app") for i, (text, _) in enumerate(FORMS)] + [(99, "the plain words extraordinarilylongword and http://host:80/a.html here", "app")] * 3, "doc_id long, text string, source string")
     found = secret_scan.candidates(docs)
