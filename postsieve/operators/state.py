@@ -68,3 +68,41 @@ def merge_source_state(
         })
         .select(sources.columns)
     )
+
+
+def latest_attempts(
+    attempts: DataFrame, source: str = "company", at: str = "checked_at", ok: str = "ok", title: str = "title"
+) -> DataFrame:
+    """(name, status, last_checked, last_job) by the latest attempt of each source, on a table or, in update mode, on a stream.
+
+    Of attempts at one instant a failed one counts, then the greatest title. An attempt without a title found nothing:
+    the last title is "". Attempts without a source or an instant are left out; ``ok`` NULL counts as reached.
+    """
+    known = attempts.where(F.col(source).isNotNull() & F.col(at).isNotNull())
+    failed = F.coalesce(~F.col(ok), F.lit(False))
+    latest = known.groupBy(F.col(source).alias("name")).agg(
+        F.max(F.struct(F.col(at).alias("at"), failed.alias("failed"), F.col(title).alias("title"))).alias("_last")
+    )
+    return latest.select(
+        "name", F.when(F.col("_last.failed"), F.lit("broken")).otherwise(F.lit("active")).alias("status"),
+        F.col("_last.at").alias("last_checked"),
+        F.when(F.col("_last.failed"), F.lit("")).otherwise(F.coalesce("_last.title", F.lit(""))).alias("last_job"),
+    )
+
+
+def merge_latest(sources: DataFrame, latest: DataFrame, name: str = "name") -> DataFrame:
+    """Sources with the state of ``latest_attempts``. One that was checked later than its attempt keeps its state, and so
+    does one without an attempt; attempts of sources that are not tracked are left out."""
+    found = latest.select(
+        F.col(name), F.col("status").alias("_status"), F.col("last_checked").alias("_at"), F.col("last_job").alias("_job")
+    )
+    newer = F.col("_at").isNotNull() & (F.col("last_checked").isNull() | (F.col("_at") >= F.col("last_checked")))
+    return (
+        sources.join(found, name, "left").withColumn("_newer", newer)
+        .withColumns({
+            "status": F.when(F.col("_newer"), F.col("_status")).otherwise(F.col("status")),
+            "last_checked": F.when(F.col("_newer"), F.col("_at")).otherwise(F.col("last_checked")),
+            "last_job": F.when(F.col("_newer"), F.col("_job")).otherwise(F.col("last_job")),
+        })
+        .select(sources.columns)
+    )

@@ -23,7 +23,8 @@ from postsieve.plans.run import send_pending
 from postsieve.session import fresh_dir, use_utc
 from postsieve.sources import pages as page_source
 from postsieve.sources import payloads as payload_source
-from postsieve.sources import outbox, schemas, snapshots
+from postsieve.sources import outbox, schemas, shapes, snapshots
+from postsieve.streaming import attempts as attempt_stream
 from postsieve.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +134,50 @@ def endpoint_postings(spark, sf_dir):
     return kept.select("company", "title", "url", "ord")
 
 
+#: Three kinds of endpoints: the listed one, one with nested places and absolute addresses, one that is a bare list.
+SHAPES = (
+    shapes.LISTED,
+    shapes.Shape("nested", "$.jobs", "$.title", "$.location.name", "$.absolute_url"),
+    shapes.Shape("bare", "$", "$.text", "$.categories.location", "$.hostedUrl"),
+)
+
+
+def _shaped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as endpoint answers of the three shapes by their size, with fields no shape reads; those of Brand#20 cannot be read."""
+    title, place, number = F.col("p_name"), F.col("p_type"), F.col("p_partkey").cast("string")
+    listed = F.to_json(F.struct(F.array(F.struct(
+        title.alias("title"), place.alias("locationsText"), F.concat(F.lit("/job/"), number).alias("externalPath"), F.col("p_size").alias("size"),
+    )).alias("jobPostings")))
+    nested = F.to_json(F.struct(F.array(F.struct(
+        title.alias("title"), F.struct(place.alias("name")).alias("location"),
+        F.concat(F.lit("https://other.example.com/n/"), number).alias("absolute_url"), F.struct(F.col("p_brand").alias("brand")).alias("team"),
+    )).alias("jobs")))
+    bare = F.to_json(F.array(F.struct(
+        F.col("p_partkey").alias("text"), F.struct(place.alias("location")).alias("categories"), F.concat(F.lit("/b/"), number).alias("hostedUrl"),
+        F.lit("full").alias("commitment"), F.col("p_size").alias("size"),
+    )))
+    payload = F.when(F.col("p_brand") == "Brand#20", F.lit("<html>")).when(F.col("p_size") % 3 == 0, listed).when(F.col("p_size") % 3 == 1, nested).otherwise(bare)
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("company"), F.lit("https://t.example.com/api/t/Careers/jobs").alias("endpoint_url"), payload.alias("payload"),
+    )
+
+
+@query
+def shaped_postings(spark, sf_dir):
+    """Answers of three shapes in one pass, failed ones marked, with a field that no shape reads."""
+    rows = shapes.shaped_rows(_shaped_answers(spark, sf_dir), SHAPES)
+    return rows.select(
+        "company", "ok", "title", "location", "url", "ord", "shape", F.try_variant_get("record", "$.size", "bigint").alias("size"),
+        F.try_variant_get("record", "$.team.brand", "string").alias("brand"),
+    )
+
+
+@query
+def unread_fields(spark, sf_dir):
+    """How many records hold fields that their shape does not read."""
+    return shapes.unread_fields(shapes.shaped_rows(_shaped_answers(spark, sf_dir), SHAPES), SHAPES)
+
+
 @query
 def extract_links(spark, sf_dir):
     return page_links(spark, sf_dir).select("page_id", "ord", "href", "text")
@@ -447,6 +492,33 @@ def merge_source_state(spark, sf_dir):
     )
 
 
+def _tried_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as sources, every fifth one checked at the start of 1998; their orders as attempts, urgent ones failed, final ones with a title."""
+    key = F.col("c_custkey")
+    seen = F.when(key % 5 == 0, F.lit("1998-01-01").cast("timestamp"))
+    sources = table(spark, sf_dir, "customer").select(
+        key.alias("position"), key.cast("string").alias("id"), key.cast("string").alias("name"), F.lit("").alias("url"), F.lit(True).alias("locked"),
+        F.lit("unknown").alias("status"), F.col("c_mktsegment").alias("last_job"), seen.alias("last_checked"),
+    )
+    tried = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("company"), F.col("o_orderdate").cast("timestamp").alias("checked_at"),
+        (F.col("o_orderpriority") != "1-URGENT").alias("ok"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("title"),
+        F.col("o_orderkey").alias("number"),
+    )
+    return sources, tried
+
+
+def _checked_customers(sources: DataFrame) -> DataFrame:
+    return sources.select(F.col("position").alias("c_custkey"), "status", "last_job", F.unix_micros("last_checked").alias("last_checked_us"))
+
+
+@query
+def merge_latest(spark, sf_dir):
+    """Each attempt has an instant of its own, and a source keeps a state that is newer than all of its attempts."""
+    sources, tried = _tried_customers(spark, sf_dir)
+    return _checked_customers(state.merge_latest(sources, state.latest_attempts(tried)))
+
+
 # Aggregations and windows
 
 
@@ -835,3 +907,16 @@ def stream_dedup_forgetting(spark, sf_dir):
             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         )
     return spark.read.schema(keys.schema).parquet(f"{root}/keys").select("company", "title", F.unix_micros("at").alias("at_us"))
+
+
+@query
+def stream_source_state(spark, sf_dir):
+    """The same kept by a stream over two landings, the second with late attempts and with a third of the first ones again."""
+    root = fresh_dir(spark, "source-state")
+    sources, tried = _tried_customers(spark, sf_dir)
+    snapshots.write_snapshot(sources, f"{root}/sources")
+    for landing in ("number % 2 = 0", "number % 2 = 1 OR number % 3 = 0"):
+        tried.where(landing).drop("number").write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(tried.drop("number").schema).parquet(f"{root}/landed")
+        attempt_stream.start_source_state(stream, root, f"{root}/checkpoint").awaitTermination()
+    return _checked_customers(snapshots.read_snapshot(spark, f"{root}/sources", schemas.SOURCES))

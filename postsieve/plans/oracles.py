@@ -177,6 +177,20 @@ _TERM_DOCS = rf"""t as (select distinct lower(regexp_extract(text, '^(\p{{L}}+ \
     near as (select doc_id, unnest(list_zip(c, c[2:], c[3:])) as z from cut),
     hits as (select distinct doc_id from near where z[2] = ' ' and z[1] || ' ' || z[3] in (select term from t where term <> ''))"""
 
+_LATEST_STATE = """with t as (select o_custkey, o_orderdate as tried_at, o_orderpriority = '1-URGENT' as failed,
+            case when o_orderstatus = 'F' then o_orderpriority end as title from orders),
+        r as (select *, row_number() over (partition by o_custkey order by tried_at desc, failed desc, title desc nulls last) as nth from t),
+        c as (select *, case when c_custkey % 5 = 0 then timestamp '1998-01-01' end as seen from customer left join r on o_custkey = c_custkey and nth = 1),
+        m as (select *, tried_at is not null and (seen is null or tried_at >= seen) as newer from c)
+        select c_custkey, case when not newer then 'unknown' when failed then 'broken' else 'active' end as status,
+            case when not newer then c_mktsegment when failed then '' else coalesce(title, '') end as last_job,
+            epoch_us(case when newer then tried_at else seen end) as last_checked_us from m"""
+
+_SHAPED = """select p_brand as company, p_brand <> 'Brand#20' as ok, p_size % 3 as kind, p_size, p_partkey,
+            case when p_size % 3 = 2 then p_partkey::varchar else p_name end as title, p_type as location,
+            case p_size % 3 when 0 then 'https://t.example.com/Careers/job/' when 1 then 'https://other.example.com/n/'
+                else 'https://t.example.com/b/' end || p_partkey as url from part"""
+
 ORACLES: dict[str, str] = {
     "scan_sources": "select s_suppkey as id, s_name as name, s_nationkey as nation from supplier",
     "flatten_payload": """select event_id, 0::bigint as ord,
@@ -188,6 +202,15 @@ ORACLES: dict[str, str] = {
             0::bigint as ord from part)
         select company, title, url, ord from rows
         where {_endpoint_screen(C.PART_INCLUDE, C.PART_VETO, C.PART_PLACES)}""",
+    "shaped_postings": f"""with s as ({_SHAPED}) select company, ok, case when ok then title else '' end as title,
+            case when ok then location else '' end as location, case when ok then url end as url, case when ok then 0::bigint end as ord,
+            case when ok then ['listed', 'nested', 'bare'][kind + 1] end as shape,
+            case when ok and kind <> 1 then p_size::bigint end as size, case when ok and kind = 1 then company end as brand from s""",
+    "unread_fields": f"""with s as ({_SHAPED}), f as (select ['listed', 'nested', 'bare'][kind + 1] as shape,
+            unnest([['size'], ['team'], ['commitment', 'size']][kind + 1]) as field from s where ok)
+        select shape, field, count(*) as n from f group by 1, 2""",
+    "merge_latest": _LATEST_STATE,
+    "stream_source_state": _LATEST_STATE,
     "extract_links": f"with {_LINKS} select page_id, ord::bigint as ord, href, text from links",
     "page_postings": f"""with {_LINKS}, rows as (select {_host('url')} as company, {_first_line('text')} as title,
             regexp_extract(url, '^[^:]*://[^/?#]*') || href as url, ord::bigint as ord, href, text from links)

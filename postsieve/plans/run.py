@@ -7,6 +7,7 @@ run's own folder; a lost executor re-reads it, and a repeated run replaces it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -23,6 +24,7 @@ from postsieve.operators.state import first_title, merge_source_state
 from postsieve.sources import outbox, schemas, snapshots
 from postsieve.sources.pages import page_postings
 from postsieve.sources.payloads import endpoint_rows
+from postsieve.sources.shapes import Shape, shaped_rows
 
 ORDER = ["ord", "url"]
 
@@ -38,10 +40,11 @@ class Vocabulary:
         return {name: list(getattr(self, name)) for name in ("include", "veto", "places", "path_words")}
 
 
-def screened_endpoint_rows(payloads: DataFrame, words: Vocabulary = Vocabulary()) -> DataFrame:
-    """Endpoint rows that pass the screens, and the marker rows of failed attempts."""
+def screened_endpoint_rows(payloads: DataFrame, words: Vocabulary = Vocabulary(), shapes: Sequence[Shape] = ()) -> DataFrame:
+    """Endpoint rows that pass the screens, and the marker rows of failed attempts. With ``shapes`` answers may have any of them."""
     passes = F.col("ord").isNotNull() & endpoint_row_ok(**words.as_kwargs())
-    return endpoint_rows(payloads).where(~F.col("ok") | passes)
+    rows = shaped_rows(payloads, shapes).drop("shape", "record") if shapes else endpoint_rows(payloads)
+    return rows.where(~F.col("ok") | passes)
 
 
 def failed_sources(endpoint: DataFrame) -> DataFrame:
@@ -105,6 +108,7 @@ def new_to_history(firsts: DataFrame, root: str, run: str, limit: int = PROBE_LI
 def apply_run(
     spark: SparkSession, root: str, run: str, payloads: DataFrame, pages: DataFrame, checked_at: datetime, after: int,
     recipient: str = "", words: Vocabulary = Vocabulary(), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+    shapes: Sequence[Shape] = (),
 ) -> None:
     """The steps of a run under the name ``run``: what its rows are numbered after, and its instant, are given, so that
     a repeat gives the same results.
@@ -116,7 +120,7 @@ def apply_run(
 
     tracked = sources.groupBy(F.col("name").alias("company")).agg(F.min("position").alias("position"))
     tracked = _stored(tracked, f"{stage}/tracked")  # Joined as a table, so that a hot source can be split.
-    endpoint = _stored(screened_endpoint_rows(payloads, words), f"{stage}/endpoint")
+    endpoint = _stored(screened_endpoint_rows(payloads, words, shapes), f"{stage}/endpoint")
     screened = screened_postings(endpoint, pages, words)
     postings = _stored(screened.join(tracked, "company"), f"{stage}/postings")
     firsts = _stored(keep_first(normal_keys(postings), KEY, ORDER), f"{stage}/firsts")
@@ -147,7 +151,7 @@ def apply_run(
 def scheduled_run(
     spark: SparkSession, root: str, payloads: DataFrame, pages: DataFrame,
     checked_at: datetime, recipient: str = "", words: Vocabulary = Vocabulary(),
-    lines_per_document: int = DIGEST_LINES,
+    lines_per_document: int = DIGEST_LINES, shapes: Sequence[Shape] = (),
 ) -> str:
     """Run once and store the results below ``root``; returns the name of the run.
 
@@ -156,5 +160,5 @@ def scheduled_run(
     """
     run = f"{checked_at:%Y%m%dT%H%M%S%f}"
     after = snapshots.last_seq(spark, f"{root}/history", without_run=run)
-    apply_run(spark, root, run, payloads, pages, checked_at, after, recipient, words, lines_per_document)
+    apply_run(spark, root, run, payloads, pages, checked_at, after, recipient, words, lines_per_document, shapes=shapes)
     return run

@@ -22,6 +22,8 @@ def build_session(app: str = "postsieve", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # Keys of a stream's state live on disk, not on the executors' heap.
         .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+        # An endpoint answer with a key twice keeps the last one, as JSON readers do.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

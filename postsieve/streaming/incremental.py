@@ -8,7 +8,7 @@ its own rows with the same ones.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from postsieve.operators.report import DIGEST_LINES
 from postsieve.operators.stamp import stamp_new
 from postsieve.plans.run import Vocabulary, apply_run, new_to_history, screened_endpoint_rows, screened_page_rows, send
 from postsieve.sources import schemas, snapshots
+from postsieve.sources.shapes import Shape
 
 
 def landed_pages(spark: SparkSession, folder: str, words: Vocabulary = Vocabulary(), **options: str) -> DataFrame:
@@ -113,6 +114,7 @@ def start_new_postings(
 def run_writer(
     root: str, name: str, recipient: str = "", words: Vocabulary = Vocabulary(),
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+    shapes: Sequence[Shape] = (),
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch`` over ``landed``: a whole run for each batch. Answers come before pages, failed answers mark
     their source and keep it from fallback, untracked sources are left out, and history, digest, sent rows and state are stored."""
@@ -123,7 +125,7 @@ def run_writer(
         payloads = batch.where(F.col("answer").isNotNull()).select("company", "answer.*")
         pages = batch.where(F.col("page").isNotNull()).select("company", "page.*")
         at, after = _started(spark, root, run, clock)
-        apply_run(spark, root, run, payloads, pages, at, after, recipient, words, lines_per_document, only_landed)
+        apply_run(spark, root, run, payloads, pages, at, after, recipient, words, lines_per_document, only_landed, shapes)
 
     return write
 
@@ -131,6 +133,7 @@ def run_writer(
 def start_runs(
     stream: DataFrame, root: str, checkpoint: str, recipient: str = "", words: Vocabulary = Vocabulary(), every: str | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), lines_per_document: int = DIGEST_LINES, only_landed: bool = False,
+    shapes: Sequence[Shape] = (),
 ) -> StreamingQuery:
     """Start the whole run as a stream over ``landed``, once over what has landed or, with ``every``, at that pace.
 
@@ -140,7 +143,7 @@ def start_runs(
     """
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    writer = run_writer(root, name, recipient, words, clock, lines_per_document, only_landed)
+    writer = run_writer(root, name, recipient, words, clock, lines_per_document, only_landed, shapes)
     return stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
