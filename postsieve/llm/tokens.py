@@ -110,13 +110,14 @@ class ChunkEncoder:
         words = coded.dictionary.to_pylist()
         known = self._learn(words)
         ids = [*map(known.__getitem__, words), np.array([end_id], dtype="<u4").tobytes()]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        order = np.insert(np.asarray(coded.indices).astype(np.int64), bounds[1:], len(words))
-        times = sizes[order]
-        ends = np.concatenate(([0], np.cumsum(times)))
-        at = np.repeat(begin[order] - ends[:-1], times) + np.arange(ends[-1])
-        return np.frombuffer(b"".join(ids), dtype="<u4")[at], ends[bounds + np.arange(len(bounds))]
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        lists = pa.ListArray.from_arrays(
+            np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")),
+        )
+        order = np.insert(np.asarray(coded.indices), bounds[1:], len(words))
+        placed = lists.take(pa.array(order))  # One copy a word.
+        ends = np.asarray(placed.offsets)
+        return np.asarray(placed.values).view("<u4"), ends[bounds + np.arange(len(bounds))]
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The ids known, those of ``pieces`` among them."""
@@ -220,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space
         known, start = encoder(vocabulary, spaces_dropped), 0
         for batch in batches:
             texts = batch.column(2)
-            for i, j in stretches(np.asarray(pc.utf8_length(texts))):
+            for i, j in stretches(np.asarray(pc.utf8_length(texts)), 8_000_000):
                 if spaces_dropped:
                     values, before = known.encode_column(texts[i:j], end_id)
                 else:
