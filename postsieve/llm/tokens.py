@@ -116,7 +116,7 @@ class ChunkEncoder:
         )
         order = np.insert(np.asarray(coded.indices), bounds[1:], len(words))
         placed = lists.take(pa.array(order))  # One copy a word.
-        ends = np.asarray(placed.offsets)
+        ends = np.asarray(placed.offsets).astype(np.int64)
         return np.asarray(placed.values).view("<u4"), ends[bounds + np.arange(len(bounds))]
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
