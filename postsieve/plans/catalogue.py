@@ -856,10 +856,10 @@ def stream_run_digest(spark, sf_dir):
 
 
 def _card_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document table as a file stream of cards."""
+    """The document table as a file stream of cards. The path is a pattern because a stream takes a plain one for a folder, and the table
+    may be a single file or a folder of files."""
     schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    return as_cards(docs)
+    return as_cards(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"))
 
 
 @query

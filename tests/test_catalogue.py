@@ -37,3 +37,10 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry(spark).columns == ["company", "title", "ord"]
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_new_postings"])
+def test_streams_read_tables_in_several_files(spark, con, tmp_path, name):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert oracle.difference(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
