@@ -265,3 +265,12 @@ def test_stamp(spark):
     assert [r.id for r in out] == ["A_t", "B_b_t"] and out[0].seq >= 42 and out[0].seq < out[1].seq
     assert {(r.date, r.notified) for r in out} == {("Aug 22, 15:00", False)}
     assert stamp.stamp_new(new, 41, NOW, ["ord"]).where(F.col("found_at") == F.lit(NOW)).count() == 2
+
+
+def test_stamp_numbers_ties_alike(spark):
+    rows = [(c, t, "u", 0) for c in ("c2", "c1", "c3") for t in ("b", "a")]
+    found = []
+    for given in (rows, rows[::-1]):
+        new = spark.createDataFrame(given, "company string, title string, url string, ord long")
+        found.append([(r.company, r.title) for r in stamp.stamp_new(new, 0, NOW, ["ord", "url"]).orderBy("seq").collect()])
+    assert found[0] == found[1] == sorted((c, t) for c, t, _, _ in rows)
