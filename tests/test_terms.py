@@ -1,6 +1,8 @@
 """Terms as a table against the pattern of the same terms."""
 
 import random
+import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,24 @@ def test_ten_thousand_terms(spark):
     assert 0 < len(both(spark, sorted(words), texts)) < 800
 
 
+def test_lower_case_is_enough_outside_the_span_of_the_twins():
+    inside = re.compile(T._SPAN)
+    assert all(inside.match(c) for c in T._FROM)
+    others = (chr(code) for code in range(sys.maxunicode + 1) if not inside.match(chr(code)))
+    assert not [c for c in others if set(c.lower()) & set(T._FROM)]
+
+
+def test_runs_stay_with_the_texts_and_shuffled_terms_find_the_same(spark):
+    df = spark.createDataFrame([(1, "One two-three"), (2, "two three"), (3, "C++ x"), (4, None), (5, "a two"), (6, "😀 one two")], "id int, text string")
+    known = table(spark, ["one two", "two-", "c++", "x", " two", "a"])
+    sent, shuffled = T.ids_with_terms(df, known, "id"), T.ids_with_terms(df, known, "id", limit=0)
+    assert {r.id for r in sent.collect()} == {r.id for r in shuffled.collect()} == {r.id for r in df.where(
+        M.has_term("text", ["one two", "two-", "c++", "x", " two", "a"])).collect()}
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(gram" not in plan.split("BroadcastExchange")[0]
+    assert "lambdafunction" not in plan, "runs are cut out by patterns, not by functions over arrays of tokens"
+
+
 def test_no_terms_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a")], "id int, text string")
     nothing = table(spark, ["", None])
