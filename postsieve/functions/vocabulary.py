@@ -60,9 +60,10 @@ BLANK_CHARS = "".join(
 # A word character: any letter, any number, underscore.
 WORD_CLASS = r"\p{L}\p{N}_"
 
-# The named HTML references, as the standard library lists them; "&amp;" is decoded apart, last.
+# The named HTML references, as the standard library lists them, by the first two letters of their names; "&amp;" is decoded apart, last.
+_REFERENCES = {name[:-1]: char for name, char in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")}
 HTML_REFERENCES_JSON = json.dumps({
-    name[:-1]: char for name, char in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")
+    start: {name: char for name, char in _REFERENCES.items() if name[:2] == start} for start in sorted({name[:2] for name in _REFERENCES})
 })
 
 # HTML elements that begin and end a line of visible text.

@@ -203,7 +203,9 @@ def link_text(spark, sf_dir):
         F.lit('<a href="/p/'), "p_partkey", F.lit('?a=1&amp;b=2"><table><tr><td>'), spelling, F.lit(" "), "p_name",
         F.lit("</td><td>"), "p_type", F.lit("</td></tr></table><svg><title>icon</title></svg></a>"),
     )
-    made = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    # A small file of short rows would be one task, and the links cost much more than reading it.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type").repartition("p_partkey")
+    made = parts.select("p_partkey", html.alias("html"))
     return page_source.extract_links(made).select("p_partkey", "href", "text")
 
 

@@ -36,12 +36,22 @@ _CELL_END = r"(?i)</t[dh]\s*>"
 _ANY_TAG = r"</?[A-Za-z][^<>]*>"
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once: in functions over arrays Spark computes an expression again at each place it is used."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _char_of(digits: Column, base: int) -> Column:
     """Character of a reference's digits, however many; U+FFFD for zero, surrogates and what is out of range."""
-    short = F.regexp_replace(digits, "^0+", "")
-    number = F.when((short != "") & (F.length(short) <= 7), F.conv(short, base, 10).cast("bigint"))
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    def number(short: Column) -> Column:
+        return F.when((short != "") & (F.length(short) <= 7), F.conv(short, base, 10).cast("bigint"))
+
+    def char(code: Column) -> Column:
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    return _bound(_bound(F.regexp_replace(digits, "^0+", ""), number), char)
 
 
 def decode_references(c: Column) -> Column:
@@ -49,19 +59,32 @@ def decode_references(c: Column) -> Column:
 
     Every replacement is literal: a decoded "$" or backslash stands for itself.
     """
+    return _bound(c, _decoded)
+
+
+def _decoded(c: Column) -> Column:
     ampersand = F.lit("&")
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]{1,31});"), F.lit(1)))
-    known = F.from_json(F.lit(V.HTML_REFERENCES_JSON), "map<string,string>")
+    names = F.array_remove(F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]{1,31});"), F.lit(1))), "amp")
+    # A map is searched from its start, so the names are parted by their first two letters.
+    known = F.from_json(F.lit(V.HTML_REFERENCES_JSON), "map<string,map<string,string>>")
+
+    def named(name: Column) -> Column:
+        char = F.try_element_at(F.try_element_at(known, F.substring(name, 1, 2)), name)
+        return F.coalesce(char, F.concat(ampersand, name, F.lit(";")))
 
     def all_of(text: Column, found: Column, before: list[str], char: Callable[[Column], Column]) -> Column:
         def one(done: Column, key: Column) -> Column:
-            for start in before:
-                done = F.replace(done, F.concat(F.lit(start), key, F.lit(";")), char(key))
-            return done
+            def replaced(by: Column) -> Column:
+                out = done
+                for start in before:
+                    out = F.replace(out, F.concat(F.lit(start), key, F.lit(";")), by)
+                return out
+
+            return _bound(char(key), replaced)
 
         return F.aggregate(found, text, one)
 
-    decoded = all_of(c, names, ["&"], lambda n: F.coalesce(F.try_element_at(known, n), F.concat(ampersand, n, F.lit(";"))))
+    decoded = all_of(c, names, ["&"], named)
     codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]+);"), F.lit(1)))
     hex_codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9A-Fa-f]+);"), F.lit(1)))
     decimal = all_of(decoded, codes, ["&#"], lambda n: _char_of(n, 10))
@@ -82,12 +105,15 @@ def visible_text(html: Column) -> Column:
 
 def _link_fields(a: Column) -> Column:
     """(start tag, href, text) of one cut-out link."""
-    start = F.regexp_extract(a, _START_TAG, 0)
-    href = F.concat(*[F.regexp_extract(start, _HREF, i) for i in (1, 2, 3)])
-    return F.struct(
-        start.alias("start"), decode_references(href).alias("href"),
-        visible_text(F.regexp_replace(a, _START_TAG, "")).alias("text"),
-    )
+
+    def fields(start: Column) -> Column:
+        href = F.concat(*[F.regexp_extract(start, _HREF, i) for i in (1, 2, 3)])
+        return F.struct(
+            start.alias("start"), decode_references(href).alias("href"),
+            visible_text(F.regexp_replace(a, _START_TAG, "")).alias("text"),
+        )
+
+    return _bound(F.regexp_extract(a, _START_TAG, 0), fields)
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:

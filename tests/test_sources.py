@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postsieve.plans.catalogue import QUERIES
 from postsieve.sources import payloads, schemas, snapshots
 from postsieve.sources.pages import extract_links, page_postings
 
@@ -142,3 +143,16 @@ def test_references_of_all_kinds(spark):
     row = extract_links(spark.createDataFrame([(1, html)], "id int, html string")).first()
     assert row["href"] == "/x?a=1&b=$1"
     assert row["text"] == "f\u00fcr M\u00e9tro \U0010ffff\ufffd\ufffd\ufffd &lt; &nosuch;\nJunior\tPune"
+
+
+def test_fields_of_a_link_are_cut_out_once(spark):
+    pages = spark.createDataFrame([(1, '<a href="/x?a=1&amp;b=2">&eacute;&#36;&Tab;&nosuch;&#x24;</a>')], "id int, html string")
+    links = extract_links(pages)
+    assert [(r.href, r.text) for r in links.collect()] == [("/x?a=1&b=2", "é$\t&nosuch;$")]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\shref\s*=") == 3, "one for each kind of quotes"
+
+
+def test_links_of_a_small_file_are_made_in_several_tasks(spark):
+    plan = QUERIES["link_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(p_partkey")
