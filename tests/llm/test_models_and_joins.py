@@ -140,6 +140,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(score[toxic][:, None] > score[~toxic][None, :]) > 0.9
 
 
+def test_toxicity_learns_from_every_label(spark):
+    # 12,000 clean texts and, more than a sample of 6,000 would hold, 8,000 toxic ones; each toxic word stands in few of them.
+    words = [f"bad{i}" for i in range(2000)]
+    rows = [(i, f"some plain text number{i % 97} {words[i % 2000] if i < 8000 else 'fine' + str(i % 3000)}", "en") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    real = toxicity._word_counts
+    toxicity._word_counts = lambda *given: seen.append(real(*given)) or seen[-1]
+    try:
+        found = toxicity.toxicity(docs, spark.createDataFrame([(i, int(i < 8000)) for i, _, _ in rows], "doc_id long, toxic int")).toPandas()
+    finally:
+        toxicity._word_counts = real
+    assert seen[0][0].max() + seen[0][1].max() > 12_000, "the counts come from all training rows that fit the weights"
+    held = found[found["held_out"]]
+    assert ((held["predicted"] == 1) == (held["doc_id"] < 8000)).mean() > 0.95
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "same text", "xx"), (3, "same text", "yy"), (None, "same text", "en"), (4, "w " * 100_000, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (3, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
