@@ -6,6 +6,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches num
    linked sets have an equal part; a part's hash is a key. Sets with a common key may link, others cannot.
 2. *Groups.* Ids with a common key, directly or over others, form a group; no link leaves it.
 3. *Search.* Within blocks of a group, an inverted index of shingles is asked for the sets that occur in T lists.
+
+A group of many sets is first grouped anew by its rare shingles, as a phrase that many texts have makes sets meet that do not link. A set that links has few
+shingles that no other set has; one with more of them is left out. Of the others, the first shingles in one order for all sets, rare ones first, are the keys (prefix filter).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import LOWER, UPPER, ranked, stored
@@ -171,8 +174,8 @@ _SCHEMA = pa.schema([("kind", pa.int32()), *((name, pa.int64()) for name in ("ke
 _MANY = 2_000_000
 
 
-def _keys_of(parts: Parts, width: int):
-    """Per task: a row for each document (kind 0); its documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
+def _keys_of(keys_for, width: int):
+    """Per task, with the keys that ``keys_for`` gives for a set and what the row's further columns hold: a row for each document (kind 0); its documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
 
     A group that many documents are in so sends the same few pairs of ids for all its keys. Rows of kinds 0 and 2 only pass by the search for
     common keys: their key is a hash of their own, so copies and equal ids do not meet in one task.
@@ -207,16 +210,18 @@ def _keys_of(parts: Parts, width: int):
         held = 0
         for rows in batches:
             docs, texts = rows.column(0).to_pylist(), rows.column(1).cast(pa.binary())
+            more = [c.to_pylist() for c in rows.columns[2:]]
             about = np.zeros((4, len(docs)), dtype=np.int64)
             alone = _mixed(np.array(docs, dtype=np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + np.arange(len(docs), dtype=np.uint64)).view(np.int64)
             for i, doc in enumerate(docs):
                 found = shingles(texts[i].as_py(), width)
                 prints = [int(_mixed(found + _U(s)).sum(dtype=np.uint64).view(np.int64)) for s in (17, 71)]
                 about[:, i] = (doc, len(found), *prints)
-                if len(found):
-                    keys.append(parts.keys(found))
+                own = keys_for(found, *(c[i] for c in more)) if len(found) else found
+                if len(own):
+                    keys.append(own)
                     ids.append(doc)
-                    held += len(keys[-1])
+                    held += len(own)
                 if held > _MANY:
                     yield from met(keys, ids)
                     keys, ids, held = [], [], 0
@@ -228,6 +233,101 @@ def _keys_of(parts: Parts, width: int):
     return run
 
 
+def _met(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
+    """Rows of ``_keys_of``, stored, with ``low``, the smallest id that has a key; of the keys, only those that give a link."""
+    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
+    return stored(spark, rows.withColumn("low", lowest).filter("kind <> 1 OR id > low"), label)
+
+
+def _may_link(met: DataFrame) -> DataFrame:
+    """Pairs of ids that have a key in common, enough of them to reach all."""
+    return met.filter("kind = 1").select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(
+        met.filter("kind = 2").select(F.col("id").alias("a"), F.col("other").alias("b")))
+
+
+def _looked_at(num: int, den: int) -> int:
+    """One shingle in so many, by hash, is looked up in all sets: more than a set that links may have for itself."""
+    return 4 if num * 10 >= den * 9 else 2
+
+
+def _common(width: int, every: int):
+    """Per task, of the shingles looked at: a row for each one that one of its sets has (kind 0); for each set with one that others of the task have too (1); per set its size and how many are looked at (2).
+
+    Rows of kinds 1 and 2 only pass by: their key is a hash of their own, so a shingle that very many sets have meets in one task no more often than there are tasks.
+    """
+
+    def batch(kind: int, key, ids, shingle, n) -> pa.RecordBatch:
+        whole = [np.ascontiguousarray(x).view(np.int64) for x in (key, ids, shingle, n)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), *map(pa.array, whole)], names=["kind", "key", "id", "shingle", "n"])
+
+    def told(sets: list[np.ndarray], sizes: list[int], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        looked = np.array([len(x) for x in sets], dtype=np.int64)
+        names = np.array(ids, dtype=np.int64)
+        yield batch(2, _mixed(names.view(np.uint64)), names, looked, np.array(sizes, dtype=np.int64))
+        owner, found = np.repeat(names, looked), np.concatenate(sets)
+        order = np.argsort(found, kind="stable")
+        owner, found = owner[order], found[order]
+        first = np.concatenate((np.ones(min(len(found), 1), dtype=bool), found[1:] != found[:-1]))
+        yield batch(0, found[first], owner[first], *np.zeros((2, first.sum()), dtype=np.int64))
+        several = np.concatenate((~first[1:], np.zeros(min(len(found), 1), dtype=bool))) | ~first
+        owner, found = owner[several], found[several]
+        yield batch(1, _mixed(found ^ _mixed(owner.view(np.uint64))), owner, found, np.zeros(len(found), dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, sizes, ids, held = [], [], [], 0
+        for rows in batches:
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary())):
+                found = shingles(text.as_py(), width)
+                ids.append(doc)
+                sizes.append(len(found))
+                sets.append(found[found % _U(every) == 0])
+                held += len(sets[-1])
+                if held > _MANY:
+                    yield from told(sets, sizes, ids)
+                    sets, sizes, ids, held = [], [], [], 0
+        if ids:
+            yield from told(sets, sizes, ids)
+
+    return run
+
+
+def _rare_first(num: int, den: int, every: int):
+    """Keys of a set and of its shingles that other sets have: of its first shingles in the order, those that others may have.
+
+    The order: shingles looked at that no other set has, those not looked at, those that others have; by hash inside. It is one for all sets, so that two sets
+    of similarity ``num / den`` have one of their first n - T + 1 in common, where T = num / den of n.
+    """
+
+    def keys(found: np.ndarray, common: list[int] | None) -> np.ndarray:
+        shared = np.isin(found, np.array(common or [], dtype=np.int64).view(np.uint64))
+        kind = np.where(found % _U(every) != 0, 1, np.where(shared, 2, 0))
+        first = np.argsort(kind, kind="stable")[: len(found) + (-num * len(found) // den) + 1]
+        return found[first][kind[first] > 0]
+
+    return keys
+
+
+def _regrouped(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """``id`` and ``grp`` of those sets of ``texts`` (id, text) that may link, by their rare shingles.
+
+    Of two that link each has at least T of its n shingles in the other, so at most n - T that no other set has.
+    """
+    spark, every = texts.sparkSession, _looked_at(num, den)
+    rows = texts.select("id", "text").mapInArrow(_common(width, every), "kind int, key long, id long, shingle long, n long")
+    rows = rows.withColumn("sets", F.expr("CASE WHEN kind = 0 THEN count(*) OVER (PARTITION BY kind, key) END"))
+    rows = rows.filter("kind > 0 OR sets > 1").select("kind", "id", F.when(F.col("kind") == 0, F.col("key")).otherwise(F.col("shingle")).alias("shingle"), "n")
+    rows = stored(spark, rows, "common")
+    # A task's shingle of several sets stands for one of them too.
+    common = rows.filter("kind < 2").select("id", "shingle").distinct().groupBy("id").agg(F.collect_list("shingle").alias("common"), F.count("*").alias("shared"))
+    sizes = rows.filter("kind = 2").groupBy("id").agg(F.sum("n").alias("n"), F.sum("shingle").alias("looked"), F.count("*").alias("texts"))
+    own = F.col("looked") - F.coalesce("shared", F.lit(0))
+    left = sizes.join(common, "id", "left").filter((F.col("texts") > 1) | (own * den <= F.col("n") * (den - num)))
+    left = stored(spark, left.select("id", "common"), "left")
+    keyed = texts.select("id", "text").join(left, "id").select("id", "text", "common")
+    met = _met(spark, keyed.mapInArrow(_keys_of(_rare_first(num, den, every), width), ROWS), "rare-met")
+    return components(spark, _may_link(met)).select("id", F.col("component").alias("grp"))
+
+
 def _search(num: int, den: int, width: int):
     """Rows (block, id, label, text), sorted by block: (a, b) for each id whose tree the search in its block joins to another."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -274,23 +374,19 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     An empty table gives an empty table; other columns are not read. Equal sets are told by 128 bits of sums of their shingles' hashes.
 
     What grows: keys, about a sixth of the words, go through one shuffle, at most one row for each key and task, so a key that very many documents have is no
-    hot group. Only documents that share a key move their text. A group of more than ``block_rows`` sets is
+    hot group. Only documents that share a key move their text. Groups of more than ``block_rows`` sets are grouped anew by rare shingles (half of the shingles, or a
+    quarter, go through one shuffle for that); one that still has more is
     searched in blocks: first each block, then the trees' first members against each other as long as that more than halves them, last all pairs of blocks, now of ``pair_rows`` sets, that still
     hold different trees: a text moves once for each such block of its group. That is every pair which may link; copies and sets of one tree are never compared again.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den), width), ROWS)
-    lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
-    met = rows.withColumn("low", lowest).filter("kind <> 1 OR id > low")
-    met = stored(spark, met, "keys-met")
+    met = _met(spark, named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den).keys, width), ROWS), "keys-met")
     about = met.filter("kind = 0").select("id", "n", "print", "other")
     first = stored(spark, about.filter("n > 0").groupBy("n", "print", "other").agg(F.min("id").alias("rep")), "sets")
     members = stored(spark, about.join(first, ["n", "print", "other"], "left").select("id", "n", "rep"), "members")
 
-    may = met.filter("kind = 1").select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(
-        met.filter("kind = 2").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    ).unionByName(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    may = _may_link(met).unionByName(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = components(spark, may)
     reps = first.select(F.col("rep").alias("id")).distinct().join(groups, "id").select("id", F.col("component").alias("grp"))
     sized = stored(spark, ranked(reps, "grp", ["id"], 64, "rank"), "groups")
@@ -299,9 +395,17 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     # Merged at every size: the plan does not change where the chosen ids outgrow a broadcast.
     texts = chosen.join(named.hint("merge"), "id").select("id", "grp", "size", "text", F.xxhash64("grp", F.floor(F.col("rank") / block_rows)).alias("block"))
     texts = stored(spark, texts, "texts")
-    links = stored(spark, _searched(texts.withColumn("label", F.col("id")), num, den, width), "links")
-    if not chosen.filter(F.col("size") > block_rows).isEmpty():
-        links = _across_blocks(texts.filter(F.col("size") > block_rows).select("id", "grp", "text"), links, num, den, width, block_rows, pair_rows)
+    large = F.col("size") > block_rows
+    links = stored(spark, _searched(texts.filter(~large).withColumn("label", F.col("id")), num, den, width), "links")
+    if not chosen.filter(large).isEmpty():
+        texts = texts.filter(large).select("id", "text")
+        sized = stored(spark, ranked(_regrouped(texts, num, den, width), "grp", ["id"], 64, "rank"), "groups")
+        several = stored(spark, sized.groupBy("grp").agg(F.count("*").alias("size")), "group-sizes")
+        texts = texts.join(sized.join(several, "grp"), "id")
+        texts = stored(spark, texts.select("id", "grp", "size", "text", F.xxhash64("grp", F.floor(F.col("rank") / block_rows)).alias("block")), "texts")
+        links = stored(spark, links.unionByName(_searched(texts.withColumn("label", F.col("id")), num, den, width)), "links")
+        if not several.filter(large).isEmpty():
+            links = _across_blocks(texts.filter(large).select("id", "grp", "text"), links, num, den, width, block_rows, pair_rows)
 
     found = components(spark, links)
     return members.join(found, members["rep"] == found["id"], "left").select(

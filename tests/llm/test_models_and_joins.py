@@ -63,6 +63,20 @@ def test_jaccard_join_by_brute_force(spark, width, num, den, blocks):
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_a_common_phrase_makes_no_large_group(spark, monkeypatch):
+    phrase, r = " ".join(f"p{i}" for i in range(50)), random.Random(4)
+    texts = [" ".join([phrase, *(f"d{d}x{i}" for i in range(60))]) for d in range(60)]
+    texts += [texts[3] + " more", texts[9].replace("d9x30", "other")]
+    frame = spark.createDataFrame(r.sample(list(enumerate(texts)), len(texts)), "doc_id long, text string").repartition(5)
+
+    def across(*_):
+        raise AssertionError("texts that only have a phrase in common were compared")
+
+    monkeypatch.setattr(jaccard, "_across_blocks", across)
+    got = {r["id"]: r["component_id"] for r in jaccard.linked_groups(frame, 2, 4, 5, 8, 8).collect()}
+    assert got == {i: {60: 3, 61: 9}.get(i, i) for i in range(62)}
+
+
 def test_keys_of_linked_sets_meet():
     r = np.random.default_rng(1)
     for num, den in ((9, 10), (4, 5)):
