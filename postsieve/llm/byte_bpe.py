@@ -12,8 +12,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.llm.alignment import words as before_blanks
 from postsieve.llm.tokens import slices
 
+#: A pattern none of whose matches goes on over a blank between two other characters than white space.
+BLANKS_LEAD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and their ranks from a file of base64 tokens and numbers."""
@@ -54,7 +58,7 @@ class Transducer:
     States and pairs of neighbours are worked out when first met. Beyond ``keep`` states they are forgotten and worked out anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], keep: int = 600_000):
         self.ranks, self.keep = ranks, keep
         self.tokens = {i: t for t, i in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
@@ -89,7 +93,7 @@ class Transducer:
     def _get_on(self, last: int, token: int) -> bool:
         known = self.pairs.get((last, token))
         if known is None:
-            if len(self.pairs) > 8 * self.keep:
+            if len(self.pairs) > 2 * self.keep:
                 self.pairs = {}
             own = self.tokens[token]
             if last < 0:
@@ -217,30 +221,61 @@ class Coder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
+    def of_word(self, word: str) -> tuple:
+        """What is kept for a word: its ids."""
+        return self.transducer.encode(word.encode())
+
+    def encode(self, text: str) -> list[tuple]:
         """Ids of each word of ``text``."""
+        return self._looked_up(self.words(text))
+
+    def _looked_up(self, out: list[str]) -> list[tuple]:
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
-        known, out = self.known, self.words(text)
+        known = self.known
         try:
             return [known[w] for w in out]
         except KeyError:
             pass
         for w in set(out):
             if w not in known and len(w) <= 64:
-                ids = self.older.get(w)
-                known[w] = self.transducer.encode(w.encode()) if ids is None else ids
-        return [known[w] if w in known else self.transducer.encode(w.encode()) for w in out]
+                found = self.older.get(w)
+                known[w] = self.of_word(w) if found is None else found
+        return [known[w] if w in known else self.of_word(w) for w in out]
+
+
+class RoundTrip(Coder):
+    """Keeps for each stretch of text up to a blank the number of its ids, the ids in decimal, and the text they decode to.
+
+    A stretch is whole words and whole characters, so that the decoder is at its start after it, and what it gives is the same wherever the stretch stands.
+    Patterns other than ``BLANKS_LEAD`` have words for stretches.
+    """
+
+    def __init__(self, path: str, pattern: str, keep: int = 200_000):
+        super().__init__(path, pattern, keep)
+        self.decimal = {i: str(i) for i in self.transducer.tokens}.__getitem__
+        self.cut = pattern == BLANKS_LEAD
 
+    def of_word(self, word: str) -> tuple[int, str, str]:
+        encode = self.transducer.encode
+        ids = [i for w in (self.words(word) if self.cut else [word]) for i in encode(w.encode())]
+        return len(ids), " ".join(map(self.decimal, ids)), self.decoder.decode(ids)
 
-_CODERS: dict[tuple[str, str], Coder] = {}
+    def trip(self, text: str) -> tuple[int, str, str]:
+        """The number of ids of a text, the ids in decimal with blanks between, and the text they decode to."""
+        found = self._looked_up(before_blanks(text) if self.cut else self.words(text))
+        n, ids, decoded = zip(*found) if found else ((), (), ())
+        return sum(n), " ".join(ids), "".join(decoded)
 
 
-def coder(path: str, pattern: str) -> Coder:
+_CODERS: dict[tuple[type, str, str], Coder] = {}
+
+
+def coder(path: str, pattern: str, kind: type[Coder] = Coder) -> Coder:
     """The worker's coder of a vocabulary; it lives as long as the worker."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Coder(path, pattern)
-    return _CODERS[path, pattern]
+    if (kind, path, pattern) not in _CODERS:
+        _CODERS[kind, path, pattern] = kind(path, pattern)
+    return _CODERS[kind, path, pattern]
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,20 +313,18 @@ def decode_ids(tokens: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, SHA-256 of its ids in decimal with blanks between, and of the UTF-8 bytes that the ids decode to.
 
-    The steps of ``encode_texts`` and ``decode_ids`` one after the other in the same task; rows as there.
+    The steps of ``encode_texts`` and ``decode_ids`` one after the other in the same task, each worked out once for a stretch of text (``RoundTrip``); rows as there.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_ = coder(ranks, pattern)
-        decimal = {i: str(i) for i in with_.transducer.tokens}.__getitem__
-        sha, decode = hashlib.sha256, with_.decoder.decode
+        trip, sha = coder(ranks, pattern, RoundTrip).trip, hashlib.sha256
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(texts):
                 out = []
                 for x in texts[i:j]:
-                    ids = list(chain.from_iterable(with_.encode(x or "")))
-                    out.append((len(ids), sha(" ".join(map(decimal, ids)).encode()).hexdigest(), sha(decode(ids).encode()).hexdigest()))
+                    n, ids, decoded = trip(x or "")
+                    out.append((n, sha(ids.encode()).hexdigest(), sha(decoded.encode()).hexdigest()))
                 n, coded, decoded = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

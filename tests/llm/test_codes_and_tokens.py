@@ -172,6 +172,19 @@ def test_round_trip_equals_the_library(spark, library):
     assert {tuple(x) for x in byte_bpe.decode_ids(none, RANKS, public_tokenizers.PATTERN).collect()} == {(1, None), (2, "")}
 
 
+def test_round_trip_works_a_stretch_out_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(byte_bpe.Decoder, "decode", lambda self, ids, was=byte_bpe.Decoder.decode: calls.append(1) or was(self, ids))
+    own, text = byte_bpe.RoundTrip(RANKS, public_tokenizers.PATTERN), "It's 12 words,  and\n more \u00a0 \u65e5\u672c  words, I'll\tsay. "
+    assert own.cut
+    ids = [i for w in byte_bpe.Coder(RANKS, public_tokenizers.PATTERN).encode(text) for i in w]
+    expected = len(ids), " ".join(map(str, ids)), text
+    assert own.trip(text) == expected and calls
+    before = len(calls)
+    assert own.trip(text) == expected and len(calls) == before
+    assert own.trip("") == (0, "", "")
+
+
 def test_whole_documents_equal_the_library(spark, library):
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in llm.QUERIES["op12_byte_bpe"](spark, SMALL).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
