@@ -171,6 +171,26 @@ def test_toxicity_learns_from_every_label(spark):
     assert ((held["predicted"] == 1) == (held["doc_id"] < 8000)).mean() > 0.95
 
 
+def test_toxicity_plan_does_not_follow_the_labels(spark, monkeypatch):
+    plans = {}
+
+    def kept(session, df, label, was=toxicity.stored):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return was(session, df, label)
+
+    monkeypatch.setattr(toxicity, "stored", kept)
+    docs = spark.createDataFrame([(i, ("bad" if i % 2 else "good") + f" text {i % 7}") for i in range(40)], "doc_id long, text string")
+    assert toxicity.toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).count() == 40
+    assert "SortMergeJoin" in plans["labelled"] and "Broadcast" not in plans["labelled"]
+
+
+def test_first_texts_by_hash(spark):
+    rows = spark.createDataFrame([(x,) for x in [None, "", *"abcdefghij"] for _ in range(3)], "text string").repartition(4)
+    ordered = [r["text"] for r in rows.orderBy(toxicity.F.xxhash64("text"), "text").collect()]
+    for n in (1, 5, 30, 50):
+        assert toxicity._first_texts(rows, n) == ordered[:n]
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "same text", "xx"), (3, "same text", "yy"), (None, "same text", "en"), (4, "w " * 100_000, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (3, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
