@@ -256,6 +256,19 @@ def test_alignment_by_hand(spark, chunk, block, fan):
     assert {(x["a_id"], x["b_id"]): x["total"] for x in counts.collect()} == dict(count)
 
 
+def test_pieces_are_encoded_together():
+    own, calls = alignment.Aligner(BYTES, PIECES), []
+    texts = ["some words, more\nwords and 12 of x1y2z3", "  a  b \tc d ", " ", "\ufb01x \u00bd n", "\u65e5\u672c \u8a9e \u00e9t\u00e9", "<s> </s> a", "\u2581 a\u2581b", "a\0b c\x1c d e"]
+    pieces = list(dict.fromkeys(p for x in texts for p in own.words(" " + x)))
+    expected = list(own._align(pieces))
+    one = own._align
+    own._align = lambda some: calls.extend(some) or one(some)
+    assert own.align(pieces) == expected
+    calls.clear()
+    own.align([f" w{i}q" for i in range(200)])
+    assert not calls
+
+
 def test_alignment_of_whole_documents(spark):
     got = {r["doc_id"]: tuple(r[c] for c in _COLUMNS) for r in llm.QUERIES["op13_token_alignment"](spark, SMALL).collect()}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
