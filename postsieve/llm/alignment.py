@@ -7,19 +7,21 @@ import json
 import os
 import re
 from bisect import bisect_right
-from collections.abc import Hashable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import stored
-from postsieve.llm.tokens import slices
+from postsieve.llm.tokens import stretches
 
 #: A blank between two characters that no tokenizer here counts as white space: both vocabularies end a token before it.
 _INNER_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
@@ -121,14 +123,67 @@ def aligned(groups: list[Group], n_a: int | None = None, n_b: int | None = None)
     return Aligned(sum(len(g[0]) for g in groups) if n_a is None else n_a, sum(len(g[1]) for g in groups) if n_b is None else n_b, len(groups), links, text)
 
 
+class Columns:
+    """Alignments of many pieces, column by column: some numbers each, all their links one after another, and their groups written out, each with ``;`` behind it."""
+
+    _FIELDS = ("n_a", "n_b", "n_groups", "n_links", "links", "texts", "fits")
+
+    def __init__(self, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, n_links: np.ndarray, links: np.ndarray, texts: list[bytes], fits: np.ndarray):
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.links, self.texts, self.fits = n_a, n_b, n_groups, n_links, links, texts, fits
+        self.starts: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, found: Sequence[Aligned]) -> Columns:
+        n_a, n_b, n_groups, n_links = np.array([(x.n_a, x.n_b, x.n_groups, len(x.links)) for x in found], dtype=np.int64).reshape(-1, 4).T
+        links = np.fromiter(chain.from_iterable(x.links for x in found), dtype=np.int64)
+        return cls(n_a, n_b, n_groups, n_links, links, [x.text.encode() + b";" if x.text else b"" for x in found], np.array([x.fits for x in found], dtype=bool))
+
+    @classmethod
+    def joined(cls, parts: Sequence[Columns]) -> Columns:
+        return cls(*([*chain.from_iterable(x)] if isinstance(x[0], list) else np.concatenate(x) for x in zip(*([getattr(p, f) for f in cls._FIELDS] for p in parts))))
+
+    def link_places(self, at: np.ndarray) -> np.ndarray:
+        """Where the links of the pieces ``at`` stand, piece by piece."""
+        if self.starts is None:
+            self.starts = np.cumsum(self.n_links) - self.n_links
+        sizes, starts = self.n_links[at], self.starts[at]
+        return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+    def take(self, at: np.ndarray) -> Columns:
+        texts = [*map(self.texts.__getitem__, at.tolist())]
+        return Columns(self.n_a[at], self.n_b[at], self.n_groups[at], self.n_links[at], self.links[self.link_places(at)], texts, self.fits[at])
+
+    def rows(self) -> list[Aligned]:
+        ends = np.cumsum(self.n_links).tolist()
+        return [Aligned(a, b, g, self.links[e - n : e].tolist(), t[:-1].decode(), f) for a, b, g, n, e, t, f in zip(
+            *(x.tolist() for x in (self.n_a, self.n_b, self.n_groups, self.n_links)), ends, self.texts, self.fits.tolist())]
+
+
+class _Kept:
+    """Pieces of text and their alignments."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.found = Columns.of([])
+
+    def places(self, pieces: Sequence[str]) -> np.ndarray:
+        """Where pieces are held, -1 for others."""
+        get = self.place.get
+        return np.fromiter((get(x, -1) for x in pieces), dtype=np.int64, count=len(pieces))
+
+    def add(self, pieces: list[str], found: Columns) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
+        self.found = Columns.joined([self.found, found])
+
+
 class Aligner:
-    """Both vocabularies, and the words aligned lately (at most twice ``keep``, none over 200 characters).
+    """Both vocabularies, and the words aligned lately (at most twice ``keep``, none over 200 characters; of blocks of texts, those that stand in one more than once).
 
     Texts are cut where both vocabularies end a token, before a blank between two words, and a word is aligned alike wherever it stands. Where the second
     vocabulary has a token with a blank behind another character, nothing is cut.
     """
 
-    def __init__(self, bytes_path: str, pieces_path: str, keep: int = 200_000):
+    def __init__(self, bytes_path: str, pieces_path: str, keep: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -143,11 +198,12 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_bytes = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
         self.a_size, self.b_size = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.a_sizes, self.b_sizes = np.array(self.a_size), np.array(self.b_size)
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.signed = [f"{x}{sign}".encode() for sign in ",|;" for x in self.names]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.keep = keep
-        self.known: dict[str, Aligned] = {}
-        self.older: dict[str, Aligned] = {}
+        self.known, self.older = _Kept(), _Kept()
 
     def words(self, text: str) -> list[str]:
         return words(text) if self.cuts else [text]
@@ -201,78 +257,84 @@ class Aligner:
                 links.append(a << 32 | b)
             yield Aligned(n_a, n_b, len(written), links, ";".join(written))
 
-    def _align_joined(self, texts: list[str], most: int = 64) -> list[Aligned]:
-        """The same, with up to ``most`` pieces encoded as one text, as both vocabularies end a token before a blank between two words.
+    def _align_joined(self, texts: list[str], most: int = 64) -> tuple[list[int], Columns]:
+        """The same, with up to ``most`` pieces encoded as one text, as both vocabularies end a token before a blank between two words. Also each row's place in ``texts``.
 
         Pieces that begin or end otherwise, and those of a joined text that is not spelled byte by byte with tokens ending after each piece, are aligned one by one.
         """
-        out: list[Aligned | None] = [None] * len(texts)
         able = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()] if self.cuts else []
         runs = [able[k : k + most] for k in range(0, len(able), most)]
         joined = ["".join([texts[i] for i in run]) for run in runs]
         coded = self.a.encode_batch_fast(joined, add_special_tokens=False)
         pieces = self.b.encode([x[1:] for x in joined], num_threads=1)
-        a_bytes, b_bytes, a_size, b_size, names = self.a_bytes, self.b_bytes, self.a_size, self.b_size, self.names
+        a_bytes, b_bytes, a_size, b_size = self.a_bytes, self.b_bytes, self.a_size, self.b_size
+        order, all_a, all_b, all_sizes = [], [], [], []
         for run, text, x, ys in zip(runs, joined, coded, pieces):
             data, xs = text.encode(), x.ids
             if b"".join(map(b_bytes.__getitem__, ys)) != data or b"".join(map(a_bytes.__getitem__, xs)) != data:
                 continue
-            stops = list(accumulate(len(texts[i].encode()) for i in run))
-            if not set(accumulate(map(a_size.__getitem__, xs))).intersection(accumulate(map(b_size.__getitem__, ys))).issuperset(stops):
-                continue
-            i = j = end_a = end_b = 0
-            for at, stop in zip(run, stops):
-                first_i, first_j, a, b = i, j, xs[i], ys[j]
-                end_a += a_size[a]
-                end_b += b_size[b]
-                left, right = names[a], names[b]
-                links, written = [a << 32 | b], []
-                while True:
-                    if end_a < end_b:
-                        i += 1
-                        a = xs[i]
-                        end_a += a_size[a]
-                        left += "," + names[a]
-                    elif end_b < end_a:
-                        j += 1
-                        b = ys[j]
-                        end_b += b_size[b]
-                        right += "," + names[b]
-                    else:
-                        written.append(left + "|" + right)
-                        i += 1
-                        j += 1
-                        if end_a == stop:
-                            break
-                        a, b = xs[i], ys[j]
-                        end_a += a_size[a]
-                        end_b += b_size[b]
-                        left, right = names[a], names[b]
-                    links.append(a << 32 | b)
-                out[at] = Aligned(i - first_i, j - first_j, len(written), links, ";".join(written))
-        alone = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(alone, self._align([texts[i] for i in alone])):
-            out[i] = x
+            sizes = [len(texts[i].encode()) for i in run]
+            ends_a, ends_b = set(accumulate(map(a_size.__getitem__, xs))), set(accumulate(map(b_size.__getitem__, ys)))
+            if len(ends_a) == len(xs) and len(ends_b) == len(ys) and ends_a.issuperset(stops := list(accumulate(sizes))) and ends_b.issuperset(stops):
+                order += run
+                all_a += xs
+                all_b += ys
+                all_sizes += sizes
+        whole = self._grouped(all_a, all_b, all_sizes)
+        if len(order) == len(texts):
+            return order, whole
+        done = set(order)
+        alone = [i for i in range(len(texts)) if i not in done]
+        return order + alone, Columns.joined([whole, Columns.of([*self._align([texts[i] for i in alone])])])
+
+    def _grouped(self, a: list[int], b: list[int], sizes: list[int]) -> Columns:
+        """Groups of pieces of ``sizes`` bytes, one after another, from their ids: by where tokens end, without a step for each token."""
+        a, b, stops = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.cumsum(np.array(sizes, dtype=np.int64))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        common, ends = ends[1:][twice], ends[np.concatenate([~twice, np.ones(min(len(ends), 1), bool)])]
+        links = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+        # Each group's tokens of the first vocabulary, then those of the second, with the sign that follows each.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        until_a, until_b = np.searchsorted(ends_a, common, "right"), np.concatenate([[0], np.searchsorted(ends_b, common, "right")])
+        codes, n = np.empty(len(a) + len(b), dtype=np.int64), len(self.names)
+        codes[np.arange(len(a)) + until_b[group_a]] = a + n * (common[group_a] == ends_a)
+        codes[np.arange(len(b)) + until_a[group_b]] = b + 2 * n * (common[group_b] == ends_b)
+        signed = [*map(self.signed.__getitem__, codes.tolist())]
+        counts = [np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (ends_a, ends_b, common, ends)]
+        bounds = np.cumsum(counts[0] + counts[1]).tolist()
+        return Columns(*counts, links, [b"".join(signed[x:y]) for x, y in zip([0, *bounds], bounds)], np.ones(len(stops), dtype=bool))
+
+    def columns(self, texts: list[str], lasting: np.ndarray | None = None) -> Columns:
+        """The alignment of distinct pieces of text. Those marked as ``lasting`` (all of them without marks) are kept for later calls."""
+        at = self.known.places(texts)
+        new = np.flatnonzero(at < 0)
+        orders, parts = [np.flatnonzero(at >= 0)], [self.known.found.take(at[at >= 0])]
+        if len(self.older.place):
+            some = [texts[i] for i in new.tolist()]
+            at = self.older.places(some)
+            orders.append(new[at >= 0])
+            parts.append(self.older.found.take(at[at >= 0]))
+            new = new[at < 0]
+        for k in range(0, len(new), 5000):
+            some = new[k : k + 5000]
+            order, found = self._align_joined([texts[i] for i in some.tolist()])
+            orders.append(some[order])
+            parts.append(found)
+        out = Columns.joined(parts).take(np.argsort(np.concatenate(orders)))
+        keep = np.concatenate(orders[1:]) if len(orders) > 1 else new
+        if lasting is not None:
+            keep = keep[lasting[keep]]
+        keep = np.array([i for i in keep.tolist() if len(texts[i]) <= 200][: self.keep], dtype=np.int64)
+        if len(self.known.place) + len(keep) > self.keep:
+            self.known, self.older = _Kept(), self.known
+        self.known.add([texts[i] for i in keep.tolist()], out.take(keep))
         return out
 
     def align(self, texts: list[str]) -> list[Aligned]:
-        """The alignment of distinct pieces of text."""
-        if len(self.known) > self.keep:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for x in texts:
-            if x not in known:
-                if x in older:
-                    known[x] = older[x]
-                else:
-                    new.append(x)
-        long = {}
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for x, found in zip(some, self._align_joined(some)):
-                (known if len(x) <= 200 else long)[x] = found
-        return [known[x] if x in known else long[x] for x in texts]
+        """The same, an object for each piece."""
+        return self.columns(texts).rows()
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -287,13 +349,13 @@ def aligner(bytes_path: str, pieces_path: str) -> Aligner:
 
 @dataclass
 class Unit:
-    """A text or a stretch of one inside a block: its pieces by name, and what stays of it."""
+    """A text or a stretch of one inside a block: its pieces by their places among the block's, and what stays of it."""
 
     uid: int | None
     doc_id: int | None
     chunk: int
     part: int
-    pieces: list[Hashable]
+    pieces: np.ndarray
     n_a: int = 0
     n_b: int = 0
     fits: bool = True
@@ -310,38 +372,38 @@ _BLOCK_DDL = ("block long, uid array<long>, doc_id array<long>, chunk array<int>
               "n_groups array<long>, n_links array<long>, written array<string>, offsets binary, places binary, times binary, pairs array<long>, totals array<long>")
 
 
-def _block(number: int, units: list[Unit], pieces: dict[Hashable, Aligned], digest: bool) -> pa.RecordBatch:
+def _block(number: int, units: list[Unit], pieces: Columns, digest: bool) -> pa.RecordBatch:
     """One row for some units: their figures, which id pairs are linked in the block how often, and in which unit."""
-    place = {name: i for i, name in enumerate(pieces)}
-    all_ = list(pieces.values())
     for u in units:
-        u.fits = u.fits and all(pieces[x].fits for x in u.pieces)
+        u.fits = u.fits and bool(pieces.fits[u.pieces].all())
         if not u.fits:
-            u.pieces, u.n_a, u.n_b = [], 0, 0
-    used = np.fromiter(chain.from_iterable(map(place.__getitem__, u.pieces) for u in units), dtype=np.int64)
-    bounds = np.concatenate(([0], np.cumsum([len(u.pieces) for u in units])))
+            u.pieces, u.n_a, u.n_b = u.pieces[:0], 0, 0
+    used = np.concatenate([u.pieces for u in units])
+    sizes = np.array([len(u.pieces) for u in units])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
 
-    def summed(of_piece: list[int]) -> np.ndarray:
-        running = np.concatenate(([0], np.cumsum(np.array(of_piece, dtype=np.int64)[used]))) if len(used) else np.zeros(1, dtype=np.int64)
+    def summed(of_piece: np.ndarray) -> np.ndarray:
+        running = np.concatenate(([0], np.cumsum(of_piece[used])))
         return running[bounds[1:]] - running[bounds[:-1]]
 
-    sizes = np.array([len(x.links) for x in all_], dtype=np.int64)
-    distinct, where = np.unique(np.fromiter(chain.from_iterable(x.links for x in all_), dtype=np.int64), return_inverse=True)
-    n_links = summed(sizes.tolist())
-    times = sizes[used] if len(used) else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    at = where[np.repeat(starts[used] - (np.cumsum(times) - times), times) + np.arange(times.sum())] if len(used) else np.zeros(0, dtype=np.int64)
-    keys, n = np.unique(np.repeat(np.arange(len(units)), n_links) * max(len(distinct), 1) + at, return_counts=True)
-    offsets = np.searchsorted(keys, np.arange(len(units) + 1) * max(len(distinct), 1))
+    distinct, where = np.unique(pieces.links, return_inverse=True)
+    n_links, per_unit, totals = summed(pieces.n_links), max(len(distinct), 1), np.zeros(len(distinct), dtype=np.int64)
+    offsets, places, times = np.zeros(len(units) + 1, dtype=np.int64), [], []
+    for i, j in stretches(sizes, 50_000):  # links of some units at a time: a piece has several wherever it stands
+        at = where[pieces.link_places(used[bounds[i] : bounds[j]])]
+        keys, n = np.unique(np.repeat(np.arange(j - i), n_links[i:j]) * per_unit + at, return_counts=True)
+        offsets[i + 1 : j + 1] = offsets[i] + np.searchsorted(keys, np.arange(1, j - i + 1) * per_unit)
+        places.append((keys % per_unit).astype("<i4"))
+        times.append(n.astype("<i4"))
+        totals += np.bincount(at, minlength=len(distinct))
     written = []
     for u in units:
-        text = ";".join(t for t in (pieces[x].text for x in u.pieces) if t)
-        written.append(text if not digest else hashlib.sha256(text.encode()).hexdigest() if u.pieces else "")
+        text = b"".join(map(pieces.texts.__getitem__, u.pieces.tolist()))[:-1]
+        written.append(text.decode() if not digest else hashlib.sha256(text).hexdigest() if len(u.pieces) else "")
     row = [
         number, [u.uid for u in units], [u.doc_id for u in units], [u.chunk for u in units], [u.part for u in units], [u.fits for u in units], [u.edges for u in units],
-        summed([x.n_a for x in all_]) + np.array([u.n_a for u in units]), summed([x.n_b for x in all_]) + np.array([u.n_b for u in units]),
-        summed([x.n_groups for x in all_]), n_links, written, offsets.astype("<i8").tobytes(), (keys % max(len(distinct), 1)).astype("<i4").tobytes(), n.astype("<i4").tobytes(),
-        distinct, np.bincount(at, minlength=len(distinct)),
+        summed(pieces.n_a) + np.array([u.n_a for u in units]), summed(pieces.n_b) + np.array([u.n_b for u in units]), summed(pieces.n_groups), n_links, written,
+        offsets.astype("<i8").tobytes(), b"".join(places), b"".join(times), distinct, totals,
     ]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
@@ -352,11 +414,13 @@ def _whole_texts(bytes_path: str, pieces_path: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_, number = aligner(bytes_path, pieces_path), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices(texts, block_chars):
-                units = [Unit(None, d, 0, 0, with_.words(" " + x) if x else []) for d, x in zip(ids[i:j], texts[i:j])]
-                distinct = list(dict.fromkeys(chain.from_iterable(u.pieces for u in units)))
-                yield _block(number, units, dict(zip(distinct, with_.align(distinct))), True)
+            for i, j in stretches(pc.utf8_length(batch.column(1)).fill_null(0).to_pylist(), block_chars):
+                ids, texts = (x[i:j].to_pylist() for x in batch.columns)
+                place: defaultdict[str, int] = defaultdict()
+                place.default_factory = place.__len__
+                units = [Unit(None, d, 0, 0, np.array([*map(place.__getitem__, with_.words(" " + x))] if x else [], dtype=np.int32)) for d, x in zip(ids, texts)]
+                times = np.bincount(np.concatenate([u.pieces for u in units]), minlength=len(place))
+                yield _block(number, units, with_.columns([*place], times > 1), True)
                 number += 1
 
     return run
@@ -396,12 +460,13 @@ def _fragments(bytes_path: str, pieces_path: str):
                 parts = with_.words(text)
                 ends = list(accumulate(len(x.encode()) for x in parts))
                 inner = [x for x, e, b in zip(parts, ends, [0, *ends]) if b >= lead and e <= lead + size]
-                found = dict(zip(dict.fromkeys(inner), with_.align(list(dict.fromkeys(inner)))))
-                unit = Unit(uid, doc, k, 1, [])
+                place = {x: i for i, x in enumerate(dict.fromkeys(inner))}
+                found, used = with_.align(list(place)), []
+                unit = Unit(uid, doc, k, 1, np.zeros(0, dtype=np.int32))
                 whole, inside = Fragment(), False
                 for x, e, b in zip(parts, ends, [0, *ends]):
                     if b >= lead and e <= lead + size:
-                        unit.pieces.append(x)
+                        used.append(place[x])
                         if not inside:  # a run of whole words is closed at both ends; its groups are those of the words
                             whole, inside = whole + Fragment(True, k), True
                         continue
@@ -409,15 +474,14 @@ def _fragments(bytes_path: str, pieces_path: str):
                     a, b_, fits = next(with_.tokens([x]))
                     unit.fits = unit.fits and fits
                     edge = fragment(a, b_, max(lead - b, 0), min(lead + size - b, e - b), k) if fits else Fragment()
-                    name = ("edge", len(found))
-                    closed = [g for _, g in edge.groups]
-                    found[name] = aligned(closed, 0, 0)
-                    unit.pieces.append(name)
+                    used.append(len(found))
+                    found.append(aligned([g for _, g in edge.groups], 0, 0))
                     unit.n_a += sum(max(lead - b, 0) < t <= lead + size - b for t in accumulate(n for _, n in a))
                     unit.n_b += sum(max(lead - b, 0) < t <= lead + size - b for t in accumulate(n for _, n in b_))
                     whole = whole + Fragment(edge.closed, edge.at, edge.head, edge.tail)
                 unit.edges = whole.edges()
-                yield _block(number, [unit], found, False)
+                unit.pieces = np.array(used, dtype=np.int32)
+                yield _block(number, [unit], Columns.of(found), False)
                 number += 1
 
     return run
@@ -436,13 +500,13 @@ def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the groups that closed when fragments were joined."""
     number = (1 << 62) + (TaskContext.get().partitionId() << 32)
     for batch in batches:
-        units, found = [], {}
+        units, found = [], []
         for n, (uid, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
             at, group = json.loads(text)
-            found[n] = aligned([group], 0, 0)
-            units.append(Unit(uid, None, at, 0, [n]))
+            found.append(aligned([group], 0, 0))
+            units.append(Unit(uid, None, at, 0, np.array([n], dtype=np.int32)))
         if units:
-            yield _block(number, units, found, False)
+            yield _block(number, units, Columns.of(found), False)
             number += 1
 
 

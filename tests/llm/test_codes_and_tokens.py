@@ -269,6 +269,18 @@ def test_pieces_are_encoded_together():
     assert not calls
 
 
+def test_aligned_pieces_are_held_up_to_a_bound():
+    own = alignment.Aligner(BYTES, PIECES, keep=100)
+    for k in range(4):
+        some = [f" w{k}q{i}" for i in range(500)]
+        assert own.align(some) == list(own._align(some))
+        assert len(own.known.place) <= 100 and len(own.older.place) <= 100
+    once = [f" once{i}" for i in range(50)]
+    own.columns([*once, " twice"], np.array([False] * 50 + [True]))
+    assert " twice" in own.known.place and not set(once) & set(own.known.place)
+    assert own.align([" twice", once[3], "x" * 300, *some[400:]]) == list(own._align([" twice", once[3], "x" * 300, *some[400:]]))
+
+
 def test_alignment_of_whole_documents(spark):
     got = {r["doc_id"]: tuple(r[c] for c in _COLUMNS) for r in llm.QUERIES["op13_token_alignment"](spark, SMALL).collect()}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
