@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import LOWER, UPPER, id_remainder, stored
-from postsieve.llm.tokens import slices
+from postsieve.llm.tokens import stretches
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _COUNT_LIMIT = 400_000
+#: Characters of texts that are read in lanes together: enough that the longest text does not leave most lanes empty.
+_TOGETHER = 16_000_000
 _LN10 = np.log(10.0)
 #: One in so many hashes of training texts is spare; shares that the network can be given of a token's probability.
 SPARE = 32
@@ -66,7 +70,7 @@ class _Numbers(dict):
         self.fixed = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.fixed + 400_000:
+        if len(self) > self.fixed + 100_000:
             head = {w: i + 1 for i, w in enumerate(self.vocabulary.head)}
             self.clear()
             self.update(head)
@@ -100,58 +104,66 @@ class Gru:
         # Output weights start with larger sums of squares: words that are rare must not be pushed down before they are met.
         self.squares = {k: np.full(v.shape, 1e-5 if k in ("c", "cb", "w", "wb") else 1e-8, f) for k, v in self.p.items()}
 
-    def steps(self, tokens: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
+    def steps(self, tokens: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """States before each token for lanes of tokens (time x lane); ``fresh`` marks first tokens of documents. Also what the way back needs."""
         k, p = self.size, self.p
-        out, kept = np.empty((len(tokens), tokens.shape[1], k), np.float32), []
-        given = p["x"][tokens] + p["b"]
-        for t in range(len(tokens)):
-            state = state * ~fresh[t][:, None]
-            out[t] = state
-            a = state @ p["h"]
-            gates = 1 / (1 + np.exp(-(given[t, :, : 2 * k] + a[:, : 2 * k])))
-            z, r = gates[:, :k], gates[:, k:]
-            new = np.tanh(given[t, :, 2 * k :] + r * a[:, 2 * k :])
-            kept.append((state, a[:, 2 * k :], z, r, new))
-            state = new + z * (state - new)
+        n, lanes = len(tokens), tokens.shape[1]
+        out, gates, inner, new = (np.empty((n, lanes, m), np.float32) for m in (k, 2 * k, k, k))
+        given, stays = p["x"][tokens] + p["b"], (~fresh).astype(np.float32)[:, :, None]
+        np.negative(given[:, :, : 2 * k], out=gates)
+        with np.errstate(over="ignore"):  # a gate that is shut
+            for t in range(n):
+                before, gate, now = np.multiply(state, stays[t], out=out[t]), gates[t], new[t]
+                a = before @ p["h"]
+                gate -= a[:, : 2 * k]
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                inner[t] = a[:, 2 * k :]
+                np.multiply(gate[:, k:], inner[t], out=now)
+                now += given[t, :, 2 * k :]
+                np.tanh(now, out=now)
+                state = before - now
+                state *= gate[:, :k]
+                state += now
         self.last = state
-        return out, kept
+        return out, [inner, gates[:, :, :k], gates[:, :, k:], new, stays]
 
     def log_probability(self, states: np.ndarray, tokens: np.ndarray, back: bool = False):
         """Natural log probability of tokens (flat) after states; with ``back`` also the gradient of its sum."""
         p, n = self.p, len(tokens)
         head = tokens < self.words
         group = np.where(head, tokens // self.in_class, self.groups + tokens - self.words)
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        # Biases are the weights of one more part of the state that is always 1.
+        c, w = np.vstack([p["c"], p["cb"]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+        states = np.concatenate([states, np.ones((n, 1), np.float32)], axis=1)
         rows = np.arange(n)
-        out = logits[rows, group] - np.log(total)
-        grads = None
-        if back:
-            d = -e / total[:, None]
-            d[rows, group] += 1
-            grads = {"c": states.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "state": d @ p["c"].T}
+        logits = states @ c
+        out, part = _log_softmax(logits, rows, group, _small(c))
+        # Head words by class: one product a class, all else over all of them at once.
         order = np.flatnonzero(head)
-        order = order[np.argsort(group[order], kind="stable")]
-        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for g in range(self.groups):
-            at = order[ends[g] : ends[g + 1]]
-            if len(at):
-                s = states[at]
-                inner = s @ p["w"][g] + p["wb"][g]
-                inner -= inner.max(1, keepdims=True)
-                e = np.exp(inner)
-                total = e.sum(1)
-                place = tokens[at] - g * self.in_class
-                out[at] += inner[np.arange(len(at)), place] - np.log(total)
-                if back:
-                    d = -e / total[:, None]
-                    d[np.arange(len(at)), place] += 1
-                    grads["w"][g], grads["wb"][g] = s.T @ d, d.sum(0)
-                    grads["state"][at] += d @ p["w"][g].T
-        return (out, grads) if back else out
+        order = order[np.argsort(group[order].astype(np.uint16), kind="stable")]
+        own = group[order]
+        ends = np.searchsorted(own, np.arange(self.groups + 1)).tolist()
+        present = [(g, x, y) for g, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+        s, place, own_rows = states[order], tokens[order] - own * self.in_class, rows[: len(order)]
+        inner = np.empty((len(order), self.in_class), np.float32)
+        for g, x, y in present:
+            np.matmul(s[x:y], w[g], out=inner[x:y])
+        inside, share = _log_softmax(inner, own_rows, place, _small(w))
+        out[order] += inside
+        if not back:
+            return out
+        d = np.multiply(logits, -part[:, None], out=logits)
+        d[rows, group] += 1
+        d_c, d_w, d_state = states.T @ d, np.zeros_like(w), d @ p["c"].T
+        d, d_s = np.multiply(inner, -share[:, None], out=inner), np.empty((len(order), self.size), np.float32)
+        d[own_rows, place] += 1
+        for g, x, y in present:
+            np.matmul(s[x:y].T, d[x:y], out=d_w[g])
+            np.matmul(d[x:y], p["w"][g].T, out=d_s[x:y])
+        d_state[order] += d_s
+        return out, {"c": d_c[:-1], "cb": d_c[-1], "w": d_w[:, :-1], "wb": d_w[:, -1], "state": d_state}
 
     def learn(self, tokens: np.ndarray, fresh: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float, least: int = 1) -> None:
         """One ascent step on a window, the gradient cut at its start. ``real`` marks tokens that are not filling.
@@ -167,31 +179,55 @@ class Gru:
         into = np.zeros((flat.size, k), np.float32)
         into[flat] = up.pop("state")
         into = into.reshape(states.shape)
-        d_h, d_given = np.zeros_like(p["h"]), np.zeros((*tokens.shape, 3 * k), np.float32)
-        carry = np.zeros_like(state)
+        inner, z, r, new, stays = kept
+        # What a change of the state after a step does to the step's parts, for all steps at once.
+        of_new, of_z, of_r = (1 - z) * (1 - new * new), (states - new) * z * (1 - z), inner * r * (1 - r)
+        d_given, d_a = np.empty((*tokens.shape, 3 * k), np.float32), np.empty((*tokens.shape, 3 * k), np.float32)
+        carry, back = np.zeros_like(state), p["h"].T.copy()
         for t in range(len(tokens) - 1, -1, -1):
-            before, a_n, z, r, new = kept[t]
-            d_new = carry * (1 - z) * (1 - new**2)
-            d_z = carry * (before - new) * z * (1 - z)
-            d_r = d_new * a_n * r * (1 - r)
-            d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            d_given[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_h += before.T @ d_a
-            carry = (carry * z + d_a @ p["h"].T + into[t]) * ~fresh[t][:, None]
-        grads = up | {"h": d_h, "b": d_given.sum((0, 1))}
+            change, d_new = d_a[t], d_given[t, :, 2 * k :]
+            np.multiply(carry, of_new[t], out=d_new)
+            np.multiply(carry, of_z[t], out=change[:, :k])
+            np.multiply(d_new, of_r[t], out=change[:, k : 2 * k])
+            np.multiply(d_new, r[t], out=change[:, 2 * k :])
+            carry = carry * z[t]
+            carry += change @ back
+            carry += into[t]
+            carry *= stays[t]
+        d_given[:, :, : 2 * k] = d_a[:, :, : 2 * k]
+        grads = up | {"h": states.reshape(-1, k).T @ d_a.reshape(-1, 3 * k), "b": d_given.sum((0, 1))}
         for name, g in grads.items():
             g = np.clip(g / n, -1, 1)
             self.squares[name] += g * g
             p[name] += rate * g / np.sqrt(self.squares[name])
         # Rows of the input table: their summed gradients.
-        order = np.argsort(tokens.reshape(-1), kind="stable")
-        seen, at = np.unique(tokens.reshape(-1)[order], return_index=True)
+        flat = tokens.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16) if len(p["x"]) < 1 << 16 else flat, kind="stable")
+        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        seen = flat[order[at]]
         g = np.add.reduceat(d_given.reshape(-1, 3 * k)[order], at, axis=0) / n
         self.squares["x"][seen] += g * g
         p["x"][seen] += rate * g / np.sqrt(self.squares["x"][seen])
         self.last = after
 
 
+def _small(weights: np.ndarray) -> bool:
+    """Whether no state (parts between -1 and 1, the last one 1) makes exponentials that overflow, or only such as vanish."""
+    reach, bias = np.abs(weights[..., :-1, :]).sum(-2), weights[..., -1, :]
+    return bool((bias + reach).max() < 60 and (bias - reach).max(-1).min() > -60)
+
+
+def _log_softmax(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the softmax of each row at one place. ``logits`` become their exponentials; also what these are to be multiplied with for the softmax."""
+    if not small:
+        logits -= logits.max(1, keepdims=True)
+    out = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    out -= np.log(total)
+    return out, 1 / total
+
+
 def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents one after another in at most ``most`` lanes, longest lane first: tokens (time x lane), number of each token's document (-1: filling), first tokens."""
     n = min(most, max(1, len(docs)))
@@ -202,7 +238,7 @@ def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
         lanes[lane].append(i)
         loads[lane] += len(docs[i])
     time = int(loads.max(initial=0))
-    tokens, owner, fresh = np.zeros((time, n), np.int64), np.full((time, n), -1), np.zeros((time, n), bool)
+    tokens, owner, fresh = np.zeros((time, n), np.int32), np.full((time, n), -1, np.int32), np.zeros((time, n), bool)
     for lane, own in enumerate(lanes[i] for i in np.argsort(-loads, kind="stable")):
         t = 0
         for i in own:
@@ -227,7 +263,7 @@ def _learn_all(gru: Gru, docs: list[np.ndarray], lanes: int, window: int, rate:
         state = gru.last
 
 
-def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window: int = 32, trust: float | None = None) -> np.ndarray:
+def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window: int = 16, trust: float | None = None) -> np.ndarray:
     """Natural log probability of each document's tokens by class and place, without the share inside tail classes.
 
     Each token's probability is ``trust`` (default: the network's own) times the network's plus the rest times the corpus frequency, which
@@ -236,7 +272,7 @@ def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window:
     return _mixed(gru, docs, [gru.trust if trust is None else trust], lanes, window)[0]
 
 
-def _mixed(gru: Gru, docs: list[np.ndarray], trusts: Sequence[float], lanes: int = 512, window: int = 32) -> np.ndarray:
+def _mixed(gru: Gru, docs: list[np.ndarray], trusts: Sequence[float], lanes: int = 512, window: int = 16) -> np.ndarray:
     """``score_documents`` for several values of ``trust`` (value x document) from one reading of the documents."""
     tokens, owner, fresh = lanes_of(docs, lanes)
     state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros((len(trusts), len(docs)))
@@ -299,8 +335,17 @@ def spare(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(SPARE)) == 0
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return stretches(pc.utf8_length(texts).fill_null(0).to_pylist(), _TOGETHER)
+
+
+def _texts(texts: pa.Array) -> Iterator[list[str | None]]:
+    for i, j in _runs(texts):
+        yield texts[i:j].to_pylist()
+
+
 def _numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
-    return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int64) for x in texts]
+    return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int32) for x in texts]
 
 
 def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
@@ -311,9 +356,8 @@ def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
         model, known = given.value
         numbers, sums, seen = _Numbers(known), np.zeros(len(TRUSTS)), False
         for batch in batches:
-            some = batch.column(0).to_pylist()
-            for i, j in slices(some, 6_000_000):
-                sums += _mixed(model, _numbered(some[i:j], numbers), TRUSTS).sum(1)
+            for some in _texts(batch.column(0)):
+                sums += _mixed(model, _numbered(some, numbers), TRUSTS).sum(1)
                 seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(TRUSTS)), pa.array(sums)], names=["trust", "log"])
@@ -332,7 +376,7 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
     """
     spark = spark_docs.sparkSession
     gru = Gru(vocabulary, size)
-    mine, checks = spark_docs.filter(~spare(F.col("text"))), spark_docs.filter(spare(F.col("text")))
+    mine, checks = spark_docs.filter(~spare(F.col("text"))), stored(spark, spark_docs.filter(spare(F.col("text"))), "spare")
     firsts = mine.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(warm_rows).agg(F.max("h")).first()[0]
     if firsts is not None:
         warm = sorted(r[0] for r in mine.filter(F.xxhash64("text") <= firsts).distinct().collect())
@@ -349,10 +393,9 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
             own.__dict__.update(model.__dict__)
             own.p, own.squares = ({k: v.copy() for k, v in d.items()} for d in (model.p, model.squares))
             for batch in batches:
-                some = batch.column(0).to_pylist()
-                for i, j in slices(some, 4_000_000):
-                    _learn_all(own, _numbered(some[i:j], numbers), lanes, window, rate)
-                    seen += j - i
+                for some in _texts(batch.column(0)):
+                    _learn_all(own, _numbered(some, numbers), lanes, window, rate)
+                    seen += len(some)
             if seen:
                 flat = np.concatenate([own.p[k].reshape(-1) for k in sorted(own.p)])
                 cuts = range(0, len(flat), slice_size)
@@ -375,11 +418,19 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
 
     learned = moved(mine, "weights")
     take(learned)
-    gru.trust = choose_trust(gru, vocabulary, checks.distinct())
+    gru.trust = choose_trust(gru, vocabulary, stored(spark, checks.distinct(), "spare-once"))
     take(learned.unionByName(moved(checks, "spare-weights")))
     return gru
 
 
+_SCORED = pa.schema([
+    ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_head", pa.list_(pa.int64())),
+    ("head_sum", pa.list_(pa.float64())), ("net_sum", pa.list_(pa.float64())), ("words", pa.list_(pa.binary())), ("places", pa.binary()),
+])
+_SCORED_DDL = ("block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_head array<long>, "
+               "head_sum array<double>, net_sum array<double>, words array<binary>, places binary")
+
+
 def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64, size: int = 16, window: int = 16,
           warm_rows: int = 200, rate: float = 0.03, lanes: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text).
@@ -390,8 +441,8 @@ def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64
     Probabilities sum to one over the known words and one unknown word for each tail class.
 
     Null text is empty: one token, the end. A null id is hashed as empty text. Repeated rows and equal ids each come out and each count. Without
-    training documents all counts are zero. The driver holds ``head`` words and one set of weights. A word outside the head is at most one in ``head`` of all
-    tokens, so joining such words to their counts has no hot key.
+    training documents all counts are zero. The driver holds ``head`` words and one set of weights. Words outside the head are looked up once for each block
+    of about ``_TOGETHER`` characters, so joining them to their counts has no hot key, and the shuffle holds no row for a token.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (id_remainder(F.col(f"`{id_col}`")) == 1).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -402,29 +453,49 @@ def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64
     given = spark.sparkContext.broadcast((gru, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for a block of texts: their figures, the other words than those of the head, and where these stand."""
         model, known = given.value
-        numbers = _Numbers(known)
+        numbers, block = _Numbers(known), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in slices(texts, 6_000_000):
-                found, ids, tail_words, sums = [tokens_of(x) for x in texts[i:j]], [], [], np.zeros((3, j - i))
-                for k, w in enumerate(found):
-                    n = np.array([*map(numbers.__getitem__, w), 0], dtype=np.int64)
+            for i, j in _runs(batch.column(2)):
+                place: defaultdict[bytes, int] = defaultdict()
+                place.default_factory = place.__len__
+                ids, places, sums = [], [], np.zeros((3, j - i))
+                for k, text in enumerate(batch.column(2)[i:j].to_pylist()):
+                    w = tokens_of(text)
+                    n = np.array([*map(numbers.__getitem__, w), 0], dtype=np.int32)
                     tail = n >= known.words
                     ids.append(n)
-                    tail_words.append([w[x] for x in np.flatnonzero(tail)])
+                    places.append(np.array([place[w[x]] for x in np.flatnonzero(tail).tolist()], dtype="<i4"))
                     sums[:, k] = known.log_count[n[~tail]].sum(), known.tail_norm[n[tail] - known.words].sum(), (~tail).sum()
                 got = score_documents(model, ids) / _LN10
+                row = [block, batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), [len(n) for n in ids], sums[2].astype(np.int64), sums[0], got - sums[1],
+                       [*place], b"".join(x.tobytes() for x in places)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCORED)], schema=_SCORED)
+                block += 1
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text of a block, with the sums over its other words' counts."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                of = {name: batch.column(c)[r] for c, name in enumerate(batch.schema.names)}
+                found, n_tokens, n_head = of["found"].values, of["n_tokens"].values, of["n_head"].values
+                counted = np.zeros(of["n_words"].as_py(), dtype=np.int64)
+                counted[found.field("i").to_numpy()] = found.field("n").to_numpy()
+                places, sizes = np.frombuffer(of["places"].as_py(), "<i4"), n_tokens.to_numpy() - n_head.to_numpy()
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                sums = [np.bincount(text, of_word[places], len(sizes)).astype(kind) for of_word, kind in ((np.log10(counted + 0.5), np.float64), (counted > 0, np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array([len(n) for n in ids], pa.int64()), pa.array(sums[2].astype(np.int64)),
-                     pa.array(sums[0]), pa.array(got - sums[1]), pa.array(tail_words, pa.list_(pa.binary()))],
-                    names=["doc_id", "held_out", "n_tokens", "n_head", "head_sum", "net_sum", "tail"])
-
-    half = stored(spark, rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_sum double, net_sum double, tail array<binary>")
-                  .withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = half.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
-    summed = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_sum"), F.count("n").alias("n_tail"))
-    whole = half.drop("tail").join(summed, "row", "left").na.fill(0, ["tail_sum", "n_tail"])
+                    [*(of[x].values for x in ("doc_id", "held_out", "n_tokens", "n_head", "head_sum", "net_sum")), *map(pa.array, sums)],
+                    names=["doc_id", "held_out", "n_tokens", "n_head", "head_sum", "net_sum", "tail_sum", "n_tail"])
+
+    # Each block asks for each of its words once, and gets the counts of those that are known.
+    half = stored(spark, rows.mapInArrow(run, _SCORED_DDL), "scored")
+    asked = half.select("block", F.posexplode("words").alias("i", "word")).join(counts, "word")
+    back = asked.groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("found"))
+    sized = half.withColumn("n_words", F.size("words")).drop("words").join(back, "block", "left")
+    whole = sized.withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,n:bigint>>"))).mapInArrow(
+        summed, "doc_id long, held_out boolean, n_tokens long, n_head long, head_sum double, net_sum double, tail_sum double, n_tail long")
     end_known = vocabulary.log_count[0] > np.log10(0.75)
     return whole.select(
         "doc_id", "held_out", "n_tokens",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -406,6 +407,28 @@ def test_language_model_share_is_chosen_on_all_spare_texts(spark, monkeypatch):
     assert language_model.choose_trust(gru, vocabulary, spark.createDataFrame([(x,) for x in spare], "text string")) == language_model.TRUSTS[int(sums.argmax())]
 
 
+def test_language_model_looks_words_up_once_a_block(spark, monkeypatch):
+    kept = {}
+
+    def stored(session, df, label, was=language_model.stored):
+        kept[label] = was(session, df, label)
+        return kept[label]
+
+    monkeypatch.setattr(language_model, "stored", stored)
+    texts = ["a a a b", "x y x x", "x a", "y y z", None, "new x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in language_model.score(docs, head=1, tails=2, in_class=2).collect()}
+    blocks = kept["scored"].collect()
+    assert len(blocks) == 1 and len(blocks[0]["words"]) == len(set(blocks[0]["words"])) == 5
+    training = [i for i in got if not got[i]["held_out"]]
+    count = Counter(w for i in training for w in [*language_model.tokens_of(texts[i]), None])
+    total, distinct = sum(count.values()), len(count)
+    for i, r in got.items():
+        own = [*language_model.tokens_of(texts[i]), None]
+        assert (r["n_tokens"], r["n_known"]) == (len(own), sum(count[w] > 0 for w in own))
+        assert r["base_score"] == pytest.approx(sum(np.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
+
+
 def test_language_model_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "word " * 50_000), (4, "café 日本"), (4, "café 日本"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS tail")
