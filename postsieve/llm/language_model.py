@@ -62,20 +62,14 @@ class Vocabulary:
 
 
 class _Numbers(dict):
-    """Token number of a word; new words get the number of their tail class."""
+    """Token number of a word; other words than those of the head have the number of their tail class."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__({w: i + 1 for i, w in enumerate(vocabulary.head)})
         self.vocabulary = vocabulary
-        self.fixed = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.fixed + 100_000:
-            head = {w: i + 1 for i, w in enumerate(self.vocabulary.head)}
-            self.clear()
-            self.update(head)
-        number = self[word] = self.vocabulary.words + self.vocabulary.tail_of(word)
-        return number
+        return self.vocabulary.words + self.vocabulary.tail_of(word)
 
 
 class Gru:
@@ -109,8 +103,9 @@ class Gru:
         k, p = self.size, self.p
         n, lanes = len(tokens), tokens.shape[1]
         out, gates, inner, new = (np.empty((n, lanes, m), np.float32) for m in (k, 2 * k, k, k))
-        given, stays = p["x"][tokens] + p["b"], (~fresh).astype(np.float32)[:, :, None]
-        np.negative(given[:, :, : 2 * k], out=gates)
+        table, stays = p["x"] + p["b"], (~fresh).astype(np.float32)[:, :, None]
+        np.take(-table[:, : 2 * k], tokens, axis=0, out=gates, mode="clip")
+        given = np.take(table[:, 2 * k :], tokens, axis=0)
         with np.errstate(over="ignore"):  # a gate that is shut
             for t in range(n):
                 before, gate, now = np.multiply(state, stays[t], out=out[t]), gates[t], new[t]
@@ -121,7 +116,7 @@ class Gru:
                 np.reciprocal(gate, out=gate)
                 inner[t] = a[:, 2 * k :]
                 np.multiply(gate[:, k:], inner[t], out=now)
-                now += given[t, :, 2 * k :]
+                now += given[t]
                 np.tanh(now, out=now)
                 state = before - now
                 state *= gate[:, :k]
@@ -275,15 +270,15 @@ def score_documents(gru: Gru, docs: list[np.ndarray], lanes: int = 512, window:
 def _mixed(gru: Gru, docs: list[np.ndarray], trusts: Sequence[float], lanes: int = 512, window: int = 16) -> np.ndarray:
     """``score_documents`` for several values of ``trust`` (value x document) from one reading of the documents."""
     tokens, owner, fresh = lanes_of(docs, lanes)
-    state, out = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros((len(trusts), len(docs)))
+    state, out, shares = np.zeros((tokens.shape[1], gru.size), np.float32), np.zeros((len(trusts), len(docs))), np.exp(gru.alone)
     for part, own, first in windows(tokens, owner, fresh, window):
         states, _ = gru.steps(part, first, state[: part.shape[1]])
         state = gru.last
         real = own.reshape(-1) >= 0
         got = gru.log_probability(states.reshape(-1, gru.size)[real], part.reshape(-1)[real])
-        alone, at = gru.alone[part.reshape(-1)[real]], own.reshape(-1)[real]
+        got, alone, at = np.exp(got.astype(np.float64)), shares[part.reshape(-1)[real]], own.reshape(-1)[real]
         for k, trust in enumerate(trusts):
-            out[k] += np.bincount(at, weights=np.logaddexp(got + np.log(trust), alone + np.log(1 - trust)), minlength=len(docs))
+            out[k] += np.bincount(at, weights=np.log(trust * got + (1 - trust) * alone), minlength=len(docs))
     return out
 
 
@@ -344,8 +339,18 @@ def _texts(texts: pa.Array) -> Iterator[list[str | None]]:
         yield texts[i:j].to_pylist()
 
 
+def _places(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of some texts, and each text as places among them."""
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    found = [np.fromiter(map(place.__getitem__, w), np.int32, len(w)) for w in map(tokens_of, texts)]
+    return [*place], found
+
+
 def _numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
-    return [np.array([*map(numbers.__getitem__, tokens_of(x)), 0], dtype=np.int32) for x in texts]
+    words, found = _places(texts)
+    number = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+    return [np.append(number[x], np.int32(0)) for x in found]
 
 
 def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
@@ -458,19 +463,16 @@ def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64
         numbers, block = _Numbers(known), TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j in _runs(batch.column(2)):
-                place: defaultdict[bytes, int] = defaultdict()
-                place.default_factory = place.__len__
-                ids, places, sums = [], [], np.zeros((3, j - i))
-                for k, text in enumerate(batch.column(2)[i:j].to_pylist()):
-                    w = tokens_of(text)
-                    n = np.array([*map(numbers.__getitem__, w), 0], dtype=np.int32)
-                    tail = n >= known.words
-                    ids.append(n)
-                    places.append(np.array([place[w[x]] for x in np.flatnonzero(tail).tolist()], dtype="<i4"))
-                    sums[:, k] = known.log_count[n[~tail]].sum(), known.tail_norm[n[tail] - known.words].sum(), (~tail).sum()
-                got = score_documents(model, ids) / _LN10
-                row = [block, batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), [len(n) for n in ids], sums[2].astype(np.int64), sums[0], got - sums[1],
-                       [*place], b"".join(x.tobytes() for x in places)]
+                words, found = _places(batch.column(2)[i:j].to_pylist())
+                number = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                tail = number >= known.words
+                got = score_documents(model, [np.append(number[x], np.int32(0)) for x in found]) / _LN10
+                sizes, at = np.array([len(x) for x in found]), np.concatenate(found)
+                text, of_head, of_tail = np.repeat(np.arange(j - i), sizes), np.zeros(len(words)), np.zeros(len(words))
+                of_head[~tail], of_tail[tail] = known.log_count[number[~tail]], known.tail_norm[number[tail] - known.words]
+                head_sum, tail_sum, n_head = (np.bincount(text, x[at], j - i).astype(float) for x in (of_head, of_tail, ~tail))
+                row = [block, batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), sizes + 1, n_head.astype(np.int64) + 1, head_sum + known.log_count[0], got - tail_sum,
+                       [w for w, other in zip(words, tail.tolist()) if other], (np.cumsum(tail) - 1)[at[tail[at]]].astype("<i4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCORED)], schema=_SCORED)
                 block += 1
 
