@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +21,8 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _COUNT_LIMIT = 400_000
 #: Characters of texts that are read in lanes together: enough that the longest text does not leave most lanes empty.
 _TOGETHER = 16_000_000
+#: Characters of texts that are split into words together; of longer stretches only the words' numbers are held.
+_SPLIT = 2_000_000
 _LN10 = np.log(10.0)
 #: One in so many hashes of training texts is spare; shares that the network can be given of a token's probability.
 SPARE = 32
@@ -33,6 +34,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` of all texts, one after another, and where each text's words begin, with the end of the last."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    # White space at an end of a text leaves an empty word there.
+    real = pc.greater(pc.binary_length(words), 0)
+    kept, begins = (np.concatenate([[0], np.cumsum(x)]) for x in (real.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy()))
+    return words.filter(real), kept[begins]
+
+
 @dataclass
 class Vocabulary:
     """The most frequent words, in classes by rank; other words are told by a class of their last bytes.
@@ -61,15 +72,19 @@ class Vocabulary:
         return zlib.crc32(word[-3:]) % self.tails
 
 
-class _Numbers(dict):
-    """Token number of a word; other words than those of the head have the number of their tail class."""
+class _Numbers:
+    """Token numbers of words; other words than those of the head have the number of their tail class."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__({w: i + 1 for i, w in enumerate(vocabulary.head)})
-        self.vocabulary = vocabulary
+        self.vocabulary, self.head = vocabulary, pa.array(vocabulary.head, pa.binary())
 
-    def __missing__(self, word: bytes) -> int:
-        return self.vocabulary.words + self.vocabulary.tail_of(word)
+    def of(self, words: pa.Array) -> np.ndarray:
+        number = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy() + np.int32(1)
+        other = np.flatnonzero(number == 0)
+        ends = pc.binary_slice(words.take(pa.array(other)), -3).dictionary_encode()
+        classes = np.array([self.vocabulary.tail_of(x) for x in ends.dictionary.to_pylist()], np.int32)
+        number[other] = self.vocabulary.words + classes[ends.indices.to_numpy()]
+        return number
 
 
 class Gru:
@@ -98,65 +113,81 @@ class Gru:
         # Output weights start with larger sums of squares: words that are rare must not be pushed down before they are met.
         self.squares = {k: np.full(v.shape, 1e-5 if k in ("c", "cb", "w", "wb") else 1e-8, f) for k, v in self.p.items()}
 
-    def steps(self, tokens: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """States before each token for lanes of tokens (time x lane); ``fresh`` marks first tokens of documents. Also what the way back needs."""
+    def steps(self, tokens: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
+        """States before each token for lanes of tokens (time x lane); ``fresh`` marks first tokens of documents. Also what the way back needs.
+
+        Gates lie apart (gate x time x lane x part), so that each step works on whole runs of memory.
+        """
         k, p = self.size, self.p
-        n, lanes = len(tokens), tokens.shape[1]
-        out, gates, inner, new = (np.empty((n, lanes, m), np.float32) for m in (k, 2 * k, k, k))
-        table, stays = p["x"] + p["b"], (~fresh).astype(np.float32)[:, :, None]
-        np.take(-table[:, : 2 * k], tokens, axis=0, out=gates, mode="clip")
-        given = np.take(table[:, 2 * k :], tokens, axis=0)
+        n, lanes = tokens.shape
+        out, (inner, new), gates = np.empty((n + 1, lanes, k), np.float32), np.empty((2, n, lanes, k), np.float32), np.empty((2, n, lanes, k), np.float32)
+        table, parts = (p["x"] + p["b"]).reshape(-1, 3, k), np.ascontiguousarray(p["h"].reshape(k, 3, k).transpose(1, 0, 2))
+        for g in (0, 1):
+            np.take(-table[:, g], tokens, axis=0, out=gates[g], mode="clip")
+        given, begins = np.take(table[:, 2].copy(), tokens, axis=0), [np.flatnonzero(x) for x in fresh]
+        a, out[0] = np.empty((2, lanes, k), np.float32), state
         with np.errstate(over="ignore"):  # a gate that is shut
             for t in range(n):
-                before, gate, now = np.multiply(state, stays[t], out=out[t]), gates[t], new[t]
-                a = before @ p["h"]
-                gate -= a[:, : 2 * k]
+                before, gate, now, after = out[t], gates[:, t], new[t], out[t + 1]
+                if len(begins[t]):
+                    before[begins[t]] = 0
+                np.matmul(before, parts[:2], out=a)
+                gate -= a
                 np.exp(gate, out=gate)
                 gate += 1
                 np.reciprocal(gate, out=gate)
-                inner[t] = a[:, 2 * k :]
-                np.multiply(gate[:, k:], inner[t], out=now)
+                np.matmul(before, parts[2], out=inner[t])
+                np.multiply(gate[1], inner[t], out=now)
                 now += given[t]
-                np.tanh(now, out=now)
-                state = before - now
-                state *= gate[:, :k]
-                state += now
-        self.last = state
-        return out, [inner, gates[:, :, :k], gates[:, :, k:], new, stays]
+                # The hyperbolic tangent, as 1 - 2 / (1 + exp(2x)).
+                now *= 2
+                np.exp(now, out=now)
+                now += 1
+                np.divide(-2, now, out=now)
+                now += 1
+                np.subtract(before, now, out=after)
+                after *= gate[0]
+                after += now
+        self.last = out[n]
+        return out[:n], [inner, *gates, new, begins]
 
     def log_probability(self, states: np.ndarray, tokens: np.ndarray, back: bool = False):
         """Natural log probability of tokens (flat) after states; with ``back`` also the gradient of its sum."""
-        p, n = self.p, len(tokens)
+        p, n, k = self.p, len(tokens), self.size
         head = tokens < self.words
         group = np.where(head, tokens // self.in_class, self.groups + tokens - self.words)
         # Biases are the weights of one more part of the state that is always 1.
         c, w = np.vstack([p["c"], p["cb"]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
-        states = np.concatenate([states, np.ones((n, 1), np.float32)], axis=1)
-        rows = np.arange(n)
-        logits = states @ c
-        out, part = _log_softmax(logits, rows, group, _small(c))
+        whole = np.ones((n, k + 1), np.float32)
+        whole[:, :k] = states
+        logits = whole @ c
+        out, part, at = _log_softmax(logits, group, _small(c))
         # Head words by class: one product a class, all else over all of them at once.
         order = np.flatnonzero(head)
         order = order[np.argsort(group[order].astype(np.uint16), kind="stable")]
         own = group[order]
         ends = np.searchsorted(own, np.arange(self.groups + 1)).tolist()
         present = [(g, x, y) for g, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
-        s, place, own_rows = states[order], tokens[order] - own * self.in_class, rows[: len(order)]
+        s = whole[order]
         inner = np.empty((len(order), self.in_class), np.float32)
         for g, x, y in present:
             np.matmul(s[x:y], w[g], out=inner[x:y])
-        inside, share = _log_softmax(inner, own_rows, place, _small(w))
+        inside, share, place = _log_softmax(inner, tokens[order] - own * self.in_class, _small(w))
         out[order] += inside
         if not back:
             return out
-        d = np.multiply(logits, -part[:, None], out=logits)
-        d[rows, group] += 1
-        d_c, d_w, d_state = states.T @ d, np.zeros_like(w), d @ p["c"].T
-        d, d_s = np.multiply(inner, -share[:, None], out=inner), np.empty((len(order), self.size), np.float32)
-        d[own_rows, place] += 1
+        # A row's gradient is its place less its softmax. Its exponentials less their sum at the place are that times the negative sum.
+        part, share = -part[:, None], -share[:, None]
+        logits.reshape(-1)[at] += 1 / part[:, 0]
+        inner.reshape(-1)[place] += 1 / share[:, 0]
+        d_state = logits @ p["c"].T
+        d_state *= part
+        whole *= part
+        d_c, d_w, d_s, s_scaled = whole.T @ logits, np.zeros_like(w), np.empty((len(order), k), np.float32), s * share
         for g, x, y in present:
-            np.matmul(s[x:y].T, d[x:y], out=d_w[g])
-            np.matmul(d[x:y], p["w"][g].T, out=d_s[x:y])
+            np.matmul(s_scaled[x:y].T, inner[x:y], out=d_w[g])
+            np.matmul(inner[x:y], p["w"][g].T, out=d_s[x:y])
+        d_s *= share
         d_state[order] += d_s
         return out, {"c": d_c[:-1], "cb": d_c[-1], "w": d_w[:, :-1], "wb": d_w[:, -1], "state": d_state}
 
@@ -166,61 +197,75 @@ class Gru:
         The gradient is a mean over the tokens, or over ``least`` if there are fewer: a thin window, such as the last ones of a few very long
         texts, then moves the weights by no more than its part of a full one.
         """
-        states, kept = self.steps(tokens, fresh, state)
+        states, (inner, z, r, new, begins) = self.steps(tokens, fresh, state)
         after = self.last
-        flat = real.reshape(-1)
-        _, up = self.log_probability(states.reshape(-1, self.size)[flat], tokens.reshape(-1)[flat], back=True)
-        k, p, n = self.size, self.p, max(least, int(flat.sum()))
-        into = np.zeros((flat.size, k), np.float32)
-        into[flat] = up.pop("state")
-        into = into.reshape(states.shape)
-        inner, z, r, new, stays = kept
+        flat = np.flatnonzero(real.reshape(-1))
+        k, p, n = self.size, self.p, max(least, len(flat))
+        _, up = self.log_probability(states.reshape(-1, k)[flat], tokens.reshape(-1)[flat], back=True)
+        into = np.zeros(states.shape, np.float32)
+        into.reshape(-1, k)[flat] = up.pop("state")
         # What a change of the state after a step does to the step's parts, for all steps at once.
         of_new, of_z, of_r = (1 - z) * (1 - new * new), (states - new) * z * (1 - z), inner * r * (1 - r)
-        d_given, d_a = np.empty((*tokens.shape, 3 * k), np.float32), np.empty((*tokens.shape, 3 * k), np.float32)
-        carry, back = np.zeros_like(state), p["h"].T.copy()
+        # Changes of what goes into the gates and the new part, the last one before its gate; d_new: after it.
+        d, d_new = np.empty((3, *states.shape), np.float32), np.empty(states.shape, np.float32)
+        carry, back, given = np.zeros_like(state), np.ascontiguousarray(p["h"].reshape(k, 3, k).transpose(1, 2, 0)), np.empty((3, *state.shape), np.float32)
         for t in range(len(tokens) - 1, -1, -1):
-            change, d_new = d_a[t], d_given[t, :, 2 * k :]
-            np.multiply(carry, of_new[t], out=d_new)
-            np.multiply(carry, of_z[t], out=change[:, :k])
-            np.multiply(d_new, of_r[t], out=change[:, k : 2 * k])
-            np.multiply(d_new, r[t], out=change[:, 2 * k :])
-            carry = carry * z[t]
-            carry += change @ back
+            np.multiply(carry, of_new[t], out=d_new[t])
+            np.multiply(carry, of_z[t], out=d[0, t])
+            np.multiply(d_new[t], of_r[t], out=d[1, t])
+            np.multiply(d_new[t], r[t], out=d[2, t])
+            np.matmul(d[:, t], back, out=given)
+            carry *= z[t]
+            carry += given[0]
+            carry += given[1]
+            carry += given[2]
             carry += into[t]
-            carry *= stays[t]
-        d_given[:, :, : 2 * k] = d_a[:, :, : 2 * k]
-        grads = up | {"h": states.reshape(-1, k).T @ d_a.reshape(-1, 3 * k), "b": d_given.sum((0, 1))}
+            if len(begins[t]):
+                carry[begins[t]] = 0
+        d_h = np.matmul(states.reshape(-1, k).T, d.reshape(3, -1, k)).transpose(1, 0, 2).reshape(k, 3 * k)
+        # Rows of the input table: their summed gradients.
+        rows = np.empty((tokens.size, 3 * k), np.float32)
+        order = np.argsort(tokens.reshape(-1).astype(np.uint16) if len(p["x"]) < 1 << 16 else tokens.reshape(-1), kind="stable")
+        for g, x in enumerate((d[0], d[1], d_new)):
+            np.take(x.reshape(-1, k), order, axis=0, out=rows[:, g * k : (g + 1) * k], mode="clip")
+        sorted_tokens = tokens.reshape(-1)[order]
+        at = np.flatnonzero(np.diff(sorted_tokens, prepend=-1))
+        seen, sums = sorted_tokens[at], _sums(rows, at)
+        grads = up | {"h": d_h, "b": sums.sum(0)}
         for name, g in grads.items():
             g = np.clip(g / n, -1, 1)
             self.squares[name] += g * g
             p[name] += rate * g / np.sqrt(self.squares[name])
-        # Rows of the input table: their summed gradients.
-        flat = tokens.reshape(-1)
-        order = np.argsort(flat.astype(np.uint16) if len(p["x"]) < 1 << 16 else flat, kind="stable")
-        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        seen = flat[order[at]]
-        g = np.add.reduceat(d_given.reshape(-1, 3 * k)[order], at, axis=0) / n
-        self.squares["x"][seen] += g * g
-        p["x"][seen] += rate * g / np.sqrt(self.squares["x"][seen])
+        sums /= n
+        squares = self.squares["x"][seen] + sums * sums
+        self.squares["x"][seen] = squares
+        p["x"][seen] += rate * sums / np.sqrt(squares)
         self.last = after
 
 
+def _sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at ``at``. Two columns of an even number are added as one complex number."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, at, axis=0)
+    return np.add.reduceat(rows.view(np.complex64), at, axis=0).view(np.float32)
+
+
 def _small(weights: np.ndarray) -> bool:
     """Whether no state (parts between -1 and 1, the last one 1) makes exponentials that overflow, or only such as vanish."""
     reach, bias = np.abs(weights[..., :-1, :]).sum(-2), weights[..., -1, :]
     return bool((bias + reach).max() < 60 and (bias - reach).max(-1).min() > -60)
 
 
-def _log_softmax(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the softmax of each row at one place. ``logits`` become their exponentials; also what these are to be multiplied with for the softmax."""
+def _log_softmax(logits: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log of the softmax of each row at one place. ``logits`` become their exponentials; also what these are to be multiplied with for the softmax, and the places in all."""
     if not small:
         logits -= logits.max(1, keepdims=True)
-    out = logits[rows, at]
+    at = np.arange(0, logits.size, logits.shape[1]) + at
+    out = logits.reshape(-1)[at]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], np.float32)
     out -= np.log(total)
-    return out, 1 / total
+    return out, 1 / total, at
 
 
 def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,18 +331,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` (UTF-8) and its count over all rows of ``texts`` (one text column). Tasks count before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
+        seen = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens_of(text.as_py()))
+            for some in _texts(batch.column(0), _TOGETHER):
+                new = [split_words(x)[0].value_counts() for x in _texts(some, _SPLIT)]
+                both = pa.concat_tables([seen, *(pa.table({"word": x.field(0), "n": x.field(1)}) for x in new)])
+                seen = both.group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
                 if len(seen) > _COUNT_LIMIT:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+                    yield from seen.to_batches()
+                    seen = seen.slice(0, 0)
+        yield from seen.to_batches()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -307,13 +350,16 @@ def vocabulary_of(counts: DataFrame, documents: int, head: int, tails: int, in_c
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     words, times = [bytes(r["word"]) for r in top], [r["n"] for r in top]
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    given = counts.sparkSession.sparkContext.broadcast(Vocabulary(words, tails, in_class, np.zeros(0), np.zeros(0), 0.0, 0))
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, sums = set(words), np.zeros((2, tails), dtype=np.int64)
+        known, sums = given.value, np.zeros((2, tails), dtype=np.int64)
+        numbers = _Numbers(known)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in frequent:
-                    sums[:, zlib.crc32(word[-3:]) % tails] += (n, 1)
+            number = numbers.of(batch.column(0)) - known.words
+            c, n = number[number >= 0], batch.column(1).to_numpy()[number >= 0]
+            np.add.at(sums, (0, c), n)
+            sums[1] += np.bincount(c, minlength=tails)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(tails)), pa.array(sums[0]), pa.array(sums[1])], names=["c", "n", "v"])
 
     sums = np.zeros((2, tails))
@@ -330,27 +376,35 @@ def spare(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(SPARE)) == 0
 
 
-def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    return stretches(pc.utf8_length(texts).fill_null(0).to_pylist(), _TOGETHER)
+def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    return stretches(pc.utf8_length(texts).fill_null(0).to_pylist(), most)
+
+
+def _texts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    for i, j in _runs(texts, most):
+        yield texts[i:j]
 
 
-def _texts(texts: pa.Array) -> Iterator[list[str | None]]:
-    for i, j in _runs(texts):
-        yield texts[i:j].to_pylist()
+def _places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, all words of the texts as places among them, and each text's number of words."""
+    split = [(words.dictionary_encode(), np.diff(begins)) for words, begins in map(split_words, _texts(texts, _SPLIT))]
+    every = pa.concat_arrays([x.dictionary for x, _ in split]).dictionary_encode()
+    place, starts = every.indices.to_numpy(), np.cumsum([0, *(len(x.dictionary) for x, _ in split)])
+    return every.dictionary, np.concatenate([place[x.indices.to_numpy() + i] for (x, _), i in zip(split, starts)]), np.concatenate([n for _, n in split])
 
 
-def _places(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct words of some texts, and each text as places among them."""
-    place: defaultdict[bytes, int] = defaultdict()
-    place.default_factory = place.__len__
-    found = [np.fromiter(map(place.__getitem__, w), np.int32, len(w)) for w in map(tokens_of, texts)]
-    return [*place], found
+def _ended(numbers: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The tokens of each text, with the end."""
+    ends = np.cumsum(sizes)
+    return np.split(np.insert(numbers, ends, 0), ends[:-1] + np.arange(1, len(ends)))
 
 
-def _numbered(texts: list[str | None], numbers: _Numbers) -> list[np.ndarray]:
-    words, found = _places(texts)
-    number = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-    return [np.append(number[x], np.int32(0)) for x in found]
+def _numbered(texts: pa.Array | list[str | None], numbers: _Numbers) -> list[np.ndarray]:
+    found = []
+    for some in _texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), _SPLIT):
+        words, begins = split_words(some)
+        found += _ended(numbers.of(words), np.diff(begins))
+    return found
 
 
 def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
@@ -361,7 +415,7 @@ def choose_trust(gru: Gru, vocabulary: Vocabulary, texts: DataFrame) -> float:
         model, known = given.value
         numbers, sums, seen = _Numbers(known), np.zeros(len(TRUSTS)), False
         for batch in batches:
-            for some in _texts(batch.column(0)):
+            for some in _texts(batch.column(0), _TOGETHER):
                 sums += _mixed(model, _numbered(some, numbers), TRUSTS).sum(1)
                 seen = True
         if seen:
@@ -398,7 +452,7 @@ def train(spark_docs: DataFrame, vocabulary: Vocabulary, size: int, window: int,
             own.__dict__.update(model.__dict__)
             own.p, own.squares = ({k: v.copy() for k, v in d.items()} for d in (model.p, model.squares))
             for batch in batches:
-                for some in _texts(batch.column(0)):
+                for some in _texts(batch.column(0), _TOGETHER):
                     _learn_all(own, _numbered(some, numbers), lanes, window, rate)
                     seen += len(some)
             if seen:
@@ -462,18 +516,17 @@ def score(docs: DataFrame, head: int = 2047, tails: int = 64, in_class: int = 64
         model, known = given.value
         numbers, block = _Numbers(known), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i, j in _runs(batch.column(2)):
-                words, found = _places(batch.column(2)[i:j].to_pylist())
-                number = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            for i, j in _runs(batch.column(2), _TOGETHER):
+                words, at, sizes = _places(batch.column(2)[i:j])
+                number = numbers.of(words)
                 tail = number >= known.words
-                got = score_documents(model, [np.append(number[x], np.int32(0)) for x in found]) / _LN10
-                sizes, at = np.array([len(x) for x in found]), np.concatenate(found)
+                got = score_documents(model, _ended(number[at], sizes)) / _LN10
                 text, of_head, of_tail = np.repeat(np.arange(j - i), sizes), np.zeros(len(words)), np.zeros(len(words))
                 of_head[~tail], of_tail[tail] = known.log_count[number[~tail]], known.tail_norm[number[tail] - known.words]
                 head_sum, tail_sum, n_head = (np.bincount(text, x[at], j - i).astype(float) for x in (of_head, of_tail, ~tail))
                 row = [block, batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), sizes + 1, n_head.astype(np.int64) + 1, head_sum + known.log_count[0], got - tail_sum,
-                       [w for w, other in zip(words, tail.tolist()) if other], (np.cumsum(tail) - 1)[at[tail[at]]].astype("<i4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCORED)], schema=_SCORED)
+                       words.filter(pa.array(tail)), (np.cumsum(tail) - 1)[at[tail[at]]].astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) if isinstance(x, pa.Array) else pa.array([x], f.type) for x, f in zip(row, _SCORED)], schema=_SCORED)
                 block += 1
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

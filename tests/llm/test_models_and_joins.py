@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postsieve.llm import graph, jaccard, language_model, secret_scan, toxicity, vectors
@@ -437,6 +438,45 @@ def test_language_model_edge_cases(spark):
     assert language_model.score(docs.filter("false")).count() == 0
 
 
+def test_language_model_splits_whole_columns_of_texts(monkeypatch):
+    vocabulary = language_model.Vocabulary([b"a", b"zz", "é".encode()], 5, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(5), 1.0, 17)
+    texts = ["left out", None, "", " \t\n\x0b\x0c\r ", " A\x0b\x0cb\x00 \x85 \u3000x\x1c y ", "É é ÀB zZ", "\ta", "a a zz", "zz\xa0a of\u2028words", None]
+    column, one = pa.array(texts)[1:], {w: i + 1 for i, w in enumerate(vocabulary.head)}
+    want = [[*(one.get(w, vocabulary.words + vocabulary.tail_of(w)) for w in language_model.tokens_of(x)), 0] for x in texts[1:]]
+    for most in (1, 12, 2_000_000):
+        monkeypatch.setattr(language_model, "_SPLIT", most)
+        assert [x.tolist() for x in language_model._numbered(column, language_model._Numbers(vocabulary))] == want
+        words, places, sizes = language_model._places(column)
+        words, ends = words.to_pylist(), np.cumsum(sizes)
+        assert len(set(words)) == len(words)
+        assert [[words[p] for p in x] for x in np.split(places, ends[:-1])] == [language_model.tokens_of(x) for x in texts[1:]]
+
+
+def test_language_model_steps_go_up_the_slope():
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c"], 3, 2, np.log10(np.array([3, 9, 4, 1]) + 0.5), np.zeros(3), 1.0, 17)
+    docs = [np.array([1, 2, 4, 3, 0]), np.array([2, 5, 0]), np.array([6, 1, 1, 0])]
+    gru, r = language_model.Gru(vocabulary, 3), np.random.default_rng(1)
+    for name in ("x", "h", "c", "w"):
+        gru.p[name] = r.normal(0, 0.7, gru.p[name].shape).astype(np.float32)
+    start, n = {k: v.copy() for k, v in gru.p.items()}, sum(map(len, docs))
+    squares = {k: v.copy() for k, v in gru.squares.items()}
+    tokens, owner, fresh = language_model.lanes_of(docs, 2)
+    gru.learn(tokens, fresh, owner >= 0, np.zeros((2, 3), np.float32), 1.0)
+    slopes = {k: (gru.p[k] - v) * np.sqrt(gru.squares[k]) for k, v in start.items()}
+    for name, was in start.items():
+        slope = slopes[name]
+        assert np.allclose(gru.squares[name] - squares[name], slope**2, atol=1e-5)
+        for at in np.ndindex(was.shape):
+            if abs(was[at]) < 20:  # places without a word are shut
+                ends = []
+                for change in (0.01, -0.01):
+                    gru.p = {k: v.copy() for k, v in start.items()}
+                    gru.p[name][at] += change
+                    ends.append(language_model.score_documents(gru, docs, trust=1.0).sum())
+                    gru.p = start
+                assert slope[at] == pytest.approx((ends[0] - ends[1]) / 0.02 / n, abs=2e-3)
+
+
 def test_many_copies_and_empty_texts_do_not_meet_in_a_window(spark):
     rows = [(i, "one two three four five six") for i in range(300)] + [(1000 + i, "") for i in range(300)] + [(2000, None), (2001, "one two three")]
     out = {r["id"]: r["component_id"] for r in jaccard.linked_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
