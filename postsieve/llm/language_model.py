@@ -341,6 +341,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield from seen.to_batches()
                     seen = seen.slice(0, 0)
         yield from seen.to_batches()
+        del seen
+        _give_back()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -390,7 +392,15 @@ def _places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     split = [(words.dictionary_encode(), np.diff(begins)) for words, begins in map(split_words, _texts(texts, _SPLIT))]
     every = pa.concat_arrays([x.dictionary for x, _ in split]).dictionary_encode()
     place, starts = every.indices.to_numpy(), np.cumsum([0, *(len(x.dictionary) for x, _ in split)])
-    return every.dictionary, np.concatenate([place[x.indices.to_numpy() + i] for (x, _), i in zip(split, starts)]), np.concatenate([n for _, n in split])
+    places, sizes = np.concatenate([place[x.indices.to_numpy() + i] for (x, _), i in zip(split, starts)]), np.concatenate([n for _, n in split])
+    split.clear()
+    _give_back()
+    return every.dictionary, places, sizes
+
+
+def _give_back() -> None:
+    """Arrow's freed memory to the system: a worker holds it through the long steps that follow else, and when it idles."""
+    pa.default_memory_pool().release_unused()
 
 
 def _ended(numbers: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -404,6 +414,7 @@ def _numbered(texts: pa.Array | list[str | None], numbers: _Numbers) -> list[np.
     for some in _texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), _SPLIT):
         words, begins = split_words(some)
         found += _ended(numbers.of(words), np.diff(begins))
+    _give_back()
     return found
 
 
