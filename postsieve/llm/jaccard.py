@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches num / den. Three steps find the groups exactly:
 
 1. *Meeting keys.* Sets that link differ in at most H shingles, H known from their sizes. Each set is dealt by hash into more than H parts, so
-   linked sets have an equal part; a part's hash is a key. Sets with a common key may link, others cannot.
-2. *Groups.* Ids with a common key, directly or over others, form a group; no link leaves it.
+   linked sets have equal parts; a part's hash is a key. How many keys sets that link have in common at least follows from their sizes and empty parts.
+2. *Groups.* Common keys of two ids are counted. Ids with enough of them, directly or over others, form a group; no link leaves it.
 3. *Search.* Within blocks of a group, an inverted index of shingles is asked for the sets that occur in T lists.
 
 A group of many sets is first grouped anew by its rare shingles, as a phrase that many texts have makes sets meet that do not link. A set that links has few
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import LOWER, UPPER, ranked, stored
@@ -83,14 +83,22 @@ class Parts:
             self.limits.append(max(self.limits[-1] + 1, self.limits[-1] * 3 // 2))
 
     def keys(self, found: np.ndarray) -> np.ndarray:
+        return self.keys_and_marks(found)[0]
+
+    def keys_and_marks(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for each its mark: 65,536 times its deal (band and seed), plus the number of keys of that deal that a set which links has too, 65,535 at most.
+
+        Two sets that link have a deal in which they have one common key at least, and as many as either number says: of 1 + spare equal parts or more, only those
+        give no key that are empty in both.
+        """
         n = len(found)
         band = int(np.searchsorted(self.limits, n, side="right")) - 1
-        out = [self._band_keys(found, band)]
+        out = self._band_keys(found, band)
         if n * self.den >= self.limits[band + 1] * self.num:
-            out.append(self._band_keys(found, band + 1))
-        return np.concatenate(out)
+            out += self._band_keys(found, band + 1)
+        return np.concatenate([k for k, _ in out]), np.concatenate([np.full(len(k), mark) for k, mark in out])
 
-    def _band_keys(self, found: np.ndarray, band: int) -> np.ndarray:
+    def _band_keys(self, found: np.ndarray, band: int) -> list[tuple[np.ndarray, int]]:
         largest = self.limits[band + 1] - 1
         differ = 2 * largest * (self.den - self.num) // (self.den + self.num)
         spare = 0 if not differ else 1 + differ // (5 if self.num * 10 < self.den * 9 else 40)
@@ -103,13 +111,14 @@ class Parts:
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             sums = np.add.reduceat(_mixed(found ^ _U(0xA0761D6478BD642F))[order], first)
             full = place[first]
-            out.append(_mixed(sums + _mixed(full + _U(band << 48) + _U(seed << 44))))
+            mark = (band * self.SEEDS + seed) << 16 | min(max(1 + spare - (parts - len(full)), 0), 65_535)
+            out.append((_mixed(sums + _mixed(full + _U(band << 48) + _U(seed << 44))), mark))
             if parts - len(full) <= spare:
                 break
             if seed == self.SEEDS - 1:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), full)
-                out.append(_mixed(_mixed(empty + _U(band << 48) + _U(seed << 44))))
-        return np.concatenate(out)
+                out.append((_mixed(_mixed(empty + _U(band << 48) + _U(seed << 44))), mark))
+        return out
 
 
 def divide_skip(sets: list[np.ndarray], same: list[int], num: int, den: int, mu: float = 0.5) -> list[int]:
@@ -174,67 +183,95 @@ _SCHEMA = pa.schema([("kind", pa.int32()), *((name, pa.int64()) for name in ("ke
 _MANY = 2_000_000
 
 
-def _keys_of(keys_for, width: int):
-    """Per task, with the keys that ``keys_for`` gives for a set and what the row's further columns hold: a row for each document (kind 0); its documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
+def _batch(kind: int, key, ids, n, print_, other) -> pa.RecordBatch:
+    key = np.ascontiguousarray(key).view(np.int64)
+    column = lambda x: pa.array(x.view(np.int64) if isinstance(x, np.ndarray) else np.full(len(key), x), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key), *map(column, (ids, n, print_, other))], schema=_SCHEMA)
+
+
+def _by_key(keys: list[np.ndarray], ids: list[int], *more: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Ids, and for every key in order: the place of its set's id, the key, whether it is the first one of its kind, and ``more``."""
+    names, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+    owner, every = np.repeat(at, [len(k) for k in keys]), np.concatenate(keys)
+    order = np.lexsort((owner, every))
+    owner, every = owner[order], every[order]
+    return names, owner, every, np.concatenate(([True], every[1:] != every[:-1])), *(np.concatenate(x)[order] for x in more)
 
-    A group that many documents are in so sends the same few pairs of ids for all its keys. Rows of kinds 0 and 2 only pass by the search for
-    common keys: their key is a hash of their own, so copies and equal ids do not meet in one task.
+
+def _grouped(keys: list[np.ndarray], ids: list[int], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The documents that meet, grouped, each with the smallest id of its group (2); and one row with a group's smallest id for each key (1).
+
+    A group that many documents are in so sends the same few pairs of ids for all its keys.
     """
+    names, owner, every, first = _by_key(keys, ids)
+    lowest = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+    forest = Forest(len(names))
+    for i, j in np.unique(np.stack([owner, lowest])[:, owner != lowest], axis=1).T.tolist():
+        forest.union(i, j)
+    root = names[forest.roots()]
+    yield _batch(1, every[first], root[owner[first]], 0, 0, 0)
+    own = np.flatnonzero(root != names)
+    if len(own):
+        yield _batch(2, _mixed(names[own].view(np.uint64)), names[own], 0, 0, root[own])
+
 
-    def batch(kind: int, key, ids, n, other) -> pa.RecordBatch:
-        key = np.ascontiguousarray(key).view(np.int64)
-        column = lambda x: pa.array(x if isinstance(x, np.ndarray) else np.full(len(key), x), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key), column(ids), column(n), column(0), column(other)], schema=_SCHEMA)
-
-    def met(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        names, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-        owner, every = np.repeat(at, [len(k) for k in keys]), np.concatenate(keys)
-        order = np.lexsort((owner, every))
-        owner, every = owner[order], every[order]
-        first = np.concatenate(([True], every[1:] != every[:-1]))
-        lowest = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
-        forest = Forest(len(names))
-        for i, j in np.unique(np.stack([owner, lowest])[:, owner != lowest], axis=1).T.tolist():
-            forest.union(i, j)
-        root = names[forest.roots()]
-        yield batch(1, every[first], root[owner[first]], 0, 0)
-        own = np.flatnonzero(root != names)
-        if len(own):
-            yield batch(2, _mixed(names[own].view(np.uint64)), names[own], 0, root[own])
+def _listed(keys: list[np.ndarray], ids: list[int], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each key the smallest id that has it, with the key's mark and whether others here have it (1); those others, by a hash of their own, with mark and key (2)."""
+    names, owner, every, first, mark = _by_key(keys, ids, marks)
+    several = np.concatenate((~first[1:], [False]))
+    yield _batch(1, every[first], names[owner[first]], mark[first], several[first].astype(np.int64), 0)
+    own, more = names[owner[~first]], every[~first]
+    if len(own):
+        yield _batch(2, _mixed(more ^ _mixed(own.view(np.uint64))), own, mark[~first], 0, more)
+
+
+def _keys_of(keys_for, width: int, told):
+    """Per task, with the keys that ``keys_for`` gives for a set (and their marks) and what the row's further columns hold: a row for each document (kind 0); and what ``told`` makes of the keys.
+
+    That is at most one row a key of kind 1. Rows of kinds 0 and 2 only pass by the search for
+    common keys: their key is a hash of their own, so copies and equal ids do not meet in one task. Without further columns equal sets have equal keys, and of
+    those held together the smallest id gives them for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         ids: list[int] = []
+        place: dict[tuple, int] = {}
         held = 0
         for rows in batches:
             docs, texts = rows.column(0).to_pylist(), rows.column(1).cast(pa.binary())
             more = [c.to_pylist() for c in rows.columns[2:]]
             about = np.zeros((4, len(docs)), dtype=np.int64)
-            alone = _mixed(np.array(docs, dtype=np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + np.arange(len(docs), dtype=np.uint64)).view(np.int64)
+            alone = _mixed(np.array(docs, dtype=np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + np.arange(len(docs), dtype=np.uint64))
             for i, doc in enumerate(docs):
                 found = shingles(texts[i].as_py(), width)
                 prints = [int(_mixed(found + _U(s)).sum(dtype=np.uint64).view(np.int64)) for s in (17, 71)]
                 about[:, i] = (doc, len(found), *prints)
-                own = keys_for(found, *(c[i] for c in more)) if len(found) else found
+                same = (len(found), *prints)
+                if same in place:
+                    ids[place[same]] = min(ids[place[same]], doc)
+                    continue
+                own, mark = keys_for(found, *(c[i] for c in more)) if len(found) else (found, found)
                 if len(own):
+                    if not more:
+                        place[same] = len(ids)
                     keys.append(own)
+                    marks.append(mark)
                     ids.append(doc)
                     held += len(own)
                 if held > _MANY:
-                    yield from met(keys, ids)
-                    keys, ids, held = [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(docs)), pa.int32()), *(pa.array(x) for x in (alone, *about))], schema=_SCHEMA
-            )
-        yield from met(keys, ids)
+                    yield from told(keys, ids, marks)
+                    keys, marks, ids, place, held = [], [], [], {}, 0
+            yield _batch(0, alone, *about)
+        if keys:
+            yield from told(keys, ids, marks)
 
     return run
 
 
 def _met(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """Rows of ``_keys_of``, stored, with ``low``, the smallest id that has a key; of the keys, only those that give a link."""
+    """Rows of ``_keys_of`` and ``_grouped``, stored, with ``low``, the smallest id that has a key; of the keys, only those that give a link."""
     lowest = F.expr("CASE WHEN kind = 1 THEN min(id) OVER (PARTITION BY kind, key) END")
     return stored(spark, rows.withColumn("low", lowest).filter("kind <> 1 OR id > low"), label)
 
@@ -245,6 +282,29 @@ def _may_link(met: DataFrame) -> DataFrame:
         met.filter("kind = 2").select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
+def _enough_keys(held: DataFrame, few: int) -> DataFrame:
+    """Pairs of ids of ``held`` (key, id, mark) with as many common keys of a deal as sets that link have, or more; enough pairs to reach all such ids.
+
+    A key of at most ``few`` ids gives all their pairs, so there are at most few / 2 pairs for each row, and they are counted. A key that more ids have is a frequent one and
+    gives no pairs, so a set asks for fewer of the others: for the number in its mark less its own frequent keys of the deal. Where nothing is left to ask for, its
+    frequent keys link it with the smallest id of which the same holds. Of two sets that link, either both are of that kind and a frequent key links them, or they
+    have one other key in common at least, and as many as either asks for.
+    """
+    spark = held.sparkSession
+    held = held.withColumn("deal", F.shiftright("mark", 16))
+    frequent = held.groupBy("key").agg(F.count("*").alias("ids")).filter(F.col("ids") > few).select("key", F.lit(1).alias("frequent"))
+    marked = held.join(stored(spark, frequent, "frequent-keys"), "key", "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
+    asks = F.col("mark") - F.shiftleft("deal", 16) - F.sum("frequent").over(Window.partitionBy("id", "deal"))
+    marked = stored(spark, marked.select("key", "id", "deal", "frequent", asks.alias("asks")), "keys-marked")
+    one = marked.filter("frequent = 0").select("key", "deal", F.col("id").alias("a"), F.col("asks").alias("x"))
+    other = marked.filter("frequent = 0").select("key", F.col("id").alias("b"), F.col("asks").alias("y"))
+    pairs = one.join(other.hint("merge"), "key").filter("a > b").groupBy("a", "b", "deal").agg(F.count("*").alias("both"), F.min(F.greatest("x", "y")).alias("asks"))
+    over = stored(spark, marked.filter("frequent = 1 AND asks <= 0").select("key", "id"), "keys-over")
+    low = stored(spark, over.groupBy("key").agg(F.min("id").alias("low")), "keys-low")
+    stars = over.join(low, "key").filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    return pairs.filter("both >= asks").select("a", "b").unionByName(stars.distinct())
+
+
 def _looked_at(num: int, den: int) -> int:
     """One shingle in so many, by hash, is looked up in all sets: more than a set that links may have for itself."""
     return 4 if num * 10 >= den * 9 else 2
@@ -298,11 +358,12 @@ def _rare_first(num: int, den: int, every: int):
     of similarity ``num / den`` have one of their first n - T + 1 in common, where T = num / den of n.
     """
 
-    def keys(found: np.ndarray, common: list[int] | None) -> np.ndarray:
+    def keys(found: np.ndarray, common: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
         shared = np.isin(found, np.array(common or [], dtype=np.int64).view(np.uint64))
         kind = np.where(found % _U(every) != 0, 1, np.where(shared, 2, 0))
         first = np.argsort(kind, kind="stable")[: len(found) + (-num * len(found) // den) + 1]
-        return found[first][kind[first] > 0]
+        own = found[first][kind[first] > 0]
+        return own, np.zeros(len(own), dtype=np.int64)
 
     return keys
 
@@ -324,7 +385,7 @@ def _regrouped(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     left = sizes.join(common, "id", "left").filter((F.col("texts") > 1) | (own * den <= F.col("n") * (den - num)))
     left = stored(spark, left.select("id", "common"), "left")
     keyed = texts.select("id", "text").join(left, "id").select("id", "text", "common")
-    met = _met(spark, keyed.mapInArrow(_keys_of(_rare_first(num, den, every), width), ROWS), "rare-met")
+    met = _met(spark, keyed.mapInArrow(_keys_of(_rare_first(num, den, every), width, _grouped), ROWS), "rare-met")
     return components(spark, _may_link(met)).select("id", F.col("component").alias("grp"))
 
 
@@ -366,7 +427,7 @@ def _searched(rows: DataFrame, num: int, den: int, width: int) -> DataFrame:
 
 
 def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_rows: int = 256, pair_rows: int = 2048,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", few: int = 8) -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest id that its links reach).
 
     Whole texts are used. A null or empty text, or one without words, has an empty set and links with nothing; so does a row with a
@@ -374,19 +435,24 @@ def linked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, b
     An empty table gives an empty table; other columns are not read. Equal sets are told by 128 bits of sums of their shingles' hashes.
 
     What grows: keys, about a sixth of the words, go through one shuffle, at most one row for each key and task, so a key that very many documents have is no
-    hot group. Only documents that share a key move their text. Groups of more than ``block_rows`` sets are grouped anew by rare shingles (half of the shingles, or a
+    hot group. Those of several sets, with their ids, are stored and counted by pairs: a key of more than ``few`` sets gives no pairs, so the pairs grow with the keys and not with the square of a
+    group. Only documents that have enough keys in common with another move their text. Groups of more than ``block_rows`` sets are grouped anew by rare shingles (half of the shingles, or a
     quarter, go through one shuffle for that); one that still has more is
     searched in blocks: first each block, then the trees' first members against each other as long as that more than halves them, last all pairs of blocks, now of ``pair_rows`` sets, that still
     hold different trees: a text moves once for each such block of its group. That is every pair which may link; copies and sets of one tree are never compared again.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    met = _met(spark, named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den).keys, width), ROWS), "keys-met")
+    rows = named.filter("id is not null").mapInArrow(_keys_of(Parts(num, den).keys_and_marks, width, _listed), ROWS)
+    rows = rows.withColumn("tasks", F.expr("CASE WHEN kind = 1 THEN count(*) OVER (PARTITION BY kind, key) END"))
+    met = stored(spark, rows.filter("kind <> 1 OR print = 1 OR tasks > 1").drop("tasks"), "keys-met")
     about = met.filter("kind = 0").select("id", "n", "print", "other")
     first = stored(spark, about.filter("n > 0").groupBy("n", "print", "other").agg(F.min("id").alias("rep")), "sets")
     members = stored(spark, about.join(first, ["n", "print", "other"], "left").select("id", "n", "rep"), "members")
 
-    may = _may_link(met).unionByName(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    held = met.filter("kind > 0").select(F.when(F.col("kind") == 1, F.col("key")).otherwise(F.col("other")).alias("key"), "id", F.col("n").alias("mark"))
+    held = stored(spark, held.join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "keys-held")
+    may = _enough_keys(held, few).unionByName(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = components(spark, may)
     reps = first.select(F.col("rep").alias("id")).distinct().join(groups, "id").select("id", F.col("component").alias("grp"))
     sized = stored(spark, ranked(reps, "grp", ["id"], 64, "rank"), "groups")

@@ -79,6 +79,52 @@ def test_a_common_phrase_makes_no_large_group(spark, monkeypatch):
     assert got == {i: {60: 3, 61: 9}.get(i, i) for i in range(62)}
 
 
+def test_shingles_that_all_texts_share_make_no_large_group(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [[f"w{r.randrange(3000)}" for _ in range(r.randint(50, 400))] for _ in range(300)]
+    texts += [[*texts[3][:-2], "w1", "w2"], [*texts[9][2:], "w7", "w8"]]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    sizes, search = [], jaccard._searched
+
+    def searched(rows, *options):
+        sizes.append(rows.select("id").distinct().count())
+        return search(rows, *options)
+
+    monkeypatch.setattr(jaccard, "_searched", searched)
+    got = {x["id"]: x["component_id"] for x in jaccard.linked_groups(frame, 1, 4, 5, 8, 8).collect()}
+    assert got == {i: {300: 3, 301: 9}.get(i, i) for i in range(302)}
+    assert max(sizes) < 30
+
+
+@pytest.mark.parametrize("few", [2, 8, 1000])
+def test_groups_hold_every_link_whatever_keys_are_frequent(spark, few):
+    rows = _near_copies(few) + [(1000 + i, text) for i, text in _near_copies(few + 1)]
+    r = random.Random(few)
+    rows += [(2000 + i, " ".join([*(f"p{k}" for k in range(30)), *r.choices([f"q{k}" for k in range(12)], k=r.randint(0, 40))])) for i in range(120)]
+    sets = {i: set(text.split()) for i, text in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= Fraction(4, 5)]
+    label = _groups(links, list(sets))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["id"]: x["component_id"] for x in jaccard.linked_groups(frame, 1, 4, 5, 16, 16, few=few).collect()}
+    assert got == label
+
+
+def test_marks_say_no_more_than_linked_sets_share():
+    r = np.random.default_rng(2)
+    for num, den in ((9, 10), (4, 5)):
+        parts = jaccard.Parts(num, den)
+        for n in [1, 2, 3, 4, 5, 6, 8, 9, 12, 13, 18, 19, 20, 40, 41, 77, 150, 400]:
+            for _ in range(30):
+                x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+                cut = int(r.integers(0, n - -(-num * n // den) + 1))
+                (k, a), (m, b) = parts.keys_and_marks(x), parts.keys_and_marks(x[cut:])
+                enough = []
+                for deal in np.intersect1d(a >> 16, b >> 16):
+                    both = np.intersect1d(k[a >> 16 == deal], m[b >> 16 == deal]).size
+                    enough.append(both >= max(1, (a[a >> 16 == deal] & 65_535).max(), (b[b >> 16 == deal] & 65_535).max()))
+                assert any(enough)
+
+
 def test_keys_of_linked_sets_meet():
     r = np.random.default_rng(1)
     for num, den in ((9, 10), (4, 5)):
